@@ -96,7 +96,7 @@ def active_localities(log: DataFrame, key: str, order: str, min_rows: int = 5) -
 
 def month_pivot(log: DataFrame, name: str, date: str) -> DataFrame:
     """Reports per name and month; the month list is fixed, so no extra pass finds the columns."""
-    wide = log.select(name, F.month(date).alias("_month")).groupBy(name).pivot("_month", list(range(1, 13))).agg(F.count("*"))
+    wide = log.select(name, F.month(date).alias("_month")).groupBy(name).pivot("_month", list(range(1, 13))).agg(F.count(F.lit(1)))
     return wide.select(name, *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(f"m{m}") for m in range(1, 13)])
 
 
