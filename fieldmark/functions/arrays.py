@@ -6,6 +6,7 @@ Everything here is row-local: no shuffle, no Python worker.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -19,6 +20,25 @@ def patch(data: Column, bands, h, w) -> Column:
     return F.struct(as_int(bands).alias("bands"), as_int(h).alias("h"), as_int(w).alias("w"), data.alias("data"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Lambda bodies are evaluated per element and do not share sub-expressions, so anything costly used inside one is
+    bound first.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
+def on_image(fn: Callable[..., Column]) -> Callable[..., Column]:
+    """Bind the first argument, a patch, before the function uses it inside lambdas."""
+
+    @functools.wraps(fn)
+    def run(img: Column, *args, **kwargs) -> Column:
+        return let(img, lambda i: fn(i, *args, **kwargs))
+
+    return run
+
+
 def at(values: Column, i: Column) -> Column:
     """Zero-based element access, NULL outside the array."""
     return F.get(values, i.cast("int"))
@@ -45,6 +65,7 @@ def pixel(img: Column, band: Column, y: Column, x: Column) -> Column:
     return at(img["data"], band * img["h"] * img["w"] + y * img["w"] + x)
 
 
+@on_image
 def map_pixels(img: Column, fn: Callable[[Column, Column], Column]) -> Column:
     """Apply ``fn(value, band)`` to every pixel."""
     plane = img["h"] * img["w"]
@@ -56,24 +77,28 @@ def band_slice(img: Column, band: Column) -> Column:
     return F.slice(img["data"], (band * plane + 1).cast("int"), plane)
 
 
+@on_image
 def per_band(img: Column, fn: Callable[[Column], Column]) -> Column:
     """One value per band: ``fn(pixels of the band)``."""
     return F.transform(F.sequence(F.lit(0), img["bands"] - 1), lambda b: fn(band_slice(img, b)))
 
 
-def scatter(entries: Column, size: Column) -> Column:
-    """Dense vector of ``size`` doubles from ``ARRAY<STRUCT<idx, value>>`` sorted by unique ``idx``; gaps are 0.
+def scatter(entries: Column, size: Column, fill: float | None = 0.0) -> Column:
+    """Dense vector of ``size`` doubles from ``ARRAY<STRUCT<idx, value>>`` sorted by unique ``idx``; gaps get ``fill``.
 
-    Linear in ``size``: runs of zeros are put between neighbours, nothing is looked up.
+    Linear in ``size``: runs of the filler are put between neighbours, nothing is looked up.
     """
-    zero = F.lit(0.0)
+    zero = F.lit(fill).cast("double")
+
+    def widen(cells: Column) -> Column:
+        def run(e: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(cells, i - 1)["idx"], F.lit(-1))
+            return F.concat(F.array_repeat(zero, (e["idx"] - before - 1).cast("int")), F.array(e["value"]))
 
-    def run(e: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(entries, i - 1)["idx"], F.lit(-1))
-        return F.concat(F.array_repeat(zero, (e["idx"] - before - 1).cast("int")), F.array(e["value"]))
+        last = F.coalesce(F.get(cells, F.size(cells) - 1)["idx"], F.lit(-1))
+        return F.concat(F.flatten(F.transform(cells, run)), F.array_repeat(zero, (size - last - 1).cast("int")))
 
-    last = F.coalesce(F.get(entries, F.size(entries) - 1)["idx"], F.lit(-1))
-    return F.concat(F.flatten(F.transform(entries, run)), F.array_repeat(zero, (size - last - 1).cast("int")))
+    return let(entries, widen)
 
 
 def total(values: Column) -> Column:

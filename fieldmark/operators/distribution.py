@@ -42,6 +42,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return hits.groupBy(*keys, "q").agg(F.sum(F.col("v") * weight).alias("quantile"))
 
 
+def counted_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Exact median per key for values from a bounded set (digital numbers): equal values are counted before the
+    shuffle, so a group is never longer than the number of distinct values."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    by = Window.partitionBy(*keys)
+    placed = counted.withColumn("upto", F.sum("c").over(by.orderBy("v"))).withColumn("n", F.sum("c").over(by))
+    before = F.col("upto") - F.col("c")
+
+    def holds(rank: Column) -> Column:
+        return ((rank >= before) & (rank < F.col("upto"))).cast("int")
+
+    weight = holds(F.floor((F.col("n") - 1) / 2)) + holds(F.floor(F.col("n") / 2))
+    return placed.groupBy(*keys).agg((F.sum(F.col("v") * weight) / 2).alias("median"))
+
+
 def lower_bound(sorted_values: Column, v: Column, limit: int) -> Column:
     """Number of elements below ``v`` in a sorted array of at most ``limit`` elements."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(limit.bit_length()))])

@@ -71,8 +71,8 @@ def encounter_targets(log: DataFrame, species_list: DataFrame, min_checklists: i
         F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), cell))).alias("cells"))
     kept = per_hotspot.filter((F.col("num_complete_checklists") > min_checklists) & (F.col("unwanted") == 0))
     share = F.transform("cells", lambda c: F.struct(c["idx"].alias("idx"), (c["value"] / F.col("num_complete_checklists")).alias("value")))
-    return (kept.withColumn("cells", share)
-            .select("hotspot_id", arrays.scatter(F.col("cells"), size).alias("probs"), "num_complete_checklists",
+    return (kept.withColumn("cells", share).withColumn("size", size)
+            .select("hotspot_id", arrays.scatter(F.col("cells"), F.col("size")).alias("probs"), "num_complete_checklists",
                     "num_different_species"))
 
 

@@ -61,7 +61,10 @@ def masked_predictions(predictions: DataFrame, masks: DataFrame, subset: Column
     if not soft:
         out = out.withColumn("p", masked("p", "mask"))
     if subset is not None:
-        out = out.withColumns({c: F.transform(subset, lambda i, c=c: F.get(F.col(c), i)) for c in ("y", "p")})
+        def pick(vector: Column) -> Column:
+            return F.transform(subset, lambda i: F.get(vector, i))
+
+        out = out.withColumns({"y": pick(F.col("y")), "p": pick(F.col("p"))})
     return out.drop("mask")
 
 

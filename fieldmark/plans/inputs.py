@@ -165,12 +165,11 @@ class Inputs:
 
     @cached_property
     def raster(self) -> DataFrame:
-        """27 layers on a grid of 20 columns, one pixel per source vector and layer."""
+        """27 stacked layers on a grid of 20 columns, one source vector per pixel."""
         key = F.col("vec_id")
-        return (self.table("embeddings").select(key, F.posexplode(F.slice("embedding", 1, 27)).alias("layer", "v"))
-                .select(F.col("layer").cast("bigint").alias("layer"), F.floor(key / 20).alias("row"),
-                        (key % 20).alias("col"),
-                        F.when((key * 5 + F.col("layer")) % 29 != 0, F.col("v").cast("double") * 100).alias("value")))
+        values = F.transform(F.slice("embedding", 1, 27), lambda v, i: F.when(
+            (key * 5 + i) % 29 != 0, v.cast("double") * 100))
+        return self.table("embeddings").select(F.floor(key / 20).alias("row"), (key % 20).alias("col"), values.alias("values"))
 
     @cached_property
     def season_obs(self) -> DataFrame:

@@ -67,7 +67,7 @@ SELECT vec_id AS patch_key, i // 16 AS band, (i % 16) // 4 AS y, i % 4 AS x,
        1e3 + round(CAST(embedding[i+1] AS DOUBLE) * 1e3) AS value
 FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS i) g""",
     "fx_raster": """
-SELECT layer, vec_id // 20 AS row, vec_id % 20 AS col,
+SELECT layer, vec_id // 20 AS "row", vec_id % 20 AS col,
        CASE WHEN (vec_id*5 + layer) % 29 = 0 THEN NULL ELSE CAST(embedding[layer+1] AS DOUBLE) * 100 END AS value
 FROM embeddings CROSS JOIN (SELECT unnest(range(27)) AS layer) g""",
     "fx_pair": """

@@ -1,0 +1,123 @@
+"""Baselines and species statistics."""
+
+from pyspark.sql import functions as F
+
+from fieldmark.operators import baselines, distribution, encounter, metrics, species, splits
+from fieldmark.plans.catalog import query
+from fieldmark.plans.inputs import WINTER
+
+
+@query("mean_encounter_baseline", """
+SELECT split, avg(abs(y - m)) AS mae, avg((y - m) * (y - m)) AS mse FROM fx_pred f
+JOIN (SELECT species_idx, avg(y) AS m FROM fx_pred WHERE split = 'train' GROUP BY species_idx) t ON t.species_idx = f.species_idx
+WHERE split <> 'train' GROUP BY split""", "mae mse")
+def mean_encounter_baseline(d):
+    scored = baselines.mean_encounter(d.predictions).filter(F.col("split") != "train")
+    return metrics.evaluate(scored, {"mae": metrics.mae(), "mse": metrics.mse()}, by=["split"])
+
+
+def features(d):
+    """Predictions beside imputed features; hotspots meet feature rows by their number."""
+    env = d.env_wide.select(F.col("env_key").alias("loc_key"), F.col("env").alias("x"))
+    return splits.impute_train_mean(d.predictions.join(env, "loc_key"), "x", 27)
+
+
+@query("gbt_baseline")
+def gbt_baseline(d):
+    return baselines.boosted(features(d), "x", chosen=[0], seeds=[0, 1], maxIter=3, maxDepth=2)
+
+
+@query("xgb_baseline")
+def xgb_baseline(d):
+    scored = baselines.boosted(features(d), "x", chosen=[1], seeds=[0], maxIter=10, maxDepth=2)
+    return scored.groupBy("split").agg(metrics.mae().alias("mae"), metrics.mse().alias("mse"), metrics.clipped_ce_sum().alias("ce"))
+
+
+@query("ridge_baseline")
+def ridge_baseline(d):
+    rows = features(d).select("hotspot_id", "split", "x", "y")
+    w = baselines.ridge_weights(rows.filter(F.col("split") == "train"), "x", "y")
+    scored = baselines.ridge_predict(rows, "x", w)
+    return scored.select("hotspot_id", "split", F.posexplode("p").alias("species_idx", "p"))
+
+
+@query("rf_presence")
+def rf_presence(d):
+    return baselines.forest_presence(features(d), "x", chosen=[2], numTrees=10, maxDepth=3)
+
+
+@query("bias_from_means", """
+SELECT species_idx, ln(m / (1 - m)) AS bias FROM (SELECT species_idx, greatest(1e-10, least(1 - 1e-10, avg(y))) AS m FROM fx_rate GROUP BY species_idx) t""", "bias", "species_idx")
+def bias_from_means(d):
+    return baselines.logit_bias(species.mean_rates(d.targets))
+
+
+@query("subset_targets", "SELECT hotspot_id, species_idx // 5 AS place, y AS rate FROM fx_rate WHERE species_idx % 5 = 0", "rate", "place")
+def subset_targets(d):
+    indices = F.sequence(F.lit(0), F.size("probs") - 1, F.lit(5))
+    kept = d.targets.select("hotspot_id", baselines.subset_vector("probs", indices).alias("probs"))
+    return encounter.long_targets(kept).withColumnRenamed("species_idx", "place")
+
+
+@query("species_frequencies", "SELECT species_idx, sum(y * n) AS frequency FROM fx_rate GROUP BY species_idx", "frequency", "species_idx")
+def species_frequencies(d):
+    return species.frequencies(d.targets)
+
+
+@query("most_least_common", """
+WITH f AS (SELECT species_idx, round(sum(y * n), 9) AS f FROM fx_rate GROUP BY species_idx)
+SELECT (SELECT species_idx FROM f ORDER BY f DESC, species_idx LIMIT 1) AS most_common,
+       (SELECT species_idx FROM f WHERE f > 0 ORDER BY f, species_idx LIMIT 1) AS least_common""", bigints="most_common least_common")
+def most_least_common(d):
+    return species.most_least_common(species.frequencies(d.targets))
+
+
+@query("random_subset")
+def random_subset(d):
+    return species.random_subset(species.frequencies(d.targets), 10, seed=3)
+
+
+@query("zero_in_both", """
+WITH w AS (SELECT species FROM fx_obs WHERE complete = 1 AND month(obs_date) IN (12, 1) AND year(obs_date) >= 1996)
+SELECT species_idx FROM fx_rate GROUP BY species_idx, species HAVING max(y) = 0 AND species NOT IN (SELECT species FROM w)""", bigints="species_idx")
+def zero_in_both(d):
+    winter = d.obs.filter((F.col("complete") == 1) & F.month("obs_date").isin(WINTER) & (F.year("obs_date") >= 1996))
+    cold = encounter.encounter_targets(winter, d.species_list, 0)
+    return species.zero_in_both(species.frequencies(d.targets), species.frequencies(cold))
+
+
+@query("species_occurrence", "SELECT species_idx, count(CASE WHEN y > 0 THEN 1 END) AS hotspots FROM fx_rate GROUP BY species_idx", bigints="species_idx hotspots")
+def species_occurrence(d):
+    return species.occurrence_counts(d.targets)
+
+
+@query("never_present", "SELECT species_idx FROM fx_pred WHERE split = 'test' GROUP BY species_idx HAVING max(y) = 0", bigints="species_idx")
+def never_present(d):
+    return species.never_present(d.predictions.filter(F.col("split") == "test").select(F.col("y").alias("probs")))
+
+
+@query("where_is_species", """
+SELECT state, count(*) AS hotspots FROM fx_rate r JOIN fx_loc l ON l.hotspot_id = r.hotspot_id WHERE species_idx = 4 AND y > 0 GROUP BY state""", bigints="hotspots")
+def where_is_species(d):
+    return species.places_of(d.targets, d.loc, F.lit(4), "state")
+
+
+@query("sparse_binarize", "SELECT hotspot_id, species_idx, 1 AS present FROM fx_rate WHERE y > 0", bigints="species_idx present")
+def sparse_binarize(d):
+    return species.presence_pairs(d.targets)
+
+
+RATE_HISTOGRAM = """
+WITH m AS (SELECT species_idx, avg(y) AS m FROM fx_rate GROUP BY species_idx {having}),
+ b AS (SELECT min(m) AS lo, (max(m) - min(m)) / 1e1 AS step FROM m)
+SELECT CAST(least(floor((m - lo) / step), 9) AS BIGINT) AS bin, min(lo + least(floor((m - lo) / step), 9) * step) AS lower_edge, count(*) AS n FROM m CROSS JOIN b GROUP BY 1"""
+
+
+@query("mean_rate_histogram", RATE_HISTOGRAM.format(having=""), "lower_edge", "n")
+def mean_rate_histogram(d):
+    return distribution.histogram(species.mean_rates(d.targets), "mean_rate", 10)
+
+
+@query("mean_rate_histogram_low", RATE_HISTOGRAM.format(having="HAVING avg(y) <= 2e-1"), "lower_edge", "n")
+def mean_rate_histogram_low(d):
+    return distribution.histogram(species.mean_rates(d.targets).filter(F.col("mean_rate") <= 0.2), "mean_rate", 10)

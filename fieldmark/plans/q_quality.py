@@ -1,0 +1,67 @@
+"""Quality checks and incremental runs."""
+
+from pyspark.sql import functions as F
+
+from fieldmark import session
+from fieldmark.operators import filters, metrics, quality, samples
+from fieldmark.plans.catalog import query
+from fieldmark.streaming import ingest
+
+
+@query("modality_completeness", """
+SELECT hotspot_id, 'env' AS modality FROM fx_site WHERE site_key NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT hotspot_id, 'occurrences' FROM fx_site WHERE hotspot_id NOT IN (SELECT hotspot_id FROM fx_occ)
+UNION ALL SELECT hotspot_id, 'orders' FROM fx_site WHERE site_key NOT IN (SELECT o_custkey FROM orders)""")
+def modality_completeness(d):
+    def ids(table, column):
+        return d.table(table).select(F.concat(F.lit("C"), F.col(column).cast("string")).alias("hotspot_id"))
+
+    return quality.incomplete_modalities(d.site, {"env": ids("embeddings", "vec_id"), "occurrences": d.occ, "orders": ids("orders", "o_custkey")})
+
+
+@query("nan_images", "SELECT patch_key, count(*) AS missing FROM fx_patch WHERE value IS NULL AND patch_key % 3 = 0 GROUP BY patch_key", bigints="missing")
+def nan_images(d):
+    some = d.patch.unionByName(d.image).filter(F.col("patch_key") % 3 == 0)
+    return samples.with_gaps(some).select("patch_key", F.size(F.filter("img.data", lambda v: v.isNull())).alias("missing"))
+
+
+@query("expected_lengths", """
+SELECT hotspot_id, 24 AS targets, 24 - (loc_key % 2) AS predictions FROM (SELECT DISTINCT hotspot_id, loc_key FROM fx_rate) t WHERE loc_key % 2 = 1""",
+       bigints="targets predictions")
+def expected_lengths(d):
+    cut = d.predictions.withColumn("p", F.expr("slice(p, 1, size(p) - cast(loc_key % 2 as int))"))
+    return quality.wrong_lengths(cut, 24, {"targets": "y", "predictions": "p"})
+
+
+@query("incremental_ingest", """
+SELECT o_orderkey, CASE WHEN month(o_orderdate) IN (6, 7) THEN 'summer' ELSE 'winter' END AS season FROM orders
+WHERE o_orderstatus <> 'P' AND month(o_orderdate) IN (6, 7, 12, 1)""")
+def incremental_ingest(d):
+    """The checklist log read as a stream; equal to the batch filter."""
+    log = ingest.files(d.spark, d.folder, d.table("orders").schema, "orders.parquet")
+    rows = log.select("o_orderkey", F.to_date("o_orderdate").alias("obs_date"), "o_orderstatus").filter(F.col("o_orderstatus") != "P")
+    path = session.scratch_path(d.spark, "ingest")
+    ingest.append_partitioned(filters.with_season(rows).select("o_orderkey", "season"), path, path + "-checkpoint", ["season"])
+    return d.spark.read.parquet(path).select("o_orderkey", "season")
+
+
+@query("resume_skip_done", "SELECT DISTINCT o_custkey FROM orders")
+def resume_skip_done(d):
+    """Two runs over the same folder; the second finds everything done."""
+    path = session.scratch_path(d.spark, "resume")
+    for run in ("first", "second"):
+        stream = ingest.files(d.spark, d.folder, d.table("orders").schema, "orders.parquet").select("o_custkey")
+        ingest.append_new(stream, f"{path}/run={run}", f"{path}-{run}-checkpoint", "o_custkey",
+                          work=None if run == "first" else lambda b: b.join(d.spark.read.parquet(f"{path}/run=first").select("o_custkey"), "o_custkey", "left_anti"))
+    return d.spark.read.parquet(path).select("o_custkey")
+
+
+@query("running_metrics", "SELECT split, sum(abs(y - p)) AS total, count(*) AS n FROM fx_pred GROUP BY split", "total", "n")
+def running_metrics(d):
+    """Prediction rows arrive as files; the state after the last file equals the batch sums."""
+    source, path = session.scratch_path(d.spark, "predictions"), session.scratch_path(d.spark, "state")
+    d.predictions.repartition(3).write.parquet(source)
+    stream = ingest.files(d.spark, source, d.spark.read.parquet(source).schema, per_trigger=1)
+    errors = metrics.cells(stream, "split").select("split", F.abs(F.col("y") - F.col("p")).alias("error"))
+    ingest.running_state(errors, path, path + "-checkpoint", ["split"], "error")
+    return ingest.latest_state(d.spark, path)
