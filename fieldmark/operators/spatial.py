@@ -82,7 +82,7 @@ def nearest(points: DataFrame, centres: DataFrame, centre_key: str, max_km: floa
     """Each point with its nearest centre within ``max_km`` (inclusive): columns ``near_key``, ``near_lat``,
     ``near_lon``, the ``keep`` columns of the centre and ``distance_km``. Points without one are left out.
 
-    Ties go to the smaller key. Points with equal coordinates are looked up once.
+    Distances equal to the micrometre tie and go to the smaller key. Points with equal coordinates are looked up once.
     """
     reach = chord(max_km) * (1 + 1e-9)
     centre_nodes = coordinates(centres, centre_key)
@@ -92,7 +92,7 @@ def nearest(points: DataFrame, centres: DataFrame, centre_key: str, max_km: floa
     near = _candidates(queries, centre_nodes, reach)
     near = near.withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("near_lat"), F.col("near_lon")))
     best = near.filter(F.col("distance_km") <= max_km).groupBy("lat", "lon").agg(
-        F.min_by(F.struct("near_key", "near_lat", "near_lon", "distance_km"), F.struct("distance_km", "near_key")).alias("b"))
+        F.min_by(F.struct("near_key", "near_lat", "near_lon", "distance_km"), F.struct(F.round("distance_km", 9), "near_key")).alias("b"))
     best = best.select("lat", "lon", "b.*")
     if keep:
         extra = centres.select(F.col(centre_key).alias("near_key"), *keep)

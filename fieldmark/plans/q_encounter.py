@@ -81,10 +81,10 @@ def butterfly_targets(d):
 
 
 @query("rate_violations", """
-SELECT hotspot_id, max(y) * 2e0 AS max_rate FROM fx_rate GROUP BY hotspot_id HAVING max(y) * 2e0 > 1""", "max_rate")
+SELECT hotspot_id, max(y) * 6e0 AS max_rate FROM fx_rate GROUP BY hotspot_id HAVING max(y) * 6e0 > 1""", "max_rate")
 def rate_violations(d):
-    doubled = d.targets.withColumn("probs", F.transform("probs", lambda y: y * F.lit(2.0)))
-    return filters.rate_violations(doubled)
+    inflated = d.targets.withColumn("probs", F.transform("probs", lambda y: y * F.lit(6.0)))
+    return filters.rate_violations(inflated)
 
 
 @query("species_frequency_list", """
@@ -269,7 +269,9 @@ def duplicate_groups(d):
 
 
 SUSPICIOUS_CTE = """
-WITH occ AS (SELECT hotspot_id, event_type AS observer, CAST(ts AS DATE) AS d FROM events JOIN fx_site ON user_id = site_key),
+WITH occ AS (SELECT hotspot_id, CASE WHEN place % 3 = 0 THEN place % 50 ELSE o_custkey % 7 END AS observer,
+   CASE WHEN place % 3 = 0 THEN DATE '2000-01-01' ELSE CAST(o_orderdate AS DATE) END AS d
+   FROM (SELECT *, CASE WHEN site_key % 10 = 0 AND site_key > 0 THEN site_key - 1 ELSE site_key END AS place FROM fx_site) k JOIN orders ON o_custkey = site_key),
  g AS (SELECT lon, lat, hotspot_id, site_key, count(*) OVER (PARTITION BY lon, lat) AS n FROM fx_site),
  obs_sets AS (SELECT hotspot_id, array_to_string(list_sort(list(DISTINCT observer)), ',') AS os, min(d) AS d0, max(d) AS d1 FROM occ GROUP BY hotspot_id),
  bad AS (SELECT g.lon, g.lat FROM g JOIN obs_sets o ON o.hotspot_id = g.hotspot_id WHERE n > 1
@@ -279,8 +281,11 @@ WITH occ AS (SELECT hotspot_id, event_type AS observer, CAST(ts AS DATE) AS d FR
 @query("suspicious_groups", SUSPICIOUS_CTE + """
 SELECT g.hotspot_id FROM g JOIN bad ON g.lon = bad.lon AND g.lat = bad.lat""")
 def suspicious_groups(d):
-    log = d.table("events").join(d.site, F.col("user_id") == F.col("site_key")).select(
-        "hotspot_id", F.col("event_type").alias("observer_id"), F.to_date("ts").alias("obs_date"))
+    place = F.when((F.col("site_key") % 10 == 0) & (F.col("site_key") > 0), F.col("site_key") - 1).otherwise(F.col("site_key"))
+    lone = place % 3 == 0
+    log = d.table("orders").join(d.site, F.col("o_custkey") == F.col("site_key")).select(
+        "hotspot_id", F.when(lone, place % 50).otherwise(F.col("o_custkey") % 7).alias("observer_id"),
+        F.when(lone, F.lit("2000-01-01").cast("date")).otherwise(F.to_date("o_orderdate")).alias("obs_date"))
     return duplicates.suspicious(duplicates.groups(d.site, "hotspot_id", "site_key"), log)
 
 

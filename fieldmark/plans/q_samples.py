@@ -125,12 +125,12 @@ def noise(d):
     return shown(d.image, transforms.noise(img(), 1e-2, 5e-2, 9, F.col("patch_key")))
 
 
-UNIT = "(SELECT patch_key, band, y, x, value / 1777e0 AS value FROM fx_image)"
+UNIT = "(SELECT patch_key, band, y, x, value / (12345678e-3 / 7e0) AS value FROM fx_image)"
 
 
 @query("brightness", f"SELECT patch_key, band, y, x, CASE WHEN band < 3 THEN greatest(0e0, least(1e0, value * 18e-1)) ELSE value END AS value FROM {UNIT} u", "value", PX)
 def brightness(d):
-    return shown(d.image, transforms.brightness(transforms.scale(img(), 1777.0), 1.8))
+    return shown(d.image, transforms.brightness(transforms.scale(img(), 12345.678 / 7.0), 1.8))
 
 
 @query("contrast", f"""
@@ -138,7 +138,7 @@ SELECT u.patch_key, band, y, x, CASE WHEN band < 3 THEN greatest(0e0, least(1e0,
 JOIN (SELECT patch_key, sum(CASE band WHEN 0 THEN 2989e-4 WHEN 1 THEN 587e-3 WHEN 2 THEN 114e-3 ELSE 0e0 END * value) / 16e0 AS g FROM {UNIT} v GROUP BY patch_key) m
 ON m.patch_key = u.patch_key""", "value", PX)
 def contrast(d):
-    return shown(d.image, transforms.contrast(transforms.scale(img(), 1777.0), 1.4))
+    return shown(d.image, transforms.contrast(transforms.scale(img(), 12345.678 / 7.0), 1.4))
 
 
 @query("gaussian_blur", """
