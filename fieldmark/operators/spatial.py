@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo
@@ -228,23 +228,29 @@ def _cell_edges(nodes: DataFrame, cells: DataFrame, eps: float, side: float, km:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): label = smallest node of the component, for nodes of the undirected ``edges`` (a, b).
 
-    Rounds of hooking to the smallest neighbouring label and shortcutting; every step is an aggregate or an
-    equi-join, and each round's labels are written to shared storage, so lineage stays short and lost executors cost
-    one round at most. Cube graphs have bounded degree, so the edge join has no hot key.
+    Each round looks up every label's own label, takes the smallest of those around a node, and hands it both to the
+    node and to the node it points at, so distances at least halve and the rounds grow with the logarithm of the
+    longest chain. A round is aggregates and equi-joins written once to shared storage: lineage stays short and a lost
+    executor costs one round at most. Cube graphs have bounded degree, so the edge join has no hot key; the label
+    lookups meet unique keys.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")).select(
-        "node", "label", F.lit(True).alias("changed")), "labels")
-    while labels.filter("changed").limit(1).count():
-        around = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("m")), "v").groupBy(F.col("u").alias("node")).agg(F.min("m").alias("m"))
-        state = labels.select("node", "label").join(around, "node").withColumn("m", F.least("m", "label"))
-        hooks = state.groupBy(F.col("label").alias("root")).agg(F.min("m").alias("up"))
-        up = hooks.select(F.col("root").alias("up"), F.col("up").alias("upper"))
-        hooks = hooks.join(up, "up", "left").select("root", F.coalesce("upper", "up").alias("up"))
-        new = state.join(hooks, state["label"] == hooks["root"]).select("node", F.col("label").alias("old"), F.least("m", "up").alias("label"))
-        labels = materialize(new.select("node", "label", (F.col("label") != F.col("old")).alias("changed")), "labels")
-    return labels.select("node", "label")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label"))
+    labels = materialize(labels, "labels")
+    while True:
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        raised = labels.join(up, "label")
+        around = (both.join(raised.select(F.col("node").alias("v"), "top"), "v")
+                  .groupBy(F.col("u").alias("node")).agg(F.min("top").alias("near")))
+        state = raised.join(around, "node").withColumn("best", F.least("top", "near"))
+        handed = state.select(F.col("label").alias("node"), "best").unionByName(state.select("node", "best"))
+        proposed = handed.groupBy("node").agg(F.min("best").alias("new"))
+        changed = Observation()
+        new = labels.join(proposed, "node").select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved"))
+        labels = materialize(new.observe(changed, F.count_if("moved").alias("n")), "labels").drop("moved")
+        if not changed.get["n"]:
+            return labels
 
 
 def medoids(members: DataFrame, key: str) -> DataFrame:
