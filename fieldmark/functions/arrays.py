@@ -101,6 +101,15 @@ def scatter(entries: Column, size: Column, fill: float | None = 0.0) -> Column:
     return let(entries, widen)
 
 
+def unrolled(vector: str | Column, *names: str) -> Column:
+    """Generator of (position, value) rows of a vector that is never empty.
+
+    The plain generator makes Catalyst infer a filter on the vector's size, which computes a derived vector twice;
+    the outer form does not.
+    """
+    return F.posexplode_outer(vector).alias(*names)
+
+
 def total(values: Column) -> Column:
     """NULL-skipping sum."""
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,23 +104,36 @@ def resize_nearest(img: Column, h: int, w: int) -> Column:
         img, b, F.floor(y * img["h"] / F.lit(h)), F.floor(x * img["w"] / F.lit(w))))
 
 
+def _taps(n: Column, size: int) -> Column:
+    """Per output index the two source indices and the weight of the second: half-pixel centres, edges repeated."""
+
+    def tap(i: Column) -> Column:
+        place = F.greatest(F.lit(0.0), (i + F.lit(0.5)) * n / F.lit(float(size)) - F.lit(0.5))
+        return let(place, lambda s: F.struct(
+            F.floor(s).cast("int").alias("a"), F.least(F.floor(s) + 1, n - 1).cast("int").alias("b"), (s - F.floor(s)).alias("f")))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), tap)
+
+
 @on_image
 def resize_bilinear(img: Column, h: int, w: int) -> Column:
-    """Half-pixel centres, edges repeated."""
+    """Two passes over precomputed source positions: first along the rows, then along the columns."""
+
+    def resampled(axes: Column) -> Column:
+        def line(values: Column) -> Column:
+            return F.transform(axes["x"], lambda t: F.get(values, t["a"]) * (1 - t["f"]) + F.get(values, t["b"]) * t["f"])
 
-    def source(i: Column, n: Column, size: int) -> Column:
-        return F.greatest(F.lit(0.0), (i + F.lit(0.5)) * n / F.lit(float(size)) - F.lit(0.5))
+        def band(b: Column) -> Column:
+            start = b * img["h"] * img["w"] + 1
+            rows = F.transform(F.sequence(F.lit(0), img["h"] - 1), lambda y: let(
+                F.slice(img["data"], (start + y * img["w"]).cast("int"), img["w"]), line))
+            return let(rows, lambda r: F.flatten(F.transform(axes["y"], lambda t: F.zip_with(
+                F.get(r, t["a"]), F.get(r, t["b"]), lambda p, q: p * (1 - t["f"]) + q * t["f"]))))
 
-    def value(b: Column, y: Column, x: Column) -> Column:
-        sy, sx = source(y, img["h"], h), source(x, img["w"], w)
-        y0, x0 = F.floor(sy), F.floor(sx)
-        y1, x1 = F.least(y0 + 1, img["h"] - 1), F.least(x0 + 1, img["w"] - 1)
-        fy, fx = sy - y0, sx - x0
-        top = arrays.pixel(img, b, y0, x0) * (1 - fx) + arrays.pixel(img, b, y0, x1) * fx
-        low = arrays.pixel(img, b, y1, x0) * (1 - fx) + arrays.pixel(img, b, y1, x1) * fx
-        return top * (1 - fy) + low * fy
+        return F.flatten(F.transform(F.sequence(F.lit(0), img["bands"] - 1), band))
 
-    return arrays.build(img["bands"], h, w, value)
+    axes = F.struct(_taps(img["h"], h).alias("y"), _taps(img["w"], w).alias("x"))
+    return arrays.patch(let(axes, resampled), img["bands"], h, w)
 
 
 @on_image
@@ -168,16 +182,33 @@ def gaussian_blur(img: Column, size: int = 3) -> Column:
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     half = size // 2
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
-    taps = [(k, r / sum(raw)) for k, r in zip(range(-half, half + 1), raw)]
+    weights = [r / sum(raw) for r in raw]
+
+    def mirrored(n: Column) -> Column:
+        def source(i: Column) -> Column:
+            return F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
+
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(*[source(i + k) for k in range(-half, half + 1)]))
+
+    def mixed(pick: Callable[[int], Column]) -> Column:
+        return functools.reduce(lambda s, k: s + F.lit(weights[k]) * pick(k), range(1, size), F.lit(weights[0]) * pick(0))
+
+    def blurred(axes: Column) -> Column:
+        def line(values: Column) -> Column:
+            return F.transform(axes["x"], lambda t: mixed(lambda k: F.get(values, t[k])))
 
-    def mirror(i: Column, n: Column) -> Column:
-        return F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
+        def band(b: Column) -> Column:
+            start = b * img["h"] * img["w"] + 1
+            rows = F.transform(F.sequence(F.lit(0), img["h"] - 1), lambda y: let(
+                F.slice(img["data"], (start + y * img["w"]).cast("int"), img["w"]), line))
+            columns = F.sequence(F.lit(0), img["w"] - 1)
+            return let(rows, lambda r: F.flatten(F.transform(axes["y"], lambda t: F.transform(
+                columns, lambda x: mixed(lambda k: F.get(F.get(r, t[k]), x))))))
 
-    def value(b: Column, y: Column, x: Column) -> Column:
-        return sum((F.lit(wy * wx) * arrays.pixel(img, b, mirror(y + dy, img["h"]), mirror(x + dx, img["w"]))
-                    for dy, wy in taps for dx, wx in taps), F.lit(0.0))
+        return F.flatten(F.transform(F.sequence(F.lit(0), img["bands"] - 1), band))
 
-    return arrays.build(img["bands"], img["h"], img["w"], value)
+    axes = F.struct(mirrored(img["h"]).alias("y"), mirrored(img["w"]).alias("x"))
+    return arrays.patch(let(axes, blurred), img["bands"], img["h"], img["w"])
 
 
 def stack(first: Column, *others: Column) -> Column:

@@ -78,7 +78,7 @@ def encounter_targets(log: DataFrame, species_list: DataFrame, min_checklists: i
 
 def long_targets(targets: DataFrame, vector: str = "probs", value: str = "rate") -> DataFrame:
     keep = [c for c in targets.columns if c != vector]
-    return targets.select(*keep, F.posexplode(vector).alias("species_idx", value))
+    return targets.select(*keep, arrays.unrolled(vector, "species_idx", value))
 
 
 def checklist_counts(log: DataFrame, min_checklists: int = 5) -> DataFrame:
@@ -116,7 +116,7 @@ def merge_targets(targets: DataFrame, merge_map: DataFrame) -> DataFrame:
     with partial aggregation, so a survivor with many members stays spread over tasks.
     """
     named = merge_map.join(targets, merge_map["member_id"] == targets["hotspot_id"])
-    weighted = named.select("survivor_id", "num_complete_checklists", F.posexplode("probs").alias("species_idx", "rate"))
+    weighted = named.select("survivor_id", "num_complete_checklists", arrays.unrolled("probs", "species_idx", "rate"))
     # species 0 occurs once per member, so its weights add up to the hotspot's total
     sums = weighted.groupBy("survivor_id", "species_idx").agg(
         F.sum(F.col("rate") * F.col("num_complete_checklists")).alias("weighted"),

@@ -16,7 +16,7 @@ from fieldmark.operators import distribution, species
 
 def cells(pred: DataFrame, *keep: str) -> DataFrame:
     """(keep..., species_idx, y, p)."""
-    return pred.select(*keep, F.posexplode(F.arrays_zip("y", "p")).alias("species_idx", "c")).select(*keep, "species_idx", "c.y", "c.p")
+    return pred.select(*keep, arrays.unrolled(F.arrays_zip("y", "p"), "species_idx", "c")).select(*keep, "species_idx", "c.y", "c.p")
 
 
 def _y() -> Column:
@@ -101,7 +101,7 @@ def topk_curve(pred: DataFrame, ks: Sequence[int]) -> DataFrame:
     One count per such rank replaces one comparison per k; what is left is as long as the species list.
     """
     worst = F.zip_with(scores.ranks(_y()), scores.ranks(_p()), lambda a, b: F.greatest(a, b))
-    by_rank = pred.select(F.explode(worst).alias("rank")).groupBy("rank").agg(F.count("*").alias("c"))
+    by_rank = pred.select(F.explode_outer(worst).alias("rank")).groupBy("rank").agg(F.count("*").alias("c"))
     points = by_rank.select("c", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))).alias("k"))
     n = pred.agg(F.count("*").alias("n")).select("n").scalar()
     return points.groupBy("k").agg(F.sum("c").alias("shared")).select("k", (F.col("shared") / (F.col("k") * n)).alias("score"))
@@ -131,7 +131,7 @@ def subset_errors(pred: DataFrame, targets: DataFrame, n: int) -> DataFrame:
 def error_by_target_bin(pred: DataFrame, edges: int = 19) -> DataFrame:
     """Squared and signed error per target bin; the edges are evenly spaced from min to max, the max has its own bin."""
     table = cells(pred)
-    b = distribution.bounds(pred.select(F.explode("y").alias("y")), "y")
+    b = distribution.bounds(pred.select(F.explode_outer("y").alias("y")), "y")
     step = (b["hi"] - b["lo"]) / F.lit(float(edges - 1))
     slot = F.when(step > 0, F.floor((_y() - b["lo"]) / F.when(step > 0, step)) + 1).otherwise(F.lit(edges))
     e = _p() - _y()

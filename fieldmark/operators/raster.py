@@ -125,7 +125,7 @@ def clip_to_polygon(raster: DataFrame, polygons: DataFrame, grid: Grid) -> DataF
     centres = raster.select(F.struct("row", "col").alias("cell"), lat.alias("lat"), lon.alias("lon"))
     inside = ranges.keep_inside(centres, polygons, "cell").select("cell.row", "cell.col")
     kept = raster.join(inside, ["row", "col"], "left_semi")
-    return kept.select("row", "col", F.posexplode("values").alias("layer", "value"))
+    return kept.select("row", "col", arrays.unrolled("values", "layer", "value"))
 
 
 # --------------------------------------------------------------------------- patches
@@ -191,7 +191,7 @@ def layer_ranges(patches: DataFrame, img: str = "img") -> DataFrame:
     """
     summary = arrays.per_band(F.col(img), lambda b: F.struct(
         F.array_min(b).alias("low"), F.array_max(b).alias("high"), F.exists(b, lambda v: v.isNull()).alias("gap")))
-    return patches.select(F.posexplode(summary).alias("band", "s")).groupBy("band").agg(
+    return patches.select(arrays.unrolled(summary, "band", "s")).groupBy("band").agg(
         F.min("s.low").alias("low"), F.max("s.high").alias("high"), F.count_if(F.col("s.gap")).alias("gaps"))
 
 

@@ -22,7 +22,7 @@ def pixels(images: DataFrame, key: str, img: str = "img") -> DataFrame:
     """(key, band, y, x, value)."""
     i = F.col(img)
     plane = i["h"] * i["w"]
-    flat = images.select(key, plane.alias("plane"), i["w"].alias("w"), F.posexplode(i["data"]).alias("pos", "value"))
+    flat = images.select(key, plane.alias("plane"), i["w"].alias("w"), arrays.unrolled(i["data"], "pos", "value")).filter(F.col("pos").isNotNull())
     rest = F.col("pos") % F.col("plane")
     return flat.select(key, F.floor(F.col("pos") / F.col("plane")).alias("band"), F.floor(rest / F.col("w")).alias("y"),
                        (rest % F.col("w")).cast("bigint").alias("x"), "value")

@@ -13,7 +13,7 @@ from fieldmark.functions import arrays
 
 
 def cells(targets: DataFrame, vector: str = "probs", *keep: str) -> DataFrame:
-    return targets.select(*keep, F.posexplode(vector).alias("species_idx", "rate"))
+    return targets.select(*keep, arrays.unrolled(vector, "species_idx", "rate"))
 
 
 def mean_rates(targets: DataFrame, vector: str = "probs") -> DataFrame:

@@ -15,7 +15,7 @@ from fieldmark.functions import arrays, transforms
 def band_means(images: DataFrame, crop: int | None, img: str = "img") -> DataFrame:
     """(band, mean): mean over images of each image's mean of its centre crop."""
     source = transforms.center_crop_half(F.col(img), crop) if crop else F.col(img)
-    per_image = images.select(source.alias("i")).select(F.posexplode(arrays.per_band(F.col("i"), arrays.mean)).alias("band", "m"))
+    per_image = images.select(source.alias("i")).select(arrays.unrolled(arrays.per_band(F.col("i"), arrays.mean), "band", "m"))
     return per_image.groupBy("band").agg(F.avg("m").alias("mean"))
 
 
@@ -39,7 +39,7 @@ def band_deviations(images: DataFrame, means: Column, crop: int | None, divisor:
         return arrays.total(squares) / (F.lit(divisor) if divisor else i["h"] * i["w"])
 
     spreads = arrays.let(F.col("i"), lambda i: F.transform(F.sequence(F.lit(0), i["bands"] - 1), lambda b: spread(i, b)))
-    per_image = rows.select(F.posexplode(spreads).alias("band", "s"))
+    per_image = rows.select(arrays.unrolled(spreads, "band", "s"))
     return per_image.groupBy("band").agg(F.sqrt(F.avg("s")).alias("std"))
 
 
@@ -51,11 +51,11 @@ def band_stats(images: DataFrame, crop: int | None, divisor: int | None = None,
 
 def point_stats(points: DataFrame, vector: str) -> DataFrame:
     """(layer, mean, std): gap-skipping mean and population deviation."""
-    return points.select(F.posexplode(vector).alias("layer", "v")).groupBy("layer").agg(
+    return points.select(arrays.unrolled(vector, "layer", "v")).groupBy("layer").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
 
 def pixel_stats(images: DataFrame, img: str = "img") -> DataFrame:
     """(pos, mean, std) of every pixel position over all images; partial rows are bounded by the image size."""
-    return images.select(F.posexplode(F.col(img)["data"]).alias("pos", "v")).groupBy("pos").agg(
+    return images.select(arrays.unrolled(F.col(img)["data"], "pos", "v")).groupBy("pos").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import arrays
 from fieldmark.operators import encounter
+from fieldmark.session import materialize
 
 EXCLUDED_STATES = ["NATION_3", "NATION_7"]
 SUMMER, WINTER = [6, 7], [12, 1]
@@ -115,7 +116,8 @@ class Inputs:
         ranked = encounter.species_dimension(brands).withColumn("total", F.count("*").over(encounter.whole_list()))
         kept = ranked.filter(F.col("species_idx") < F.col("total") - 3).select("species")
         absent = brands.agg(F.count("*")).select(F.explode(F.array(F.lit("Zz absent one"), F.lit("Zz absent two"))).alias("species"))
-        return encounter.species_dimension(kept.unionByName(absent))
+        # a species list is a stored file in practice; written once, every use reads a few known bytes
+        return materialize(encounter.species_dimension(kept.unionByName(absent)), "species-list")
 
     @cached_property
     def polygon(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldmark.functions import arrays
 from fieldmark.operators import baselines, distribution, encounter, metrics, species, splits
 from fieldmark.plans.catalog import query
 from fieldmark.plans.inputs import WINTER
@@ -38,7 +39,7 @@ def ridge_baseline(d):
     rows = features(d).select("hotspot_id", "split", "x", "y")
     w = baselines.ridge_weights(rows.filter(F.col("split") == "train"), "x", "y")
     scored = baselines.ridge_predict(rows, "x", w)
-    return scored.select("hotspot_id", "split", F.posexplode("p").alias("species_idx", "p"))
+    return scored.select("hotspot_id", "split", arrays.unrolled("p", "species_idx", "p"))
 
 
 @query("rf_presence")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldmark.functions import arrays
 from fieldmark.operators import duplicates, filters, joins, splits
 from fieldmark.plans.catalog import query
 from fieldmark.plans.inputs import split_of
@@ -113,7 +114,7 @@ SELECT r.hotspot_id, r.split, e.layer, e.value FROM {REF} r JOIN fx_env e ON e.e
 def join_env_features(d):
     env = d.env_wide.select(F.col("env_key").alias("site_key"), "env", "label")
     joined = joins.with_features(reference(d).select("site_key", "hotspot_id", "split"), env, "site_key", drop=["label"])
-    return joined.select("hotspot_id", "split", F.posexplode("env").alias("layer", "value"))
+    return joined.select("hotspot_id", "split", arrays.unrolled("env", "layer", "value"))
 
 
 @query("species_index_lookup", "SELECT species, species_idx FROM fx_list WHERE species IN ('Brand#11', 'Brand#20', 'Zz absent one')", bigints="species_idx")
@@ -141,4 +142,4 @@ def attach_attributes(d):
     hotspots = duplicates.keep_first(d.occ.select("hotspot_id", "site_key", "occurrence_id"), "hotspot_id", "occurrence_id").drop("occurrence_id")
     env = d.env_wide.select(F.col("env_key").alias("site_key"), "env")
     joined = joins.with_features(hotspots, d.site.select("site_key", "state_key"), "site_key").join(env, "site_key")
-    return joined.select("hotspot_id", "state_key", F.posexplode("env").alias("layer", "value"))
+    return joined.select("hotspot_id", "state_key", arrays.unrolled("env", "layer", "value"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldmark.functions import arrays
 from fieldmark.operators import encounter, ranges
 from fieldmark.plans.catalog import query
 
@@ -21,14 +22,14 @@ FROM fx_loc l CROSS JOIN fx_list s LEFT JOIN ({INSIDE_LOC}) i ON i.loc_key = l.l
 @query("range_membership", f"SELECT hotspot_id, species_idx, in_range FROM ({INSIDE_SITE}) q", bigints="species_idx")
 def range_membership(d):
     masks = ranges.range_masks(d.site, d.polygon, d.species_list)
-    long = masks.select("hotspot_id", F.posexplode("in_range").alias("species_idx", "in_range"))
+    long = masks.select("hotspot_id", arrays.unrolled("in_range", "species_idx", "in_range"))
     return long.filter(F.col("in_range").isNotNull())
 
 
 @query("range_map_matrix", f"SELECT hotspot_id, species_idx, mask FROM ({MASK}) q", bigints="species_idx")
 def range_map_matrix(d):
     masks = ranges.range_masks(d.loc, d.polygon, d.species_list)
-    return masks.select("hotspot_id", F.posexplode("mask").alias("species_idx", "mask"))
+    return masks.select("hotspot_id", arrays.unrolled("mask", "species_idx", "mask"))
 
 
 @query("correct_targets", f"""
@@ -50,7 +51,7 @@ def mask_pred_and_target(d):
     size = F.size(F.col("y"))
     subset = F.sequence(F.lit(0), size - 1, F.lit(2))
     masked = ranges.masked_predictions(d.predictions, masks, subset=subset)
-    return masked.select("hotspot_id", F.posexplode(F.arrays_zip("y", "p")).alias("place", "c")).select("hotspot_id", "place", "c.y", "c.p")
+    return masked.select("hotspot_id", arrays.unrolled(F.arrays_zip("y", "p"), "place", "c")).select("hotspot_id", "place", "c.y", "c.p")
 
 
 @query("mask_target_soft", f"""
@@ -59,7 +60,7 @@ FROM fx_pred r JOIN ({MASK}) m ON m.hotspot_id = r.hotspot_id AND m.species_idx
 def mask_target_soft(d):
     masks = ranges.range_masks(d.loc, d.polygon, d.species_list)
     masked = ranges.masked_predictions(d.predictions, masks, soft=True)
-    return masked.select("hotspot_id", F.posexplode(F.arrays_zip("y", "p")).alias("species_idx", "c")).select("hotspot_id", "species_idx", "c.y", "c.p")
+    return masked.select("hotspot_id", arrays.unrolled(F.arrays_zip("y", "p"), "species_idx", "c")).select("hotspot_id", "species_idx", "c.y", "c.p")
 
 
 @query("point_in_polygon", f"SELECT hotspot_id FROM ({INSIDE_SITE}) q WHERE species_idx = 3 AND in_range")

@@ -25,7 +25,8 @@ def sample_all_rasters(d):
     sampled = raster.sample(d.site, d.raster, raster.GRID)
     parts = F.array(F.struct(F.lit("climate").alias("part"), raster.layer_subset("env", 0, 19).alias("v")),
                     F.struct(F.lit("soil").alias("part"), raster.layer_subset("env", 19, 8).alias("v")))
-    return sampled.select("hotspot_id", F.inline(parts)).select("hotspot_id", "part", F.posexplode("v").alias("pos", "value"))
+    inside = sampled.filter(F.col("env").isNotNull())
+    return inside.select("hotspot_id", F.inline(parts)).select("hotspot_id", "part", arrays.unrolled("v", "pos", "value"))
 
 
 @query("out_of_bounds_policy", """
@@ -60,7 +61,7 @@ SELECT occurrence_id, layer, value FROM (SELECT occurrence_id, {PIXEL} FROM fx_o
 JOIN fx_raster r ON r."row" = s."row" AND r.col = s.col WHERE layer % 9 = 0""", "value", "layer")
 def env_vector_table(d):
     sampled = raster.sample(d.occ.select("occurrence_id", "lat", "lon"), d.raster, raster.GRID)
-    rows = sampled.select("occurrence_id", F.posexplode("env").alias("layer", "value")).filter(F.col("layer") % 9 == 0)
+    rows = sampled.select("occurrence_id", arrays.unrolled("env", "layer", "value")).filter(F.col("layer") % 9 == 0)
     return rows.orderBy("occurrence_id", "layer")
 
 

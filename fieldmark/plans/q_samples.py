@@ -184,13 +184,13 @@ def slice_env_groups(d):
 @query("target_binary", "SELECT hotspot_id, species_idx, CASE WHEN y > 0 THEN 1e0 ELSE y END AS target, y AS original_target FROM fx_rate", "target original_target", "species_idx")
 def target_binary(d):
     rows = d.targets.select("hotspot_id", *samples.target("binary"))
-    return rows.select("hotspot_id", F.posexplode(F.arrays_zip("target", "original_target")).alias("species_idx", "t")).select(
+    return rows.select("hotspot_id", arrays.unrolled(F.arrays_zip("target", "original_target"), "species_idx", "t")).select(
         "hotspot_id", "species_idx", "t.target", "t.original_target")
 
 
 @query("target_log", "SELECT hotspot_id, species_idx, y AS target FROM fx_rate", "target", "species_idx")
 def target_log(d):
-    return d.targets.select("hotspot_id", *samples.target("log")).select("hotspot_id", F.posexplode("target").alias("species_idx", "target"))
+    return d.targets.select("hotspot_id", *samples.target("log")).select("hotspot_id", arrays.unrolled("target", "species_idx", "target"))
 
 
 @query("nir_scale_stack", """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldmark.functions import arrays
 from fieldmark.functions import time
 from fieldmark.operators import boxes, raster, samples, scenes
 from fieldmark.plans.catalog import query
@@ -62,7 +63,7 @@ def window_from_bounds(d):
     areas = d.site.select("hotspot_id", (F.col("lon") - 0.2).alias("minx"), (F.col("lon") + 0.2).alias("maxx"),
                           (F.col("lat") - 0.2).alias("miny"), (F.col("lat") + 0.2).alias("maxy"))
     window = raster.window_from_bounds(areas, d.raster, raster.GRID, "hotspot_id")
-    return window.select("hotspot_id", "y", "x", F.posexplode(F.slice("values", 1, 3)).alias("layer", "value"))
+    return window.select("hotspot_id", "y", "x", arrays.unrolled(F.slice("values", 1, 3), "layer", "value"))
 
 
 FORMATS = {"%Y": ("yyyy", "year"), "%Y-%m": ("yyyy-MM", "month"), "%Y%m%d": ("yyyyMMdd", "day"), "%Y-%m-%d %H": ("yyyy-MM-dd HH", "hour"),

@@ -96,7 +96,7 @@ def load_array_files(d):
     """Array files written by tasks and decoded again; equality with the source is a unit test."""
     path = session.scratch_path(d.spark, "arrays")
     _save_arrays(d.image.select("patch_key", "img.*"), path)
-    return readers.array_files(d.spark, path).select("hotspot_id", "bands", "h", "w", F.posexplode("data").alias("pos", "value"))
+    return readers.array_files(d.spark, path).select("hotspot_id", "bands", "h", "w", arrays.unrolled("data", "pos", "value"))
 
 
 def _save_arrays(images, path: str) -> None:
@@ -144,7 +144,7 @@ def xy_matrices(d):
     back = d.spark.read.parquet(path)
     parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(n).alias("vector")) for n in ("x", "y")])
     return back.select("hotspot_id", "split", F.inline(parts)).select(
-        "hotspot_id", "split", "part", F.posexplode("vector").alias("pos", "value"))
+        "hotspot_id", "split", "part", arrays.unrolled("vector", "pos", "value"))
 
 
 @query("parse_wkt", """
@@ -165,7 +165,7 @@ SELECT hotspot_id, loc_key AS place, species_idx, p FROM fx_pred WHERE split = '
 def collect_predictions(d):
     order = d.loc.filter(F.col("loc_key") % 10 >= 8).select("hotspot_id", F.col("loc_key").alias("place"))
     stored = d.predictions.select("hotspot_id", "p")
-    return order.join(stored, "hotspot_id").select("hotspot_id", "place", F.posexplode("p").alias("species_idx", "p"))
+    return order.join(stored, "hotspot_id").select("hotspot_id", "place", arrays.unrolled("p", "species_idx", "p"))
 
 
 @query("date_from_filename", """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldmark.functions import arrays
 from fieldmark.operators import spatial, splits
 from fieldmark.plans.catalog import query
 from fieldmark.plans.inputs import split_of
@@ -53,7 +54,7 @@ JOIN (SELECT layer, avg(value) AS m FROM fx_env WHERE env_key % 10 < 7 GROUP BY
 def impute_train_mean(d):
     rows = d.env_wide.withColumn("split", split_of(F.col("env_key")))
     filled = splits.impute_train_mean(rows, "env", 27)
-    return filled.select("env_key", F.posexplode("env").alias("layer", "value"))
+    return filled.select("env_key", arrays.unrolled("env", "layer", "value"))
 
 
 @query("impute_own_mean", f"""
@@ -61,7 +62,7 @@ SELECT env_key, layer, coalesce(value, avg(value) OVER (PARTITION BY split, laye
 FROM (SELECT *, {SPLIT.format(k='env_key')} AS split FROM fx_env) e""", "value", "layer")
 def impute_own_mean(d):
     rows = d.env_wide.withColumn("split", split_of(F.col("env_key")))
-    return splits.impute_own_mean(rows, "env", 27).select("env_key", F.posexplode("env").alias("layer", "value"))
+    return splits.impute_own_mean(rows, "env", 27).select("env_key", arrays.unrolled("env", "layer", "value"))
 
 
 @query("split_max", f"""

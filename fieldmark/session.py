@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # small but compute-heavy stages (edge tests, patch arithmetic) still spread over the cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split hot keys even where the split costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
