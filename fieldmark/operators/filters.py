@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.operators import distribution, encounter
@@ -102,12 +102,12 @@ def month_pivot(log: DataFrame, name: str, date: str) -> DataFrame:
 
 def hotspot_profile(log: DataFrame) -> DataFrame:
     """One value per attribute and the number of distinct values seen (1 where the log is consistent)."""
-    seen = distribution_pairs(log, ["state", "country"])
+    seen = distinct_values(log, ["state", "country"])
     first = log.groupBy("hotspot_id").agg(*[F.min(c).alias(c) for c in ("state", "country", "lat", "lon")])
     return first.join(seen, "hotspot_id").withColumnsRenamed({"n_state": "states", "n_country": "countries"})
 
 
-def distribution_pairs(log: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distinct_values(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values per hotspot and column, counted after one shared de-duplication."""
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in columns])
     distinct = log.select("hotspot_id", F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
@@ -115,10 +115,13 @@ def distribution_pairs(log: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def shared_coordinates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Coordinates seen more than once over both sets, placed within their longitude by count."""
+    """Coordinates seen more than once over both sets, sorted within their longitude by count.
+
+    A range-partitioned sort; unlike a window per longitude it can split a crowded longitude.
+    """
     both = a.select("lon", "lat").unionByName(b.select("lon", "lat"))
     shared = both.groupBy("lon", "lat").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return shared.withColumn("place", F.row_number().over(Window.partitionBy("lon").orderBy(F.desc("n"), "lat")))
+    return shared.orderBy("lon", F.desc("n"), "lat")
 
 
 def checklist_species(log: DataFrame) -> DataFrame:

@@ -183,9 +183,8 @@ def hotspot_profile(d):
 
 
 @query("shared_coordinates", """
-SELECT lon, lat, n, row_number() OVER (PARTITION BY lon ORDER BY n DESC, lat) AS place FROM (
-  SELECT lon, lat, count(*) AS n FROM (SELECT lon, lat FROM fx_site UNION ALL SELECT lon, lat FROM fx_loc) u
-  GROUP BY lon, lat HAVING count(*) > 1) t""", "lon lat", "n place")
+SELECT lon, lat, count(*) AS n FROM (SELECT lon, lat FROM fx_site UNION ALL SELECT lon, lat FROM fx_loc) u
+GROUP BY lon, lat HAVING count(*) > 1 ORDER BY lon, n DESC, lat""", "lon lat", "n")
 def shared_coordinates(d):
     return filters.shared_coordinates(d.site, d.loc)
 

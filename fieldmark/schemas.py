@@ -4,17 +4,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OBSERVATION = T.StructType.fromDDL(
-    "global_id STRING, hotspot_id STRING, lat DOUBLE, lon DOUBLE, state STRING, country STRING, checklist_id STRING, "
-    "observer_id BIGINT, obs_date DATE, species STRING, complete INT")
-CHECKLIST = T.StructType.fromDDL(
-    "checklist_id STRING, hotspot_id STRING, lat DOUBLE, lon DOUBLE, state STRING, country STRING, obs_date DATE, "
-    "edited_date DATE, complete INT")
-OCCURRENCE = T.StructType.fromDDL(
-    "occurrence_id BIGINT, event_id STRING, species STRING, lat DOUBLE, lon DOUBLE, country_code STRING, state STRING, "
-    "occ_date DATE")
-TARGET = T.StructType.fromDDL("hotspot_id STRING, probs ARRAY<DOUBLE>, num_complete_checklists BIGINT")
-PATCH = T.StructType.fromDDL("bands INT, h INT, w INT, data ARRAY<DOUBLE>")
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(), "date": T.DateType(),
+          "vector": T.ArrayType(T.DoubleType())}
+
+
+def layout(text: str) -> T.StructType:
+    """Schema from "name type, ..."; needs no running session, unlike the DDL parser."""
+    fields = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+OBSERVATION = layout(
+    "global_id string, hotspot_id string, lat double, lon double, state string, country string, checklist_id string, "
+    "observer_id bigint, obs_date date, species string, complete int")
+CHECKLIST = layout(
+    "checklist_id string, hotspot_id string, lat double, lon double, state string, country string, obs_date date, "
+    "edited_date date, complete int")
+OCCURRENCE = layout(
+    "occurrence_id bigint, event_id string, species string, lat double, lon double, country_code string, state string, "
+    "occ_date date")
+TARGET = layout("hotspot_id string, probs vector, num_complete_checklists bigint")
+PATCH = layout("bands int, h int, w int, data vector")
 
 # Environmental layers in vector order, 19 climate then 8 soil.
 CLIMATE = [f"bio_{i}" for i in range(1, 20)]

@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # small but compute-heavy stages (edge tests, patch arithmetic) still spread over the cores
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split hot keys even where the split costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Size estimates do not see how far a generator multiplies its rows, so planning may only broadcast very small
+    # inputs; anything larger is broadcast on its measured size at run time, or shuffled.
+    "spark.sql.autoBroadcastJoinThreshold": "2m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
 }
+# on one machine, small but compute-heavy stages (edge tests, patch arithmetic) should still use all cores
+LOCAL = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
 
 
 def build(app: str = "fieldmark", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,7 +34,8 @@ def build(app: str = "fieldmark", master: str | None = None, **conf: str) -> Spa
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the adaptive settings to a session somebody else built."""
-    for key, value in ADAPTIVE.items():
+    local = spark.sparkContext.master.startswith("local")
+    for key, value in {**ADAPTIVE, **(LOCAL if local else {})}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

@@ -82,7 +82,8 @@ def main():
         try:
             ok, msg = compare(spark, con, n, folder, queries, oracle)
         except Exception as e:  # report and go on with the next query
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:600]}"
+            causes = [line.strip() for line in str(e).splitlines() if "Caused by" in line]
+            ok, msg = False, f"{type(e).__name__}: {' '.join(str(e).split())[:400]} {' '.join(causes)[:600]}"
         print("ok  " if ok else "FAIL", n, msg, flush=True)
         if not ok:
             failed.append(n)
