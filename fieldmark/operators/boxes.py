@@ -1,6 +1,6 @@
 """Joins of points and boxes on overlap, as equi-joins on grid cells.
 
-Every box picks, per axis, the smallest power-of-four cell not shorter than itself, so it touches at most two cells
+Every box picks, per axis, the smallest power-of-two cell not shorter than itself, so it touches at most two cells
 per axis however large it is. A side also announces itself on the levels the other side uses. A pair is accepted in
 one cell only (the one holding the lower corner of the overlap), which makes a later de-duplication needless.
 """
@@ -30,11 +30,11 @@ LON, LAT = Axis("minx", "maxx"), Axis("miny", "maxy")
 
 def _level(axis: Axis) -> Column:
     extent = F.col(axis.high) - F.col(axis.low)
-    return F.when(extent > axis.base, F.ceil(F.ln(extent / F.lit(axis.base)) / F.ln(F.lit(4.0)))).otherwise(F.lit(0)).cast("int")
+    return F.when(extent > axis.base, F.ceil(F.ln(extent / F.lit(axis.base)) / F.ln(F.lit(2.0)))).otherwise(F.lit(0)).cast("int")
 
 
 def _length(axis: Axis, level: Column) -> Column:
-    return F.lit(axis.base) * F.pow(F.lit(4.0), level)
+    return F.lit(axis.base) * F.pow(F.lit(2.0), level)
 
 
 def _with_levels(df: DataFrame, axes: Sequence[Axis]) -> DataFrame:
@@ -59,7 +59,8 @@ def _announce(df: DataFrame, axes: Sequence[Axis], other_levels: Column) -> Data
 def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis], salt: int = 4) -> DataFrame:
     """All pairs whose closed intervals overlap on every axis: columns of both sides as structs ``l`` and ``r``.
 
-    Left rows of a crowded cell are spread over ``salt`` tasks; the right side is repeated that often.
+    Left rows of a crowded cell are spread over ``salt`` tasks; the right side is repeated that often, so the larger
+    side belongs on the left.
     """
     a, b = _with_levels(left, axes), _with_levels(right, axes)
     la, lb = _levels_in_use(a), _levels_in_use(b)

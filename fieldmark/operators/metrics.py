@@ -101,10 +101,14 @@ def topk_curve(pred: DataFrame, ks: Sequence[int]) -> DataFrame:
     One count per such rank replaces one comparison per k; what is left is as long as the species list.
     """
     worst = F.zip_with(scores.ranks(_y()), scores.ranks(_p()), lambda a, b: F.greatest(a, b))
-    by_rank = pred.select(F.explode_outer(worst).alias("rank")).groupBy("rank").agg(F.count("*").alias("c"))
-    points = by_rank.select("c", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))).alias("k"))
-    n = pred.agg(F.count("*").alias("n")).select("n").scalar()
-    return points.groupBy("k").agg(F.sum("c").alias("shared")).select("k", (F.col("shared") / (F.col("k") * n)).alias("score"))
+    # rank 0 marks the row itself and counts for every k, so the number of rows comes out of the same pass
+    ranks = F.concat(F.array(F.lit(0)), worst)
+    by_rank = pred.select(F.explode_outer(ranks).alias("rank")).groupBy("rank").agg(F.count("*").alias("c"))
+    reached = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("rank"))
+    points = by_rank.select("rank", "c", F.explode(reached).alias("k"))
+    shared = F.coalesce(F.sum(F.when(F.col("rank") > 0, F.col("c"))), F.lit(0))
+    n = F.sum(F.when(F.col("rank") == 0, F.col("c")))
+    return points.groupBy("k").agg((shared / (F.col("k") * n)).alias("score"))
 
 
 def explained_variance(pred: DataFrame) -> DataFrame:

@@ -11,12 +11,14 @@ from fieldmark.operators import boxes, distribution
 
 
 def search(areas: DataFrame, scenes: DataFrame, start: str, end: str, max_cloud: float) -> DataFrame:
-    """Scenes whose footprint meets an area, acquired in [start, end], cloud cover below the limit: structs l, r.
+    """Scenes whose footprint meets an area, acquired in [start, end], cloud cover below the limit:
+    structs ``l`` (area) and ``r`` (scene).
 
     Date and cloud limits are applied to the catalogue before the spatial join, where the scan can use them.
     """
     fit = scenes.filter(F.col("acquired").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (F.col("cloud") < max_cloud))
-    return boxes.overlap_join(areas, fit, [boxes.LON, boxes.LAT])
+    pairs = boxes.overlap_join(fit, areas, [boxes.LON, boxes.LAT])
+    return pairs.select(F.col("r").alias("l"), F.col("l").alias("r"))
 
 
 def least_cloudy(found: DataFrame, key: str) -> DataFrame:

@@ -135,8 +135,8 @@ def scene_boxes(d):
 @query("bbox_intersect_join", f"""
 SELECT q.site_key, b.scene_id FROM {SITE_BOX} q JOIN {SCENE_BOX} b ON {OVERLAP}""")
 def bbox_intersect_join(d):
-    pairs = boxes.overlap_join(site_boxes(d), scene_boxes(d), [boxes.LON, boxes.LAT, DAYS])
-    return pairs.select("l.site_key", "r.scene_id")
+    pairs = boxes.overlap_join(scene_boxes(d), site_boxes(d), [boxes.LON, boxes.LAT, DAYS])
+    return pairs.select("r.site_key", "l.scene_id")
 
 
 @query("extent", f"""
