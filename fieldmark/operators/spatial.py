@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions import geo
@@ -246,10 +246,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = raised.join(around, "node").withColumn("best", F.least("top", "near"))
         handed = state.select(F.col("label").alias("node"), "best").unionByName(state.select("node", "best"))
         proposed = handed.groupBy("node").agg(F.min("best").alias("new"))
-        changed = Observation()
         new = labels.join(proposed, "node").select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved"))
-        labels = materialize(new.observe(changed, F.count_if("moved").alias("n")), "labels").drop("moved")
-        if not changed.get["n"]:
+        written = materialize(new, "labels")
+        labels = written.drop("moved")
+        if written.filter("moved").isEmpty():
             return labels
 
 
