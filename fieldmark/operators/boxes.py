@@ -28,8 +28,19 @@ class Axis(NamedTuple):
 LON, LAT = Axis("minx", "maxx"), Axis("miny", "maxy")
 
 
+OPEN = 1e15  # stands for a missing end
+
+
+def _low(axis: Axis, side: str | None = None) -> Column:
+    return F.coalesce(F.col(side)[axis.low] if side else F.col(axis.low), F.lit(-OPEN))
+
+
+def _high(axis: Axis, side: str | None = None) -> Column:
+    return F.coalesce(F.col(side)[axis.high] if side else F.col(axis.high), F.lit(OPEN))
+
+
 def _level(axis: Axis) -> Column:
-    extent = F.col(axis.high) - F.col(axis.low)
+    extent = _high(axis) - _low(axis)
     return F.when(extent > axis.base, F.ceil(F.ln(extent / F.lit(axis.base)) / F.ln(F.lit(2.0)))).otherwise(F.lit(0)).cast("int")
 
 
@@ -52,12 +63,13 @@ def _announce(df: DataFrame, axes: Sequence[Axis], other_levels: Column) -> Data
     df = df.withColumn("_other", other_levels).withColumn("_at", F.explode(targets)).drop("_other")
     for i, a in enumerate(axes):
         size = _length(a, F.col("_at")[i])
-        df = df.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(F.col(a.low) / size), F.floor(F.col(a.high) / size))))
+        df = df.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(_low(a) / size), F.floor(_high(a) / size))))
     return df
 
 
 def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis], salt: int = 4) -> DataFrame:
     """All pairs whose closed intervals overlap on every axis: columns of both sides as structs ``l`` and ``r``.
+    A missing end is open.
 
     Left rows of a crowded cell are spread over ``salt`` tasks; the right side is repeated that often, so the larger
     side belongs on the left.
@@ -72,8 +84,8 @@ def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis], salt:
     joined = a.join(b, cells)
     keep = F.col("_at") == F.zip_with("_la", "_lb", lambda x, y: F.greatest(x, y))
     for i, ax in enumerate(axes):
-        start = F.greatest(F.col("l")[ax.low], F.col("r")[ax.low])
-        end = F.least(F.col("l")[ax.high], F.col("r")[ax.high])
+        start = F.greatest(_low(ax, "l"), _low(ax, "r"))
+        end = F.least(_high(ax, "l"), _high(ax, "r"))
         keep = keep & (start <= end) & (F.floor(start / _length(ax, F.col("_at")[i])) == F.col(f"_c{i}"))
     return joined.filter(keep).select("l", "r")
 

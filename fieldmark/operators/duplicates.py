@@ -45,17 +45,17 @@ def groups(hotspots: DataFrame, hotspot: str, order: str) -> DataFrame:
 def suspicious(members: DataFrame, log: DataFrame) -> DataFrame:
     """Members of groups recorded by one identical observer set on a single date: (hotspot_id).
 
-    Only order-free fingerprints of the observer sets are compared. Each is a sum of hashes over distinct
-    (hotspot, observer) pairs beside their count, so no observer list is built.
+    All members of a group have the same observer set exactly when each has as many distinct observers as the whole
+    group, so counts decide and no observer list is built. Members without log rows are passed over.
     """
-    fingerprint = log.select("hotspot_id", "observer_id").distinct().groupBy("hotspot_id").agg(
-        F.struct(F.count("observer_id").alias("n"), F.sum(F.xxhash64("observer_id").cast("decimal(20,0)")).alias("h1"),
-                 F.sum(F.hash("observer_id").cast("bigint")).alias("h2")).alias("observers"))
-    dates = log.groupBy("hotspot_id").agg(F.min("obs_date").alias("first_date"), F.max("obs_date").alias("last_date"))
-    per_member = members.join(fingerprint, "hotspot_id").join(dates, "hotspot_id")
-    bad = per_member.groupBy(*COORDINATES).agg(
-        F.min("observers").alias("o1"), F.max("observers").alias("o2"), F.min("first_date").alias("d1"), F.max("last_date").alias("d2"))
-    bad = bad.filter((F.col("o1") == F.col("o2")) & (F.col("d1") == F.col("d2")))
+    placed = log.join(members.select("hotspot_id", *COORDINATES), "hotspot_id")
+    pairs = placed.select("hotspot_id", *COORDINATES, "observer_id").distinct()
+    per_member = pairs.groupBy("hotspot_id", *COORDINATES).agg(F.count("observer_id").alias("own"))
+    smallest = per_member.groupBy(*COORDINATES).agg(F.min("own").alias("smallest"))
+    together = pairs.select(*COORDINATES, "observer_id").distinct().groupBy(*COORDINATES).agg(F.count("observer_id").alias("all"))
+    dates = placed.groupBy(*COORDINATES).agg(F.min("obs_date").alias("first_date"), F.max("obs_date").alias("last_date"))
+    bad = smallest.join(together, COORDINATES).join(dates, COORDINATES).filter(
+        (F.col("smallest") == F.col("all")) & (F.col("first_date") == F.col("last_date")))
     return members.join(bad.select(*COORDINATES), COORDINATES, "left_semi").select("hotspot_id")
 
 

@@ -40,6 +40,14 @@ class Grid(NamedTuple):
 GRID = Grid(34.0, -100.0, 0.16, 0.4)
 
 
+def stack_layers(pixels: DataFrame, layers: int) -> DataFrame:
+    """Long pixels (layer, row, col, value) of equally sized rasters to one row per pixel; a group has one entry per
+    layer."""
+    entries = F.sort_array(F.collect_list(F.struct(F.col("layer").cast("int").alias("idx"), "value")))
+    return pixels.groupBy("row", "col").agg(entries.alias("e")).select(
+        "row", "col", arrays.scatter(F.col("e"), F.lit(layers), fill=None).alias("values"))
+
+
 def locate(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumns({"row": grid.row(F.col("lat")), "col": grid.col(F.col("lon"))})
 

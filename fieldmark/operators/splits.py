@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmark.operators import distribution
 
@@ -13,8 +14,10 @@ from fieldmark.operators import distribution
 ORDER_SPAN = 1_000_003
 
 
-def cluster_order(label: Column, seed: int) -> Column:
-    return F.pmod(label * 7919 + seed * 104729, F.lit(ORDER_SPAN))
+def cluster_order(label: Column, seed: int, numeric: bool = True) -> Column:
+    """Reproducible position of a cluster in [0, ORDER_SPAN)."""
+    number = label * 7919 + seed * 104729 if numeric else F.xxhash64(label, F.lit(seed))
+    return F.pmod(number, F.lit(ORDER_SPAN))
 
 
 def cluster_split(members: DataFrame, seed: int = 0, valid: float = 0.15, train: float = 0.70, label: str = "cluster_id") -> DataFrame:
@@ -28,7 +31,8 @@ def cluster_split(members: DataFrame, seed: int = 0, valid: float = 0.15, train:
     quota = total.select(F.struct(
         F.floor(F.col("n") * F.lit(valid)).alias("valid"),
         (F.col("n") - F.floor(F.col("n") * F.lit(train)) - F.floor(F.col("n") * F.lit(valid))).alias("test")).alias("q")).select("q").scalar()
-    ordered = distribution.running_sum(sizes, cluster_order(F.col(label), seed), label, "size", ORDER_SPAN)
+    numeric = isinstance(sizes.schema[label].dataType, T.NumericType)
+    ordered = distribution.running_sum(sizes, cluster_order(F.col(label), seed, numeric), label, "size", ORDER_SPAN)
     in_valid = (F.col("before") < quota["valid"]) | (F.col("before") == 0)
     taken = ordered.filter(in_valid).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("v")).select("v").scalar()
     past = F.col("before") - taken

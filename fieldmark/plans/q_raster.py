@@ -58,10 +58,10 @@ def add_env_columns(d):
 
 @query("env_vector_table", f"""
 SELECT occurrence_id, layer, value FROM (SELECT occurrence_id, {PIXEL} FROM fx_occ) s
-JOIN fx_raster r ON r."row" = s."row" AND r.col = s.col WHERE layer % 9 = 0""", "value", "layer")
+JOIN fx_raster r ON r."row" = s."row" AND r.col = s.col""", "value", "layer")
 def env_vector_table(d):
     sampled = raster.sample(d.occ.select("occurrence_id", "lat", "lon"), d.raster, raster.GRID)
-    rows = sampled.select("occurrence_id", arrays.unrolled("env", "layer", "value")).filter(F.col("layer") % 9 == 0)
+    rows = sampled.filter(F.col("env").isNotNull()).select("occurrence_id", arrays.unrolled("env", "layer", "value"))
     return rows.orderBy("occurrence_id", "layer")
 
 

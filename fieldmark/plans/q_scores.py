@@ -172,11 +172,12 @@ def exact_match_hamming(d):
 
 @query("clipped_ce_sum", """
 SELECT split, sum(CASE WHEN q > 0 THEN -y * ln(q) - (1 - y) * ln(1 - q) END) AS ce FROM (
-  SELECT split, y, greatest(0e0, least(99e-2, p) - 1e-2) AS q FROM fx_pred WHERE y = 0 OR p > 2e-2) t GROUP BY split""", "ce")
+  SELECT split, y, greatest(0e0, CASE WHEN y = 0 THEN least(99e-2, p) - 1e-2 ELSE greatest(2e-2, least(99e-2, p)) END) AS q FROM fx_pred) t GROUP BY split""", "ce")
 def clipped_ce_sum(d):
-    """Predictions shifted down so that some are negative; positive targets keep a positive prediction."""
-    shifted = metrics.cells(d.predictions, "split").filter((F.col("y") == 0) | (F.col("p") > 0.02))
-    shifted = shifted.withColumn("p", F.least(F.lit(0.99), F.col("p")) - F.lit(0.01))
+    """Predictions of absent species shifted down so that some are negative; present ones stay off 0 and 1."""
+    low = F.least(F.lit(0.99), F.col("p"))
+    shifted = metrics.cells(d.predictions, "split").withColumn(
+        "p", F.when(F.col("y") == 0, low - F.lit(0.01)).otherwise(F.greatest(F.lit(0.02), low)))
     return shifted.groupBy("split").agg(metrics.clipped_ce_sum().alias("ce"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark import schemas
-from fieldmark.operators import encounter
 
 
 def observations(spark: SparkSession, path: str, schema=schemas.OBSERVATION) -> DataFrame:
@@ -79,5 +78,3 @@ def named_group(name: Column, pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
-def numbered(names: DataFrame) -> DataFrame:
-    return encounter.species_dimension(names)

@@ -166,3 +166,9 @@ def test_out_of_bounds_error(spark):
 def test_steps_skip_by_mode():
     specs = [{"name": "hflip", "ignore": "val"}, {"name": "vflip", "ignore": True}, {"name": "blur"}]
     assert len(samples.steps(specs, "val", "k", {})) == 1 and len(samples.steps(specs, "train", "k", {})) == 2
+
+
+def test_layers_stack_by_number(spark):
+    pixels = spark.createDataFrame([(2, 0, 0, 3.0), (0, 0, 0, 1.0), (1, 0, 1, 5.0)], "layer int, row bigint, col bigint, value double")
+    rows = {(r["row"], r["col"]): r["values"] for r in raster.stack_layers(pixels, 3).collect()}
+    assert rows == {(0, 0): [1.0, None, 3.0], (0, 1): [None, 5.0, None]}

@@ -118,3 +118,10 @@ def test_running_sum_over_many_buckets(spark):
     df = spark.range(1000).select(F.col("id"), F.lit(1).alias("one"))
     out = distribution.running_sum(df, F.col("id"), "id", "one", 1000, buckets=7)
     assert all(r["before"] == r["id"] for r in out.collect())
+
+
+def test_cluster_split_accepts_text_labels(spark):
+    members = spark.createDataFrame([(f"C{i % 9}", i) for i in range(60)], "cluster_id string, member int")
+    rows = splits.cluster_split(members, seed=1)
+    per_cluster = rows.groupBy("cluster_id").agg(F.count_distinct("split").alias("n")).collect()
+    assert rows.count() == 60 and all(r["n"] == 1 for r in per_cluster)

@@ -133,3 +133,11 @@ def test_invalid_boxes(spark):
     assert boxes.invalid(box, [boxes.Axis("minx", "maxx")]).count() == 1
     with pytest.raises(Exception, match="invalid box"):
         boxes.validated(box, [boxes.Axis("minx", "maxx")]).collect()
+
+
+def test_missing_ends_are_open(spark):
+    schema = "k int, mint double, maxt double"
+    left = spark.createDataFrame([(1, None, None), (2, 5.0, None)], schema)
+    right = spark.createDataFrame([(7, 1.0, 2.0), (8, 9.0, 9.0)], schema)
+    pairs = boxes.overlap_join(left, right, [boxes.Axis("mint", "maxt", 1.0)]).select("l.k", "r.k").collect()
+    assert sorted(tuple(p) for p in pairs) == [(1, 7), (1, 8), (2, 8)]
