@@ -82,7 +82,7 @@ FROM fx_n h CROSS JOIN fx_list s
 LEFT JOIN (SELECT hotspot_id, species, count(DISTINCT checklist_id) AS k FROM fx_pair GROUP BY hotspot_id, species) c
 ON c.hotspot_id = h.hotspot_id AND c.species = s.species""",
     "fx_pred": """
-SELECT *, greatest(0e0, least(1e0, y + ((loc_key*31 + species_idx*17) % 101 - 50) / 1e3)) AS p,
+SELECT *, greatest(0e0, least(1e0, y + ((loc_key*31 + species_idx*17) % 101 - 50) / 1013e0)) AS p,
        CASE WHEN loc_key % 10 < 7 THEN 'train' WHEN loc_key % 10 = 7 THEN 'valid' ELSE 'test' END AS split
 FROM fx_rate""",
 }
