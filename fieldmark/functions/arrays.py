@@ -83,12 +83,12 @@ def per_band(img: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), img["bands"] - 1), lambda b: fn(band_slice(img, b)))
 
 
-def scatter(entries: Column, size: Column, fill: float | None = 0.0) -> Column:
-    """Dense vector of ``size`` doubles from ``ARRAY<STRUCT<idx, value>>`` sorted by unique ``idx``; gaps get ``fill``.
+def scatter(entries: Column, size: Column, fill: float | None = 0.0, kind: str = "double") -> Column:
+    """Dense vector of ``size`` values (doubles unless ``kind`` says otherwise) from ``ARRAY<STRUCT<idx, value>>`` sorted by unique ``idx``; gaps get ``fill``.
 
     Linear in ``size``: runs of the filler are put between neighbours, nothing is looked up.
     """
-    zero = F.lit(fill).cast("double")
+    zero = F.lit(fill).cast(kind)
 
     def widen(cells: Column) -> Column:
         def run(e: Column, i: Column) -> Column:

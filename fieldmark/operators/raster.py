@@ -100,18 +100,17 @@ def extract_patches(points: DataFrame, raster: DataFrame, grid: Grid, size: int,
 
     def place(p: Column) -> Column:
         x = p["col"] - first_col
-        return F.struct(((F.col("row") - first_row) * side + x).cast("int").alias("idx"), p["values"].alias("values"))
+        return F.struct(((F.col("row") - first_row) * side + x).cast("int").alias("idx"), p["values"].alias("value"))
 
     inside = F.filter("strip", lambda p: (p["col"] >= first_col) & (p["col"] < first_col + side))
     pieces = joined.select(key, F.coalesce(F.transform(inside, place), F.array().cast(
-        "array<struct<idx:int,values:array<double>>>")).alias("piece"))
+        "array<struct<idx:int,value:array<double>>>")).alias("piece"))
     whole = pieces.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("piece"))).alias("pixels"))
 
-    def layer(i: Column) -> Column:
-        own = F.transform("pixels", lambda p: F.struct(p["idx"].alias("idx"), F.get(p["values"], i).alias("value")))
-        return arrays.scatter(own, F.lit(side * side), fill=None)
-
-    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), layer))
+    # pixels are put in place once, with all their layers; each layer then reads its own value from every place
+    placed = arrays.scatter(F.col("pixels"), F.lit(side * side), fill=None, kind="array<double>")
+    data = arrays.let(placed, lambda places: F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(layers - 1)), lambda i: F.transform(places, lambda values: F.get(values, i)))))
     return whole.select(key, arrays.patch(data, layers, side, side).alias("img"))
 
 
