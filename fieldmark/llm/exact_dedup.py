@@ -58,7 +58,7 @@ def decisions(narrow: DataFrame) -> DataFrame:
     once = probed.filter("NOT _maybe").select(*narrow.columns, F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
     maybe = probed.filter("_maybe").select(*narrow.columns)
     groups = materialize(maybe.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    found = look_up(maybe, groups, "_sha", "group_size", total, F.col("_hash") + F.xxhash64("_id"))
+    found = look_up(maybe, groups, "_sha", "group_size", total, F.xxhash64("_id", "_hash"))
     return once.unionByName(found).withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "secrets")
+MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join")
 
 
 def _all(name: str) -> dict:
