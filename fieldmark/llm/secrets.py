@@ -85,7 +85,8 @@ def scan_secrets(df: DataFrame, ledger: str | None = None, id_col: str = "doc_id
         todo = texts.join(if_small(rest, 90), F.col("_id").eqNullSafe(F.col("_other")) & (F.col("blob") == F.col("_other_blob")), "left_anti")
         todo = todo.filter("_id IS NOT NULL")
         orphans = first.filter("_first IS NULL").select(F.col("blob").alias("_orphan"))
-        todo = todo.unionByName(texts.join(orphans, F.col("blob") == F.col("_orphan"), "left_semi"))
+        if not orphans.isEmpty():
+            todo = todo.unionByName(texts.join(if_small(orphans, 90), F.col("blob") == F.col("_orphan"), "left_semi"))
     else:
         pick = first.select(F.col("_first"), F.col("blob").alias("_pick"))
         todo = texts.join(if_small(pick, 90), F.col("_id").eqNullSafe(F.col("_first")) & (F.col("blob") == F.col("_pick")), "left_semi")
