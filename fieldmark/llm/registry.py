@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii")
+MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii", "toxicity")
 
 
 def _all(name: str) -> dict:
