@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii", "toxicity")
+MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii", "toxicity", "lm", "substring_dedup")
 
 
 def _all(name: str) -> dict:
