@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Directives that name each calendar part, with the Spark pattern of the plain ones.
-_PATTERNS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%j": "DDD", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS"}
-_RESOLUTIONS = [
-    ("year", "bBmjUWcxV"), ("month", "aAwdjcxV"), ("day", "HIcX"), ("hour", "McX"), ("minute", "ScX"), ("second", "f")]
-_STEPS = {"year": "INTERVAL 1 YEAR", "month": "INTERVAL 1 MONTH", "day": "INTERVAL 1 DAY", "hour": "INTERVAL 1 HOUR",
-          "minute": "INTERVAL 1 MINUTE", "second": "INTERVAL 1 SECOND", "microsecond": "INTERVAL 1 MICROSECOND"}
+#: Calendar units from coarse to fine; a text pins the finest one that has all coarser ones pinned, too.
+UNITS = ("year", "month", "day", "hour", "minute", "second", "microsecond")
 
 
-def resolution(fmt: str) -> str | None:
-    """Finest part a date format fixes, None when it has no year."""
-    def has(letters: str) -> bool:
-        return any(f"%{c}" in fmt for c in letters)
+class Directive(NamedTuple):
+    """What one date directive contributes: its Spark pattern and the units that it pins."""
+
+    pattern: str
+    units: tuple[str, ...]
+
+
+# The meaning of the date directives in use.
+DIRECTIVES = {
+    "%Y": Directive("yyyy", ("year",)), "%y": Directive("yy", ("year",)),
+    "%m": Directive("MM", ("month",)), "%b": Directive("MMM", ("month",)), "%B": Directive("MMMM", ("month",)),
+    "%d": Directive("dd", ("day",)), "%j": Directive("DDD", ("month", "day")),
+    "%H": Directive("HH", ("hour",)), "%I": Directive("hh", ("hour",)), "%p": Directive("a", ()),
+    "%M": Directive("mm", ("minute",)), "%S": Directive("ss", ("second",)), "%f": Directive("SSSSSS", ("microsecond",)),
+}
 
-    if not has("yYcxG"):
-        return None
-    return next((name for name, finer in _RESOLUTIONS if not has(finer)), "microsecond")
+
+def _parts(fmt: str) -> list[str]:
+    """Directives and the text between them."""
+    parts = [p for p in re.split(r"(%.)", fmt) if p]
+    unknown = [p for p in parts if p.startswith("%") and p not in DIRECTIVES]
+    if unknown:
+        raise ValueError(f"unsupported date directive {unknown[0]} in {fmt}")
+    return parts
+
+
+def resolution(fmt: str) -> str | None:
+    """Finest unit that a format pins, None when it has no year."""
+    pinned = {unit for part in _parts(fmt) if part in DIRECTIVES for unit in DIRECTIVES[part].units}
+    finest = None
+    for unit in UNITS:
+        if unit not in pinned:
+            break
+        finest = unit
+    return finest
 
 
 def spark_pattern(fmt: str) -> str:
-    for code, pattern in _PATTERNS.items():
-        fmt = fmt.replace(code, pattern)
-    if "%" in fmt:
-        raise ValueError(f"unsupported date directive in {fmt}")
-    return fmt
+    plain = lambda text: re.sub(r"[A-Za-z']+", lambda m: "'" + m.group().replace("'", "''") + "'", text)
+    return "".join(DIRECTIVES[p].pattern if p in DIRECTIVES else plain(p) for p in _parts(fmt))
 
 
 def interval_of(text: Column, fmt: str) -> Column:
     """STRUCT<mint, maxt>: [start - 1 us, next start - 1 us] of the part of time the text leaves open.
 
-    A format without a year stands for all time (both ends NULL).
+    A format without a year stands for all time: a struct whose ends are NULL. A text that doesn't parse has no interval:
+    the struct itself is NULL, so filter on it before joining on time.
     """
     unit = resolution(fmt)
     if unit is None:
@@ -42,4 +66,5 @@ def interval_of(text: Column, fmt: str) -> Column:
         return F.struct(nothing.alias("mint"), nothing.alias("maxt"))
     start = F.try_to_timestamp(text, F.lit(spark_pattern(fmt))).cast("timestamp_ntz")
     micro = F.expr("INTERVAL 1 MICROSECOND")
-    return F.struct((start - micro).alias("mint"), (start + F.expr(_STEPS[unit]) - micro).alias("maxt"))
+    found = F.struct((start - micro).alias("mint"), (start + F.expr(f"INTERVAL 1 {unit.upper()}") - micro).alias("maxt"))
+    return F.when(start.isNotNull(), found)

@@ -18,14 +18,18 @@ from fieldmark.operators import distribution
 
 
 class Axis(NamedTuple):
-    """Closed interval columns of one axis, the same names on both sides, and the finest cell length."""
+    """Closed interval columns of one axis, the same names on both sides, and the finest cell length.
+
+    With ``open_ends`` a missing end is open, as for time; else a row without an end has no place and meets nothing.
+    """
 
     low: str
     high: str
     base: float = 0.01
+    open_ends: bool = True
 
 
-LON, LAT = Axis("minx", "maxx"), Axis("miny", "maxy")
+LON, LAT = Axis("minx", "maxx", open_ends=False), Axis("miny", "maxy", open_ends=False)
 
 
 OPEN = 1e15  # stands for a missing end
@@ -67,14 +71,21 @@ def _announce(df: DataFrame, axes: Sequence[Axis], other_levels: Column) -> Data
     return df
 
 
+def _placed(df: DataFrame, axes: Sequence[Axis]) -> DataFrame:
+    for a in axes:
+        if not a.open_ends:
+            df = df.filter(F.col(a.low).isNotNull() & F.col(a.high).isNotNull() & ~F.isnan(F.col(a.low).cast("double")) & ~F.isnan(F.col(a.high).cast("double")))
+    return df
+
+
 def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis], salt: int = 4) -> DataFrame:
     """All pairs whose closed intervals overlap on every axis: columns of both sides as structs ``l`` and ``r``.
-    A missing end is open.
+    A missing end is open on axes with ``open_ends``; rows without an end on another axis are left out.
 
     Left rows of a crowded cell are spread over ``salt`` tasks; the right side is repeated that often, so the larger
     side belongs on the left.
     """
-    a, b = _with_levels(left, axes), _with_levels(right, axes)
+    a, b = (_with_levels(_placed(side, axes), axes) for side in (left, right))
     la, lb = _levels_in_use(a), _levels_in_use(b)
     a = _announce(a, axes, lb).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salt)))
     b = _announce(b, axes, la).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))

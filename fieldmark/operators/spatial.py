@@ -161,7 +161,7 @@ def clusters(points: DataFrame, key: str, km: float) -> DataFrame:
     """Adds ``cluster_id`` (smallest key of the cluster) and ``cluster_size``.
 
     Two points share a cluster when a chain of steps of at most ``km`` joins them, which is density clustering with
-    two points per core. Cubes with a diagonal below ``km`` are whole nodes of the graph, so a dense place costs one
+    two points per core. A point without coordinates is a cluster of its own. Cubes with a diagonal below ``km`` are whole nodes of the graph, so a dense place costs one
     node however many points it holds.
     """
     eps = chord(km)
@@ -174,7 +174,8 @@ def clusters(points: DataFrame, key: str, km: float) -> DataFrame:
     summary = named.groupBy("label").agg(F.min("key").alias("cluster_id"), F.sum("n").alias("cluster_size"))
     by_cube = named.select("cube", "label").join(summary, "label").drop("label")
     by_place = nodes.select("lat", "lon", "cube").join(by_cube, "cube").drop("cube")
-    return points.join(by_place, ["lat", "lon"])
+    placed = points.join(by_place, ["lat", "lon"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.col(key)))
+    return placed.withColumn("cluster_size", F.coalesce("cluster_size", F.lit(1).cast("bigint")))
 
 
 def _cell_edges(nodes: DataFrame, cells: DataFrame, eps: float, side: float, km: float) -> DataFrame:
@@ -203,8 +204,8 @@ def _cell_edges(nodes: DataFrame, cells: DataFrame, eps: float, side: float, km:
         edges.append(close.select("a", "b"))
         big = open_.filter(F.col("work") > LEAF * LEAF)
         if big.isEmpty() or side / SPLIT ** (level + 1) < 4 / _RANGE:
-            if level and not big.isEmpty():
-                # cubes at the finest numbering: points within micrometres; compared like the small ones
+            if not big.isEmpty():
+                # the numbering has no finer cubes (about 24 m): what is left is compared like the small ones
                 last = big.join(pa, "ca").join(pb, "cb").filter(
                     geo.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= km)
                 edges.append(last.select("a", "b"))

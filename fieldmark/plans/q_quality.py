@@ -37,7 +37,7 @@ SELECT o_orderkey, CASE WHEN month(o_orderdate) IN (6, 7) THEN 'summer' ELSE 'wi
 WHERE o_orderstatus <> 'P' AND month(o_orderdate) IN (6, 7, 12, 1)""")
 def incremental_ingest(d):
     """The checklist log read as a stream; equal to the batch filter."""
-    log = ingest.files(d.spark, d.folder, d.table("orders").schema, "orders.parquet")
+    log = ingest.table_files(d.spark, f"{d.folder}/orders.parquet", d.table("orders").schema)
     rows = log.select("o_orderkey", F.to_date("o_orderdate").alias("obs_date"), "o_orderstatus").filter(F.col("o_orderstatus") != "P")
     path = session.scratch_path(d.spark, "ingest")
     ingest.append_partitioned(filters.with_season(rows).select("o_orderkey", "season"), path, path + "-checkpoint", ["season"])
@@ -49,7 +49,7 @@ def resume_skip_done(d):
     """Two runs over the same folder; the second finds everything done."""
     path = session.scratch_path(d.spark, "resume")
     for run in ("first", "second"):
-        stream = ingest.files(d.spark, d.folder, d.table("orders").schema, "orders.parquet").select("o_custkey")
+        stream = ingest.table_files(d.spark, f"{d.folder}/orders.parquet", d.table("orders").schema).select("o_custkey")
         ingest.append_new(stream, f"{path}/run={run}", f"{path}-{run}-checkpoint", "o_custkey",
                           work=None if run == "first" else lambda b: b.join(d.spark.read.parquet(f"{path}/run=first").select("o_custkey"), "o_custkey", "left_anti"))
     return d.spark.read.parquet(path).select("o_custkey")

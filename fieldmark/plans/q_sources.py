@@ -175,4 +175,4 @@ def date_from_filename(d):
     name = F.concat(F.lit("tile_"), F.col("tile_id").cast("string"), F.lit("_"), F.date_format("acquired", "yyyyMMdd"), F.lit("_B02.tif"))
     part = readers.named_group(F.col("file"), r"tile_\d+_(\d{8})_B\d\d\.tif")
     return (d.scene.select("scene_id", name.alias("file"))
-            .select("scene_id", time.interval_of(part, "%Y%m%d").alias("i")).select("scene_id", "i.mint", "i.maxt"))
+            .select("scene_id", time.interval_of(part, "%Y%m%d").alias("i")).filter("i IS NOT NULL").select("scene_id", "i.mint", "i.maxt"))

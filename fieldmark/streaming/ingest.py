@@ -13,7 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _status(spark: SparkSession, path: str):
+    """State of a path in whatever store holds it, None if there is nothing."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getFileStatus(place) if store.exists(place) else None
+
+
+def table_files(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 1000) -> DataFrame:
+    """Stream of a table that is either one file or a folder of part files."""
+    status = _status(spark, path)
+    if status is None or status.isDirectory():
+        return files(spark, path, schema, per_trigger=per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return files(spark, folder, schema, name, per_trigger)
+
+
 def files(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
+    """Stream of the files of a folder; ``per_trigger`` bounds a batch, later batches take the rest."""
     return (spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).parquet(folder))
 
 
@@ -43,12 +60,9 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, key: str, work: Ca
 
 
 def _existing(spark: SparkSession, path: str, batch_id: int, key: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < batch_id).select(key)
-    except AnalysisException:
+    if batch_id == 0 or _status(spark, path) is None:
         return None
+    return spark.read.parquet(path).filter(F.col("batch") < batch_id).select(key)
 
 
 def running_state(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str) -> None:

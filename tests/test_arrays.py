@@ -123,6 +123,22 @@ def test_format_without_year_is_all_time(spark):
     assert row["mint"] is None and row["maxt"] is None
 
 
+@pytest.mark.parametrize("fmt, unit", [
+    ("%Y %d", "year"), ("%Y-%j", "day"), ("%d %B %Y", "day"), ("%Y-%m-%d %I %p", "hour"), ("%m-%d", None), ("%Y-%m-%d %H:%M:%S.%f", "microsecond"), ("%Y-%m %S", "month")])
+def test_finest_unit_needs_all_coarser_ones(fmt, unit):
+    assert time.resolution(fmt) == unit
+
+
+def test_dates_that_do_not_parse_have_no_interval(spark):
+    df = spark.createDataFrame([("20210230",), ("tile",), (None,), ("20210228",)], "t string")
+    got = df.select("t", time.interval_of(F.col("t"), "%Y%m%d").alias("i")).filter("i IS NOT NULL").collect()
+    assert [r["t"] for r in got] == ["20210228"]
+    row = spark.createDataFrame([("03 March 2021 04 PM",)], "t string").select(time.interval_of(F.col("t"), "%d %B %Y %I %p").alias("i")).first()["i"]
+    assert str(row["maxt"]) == "2021-03-03 16:59:59.999999"
+    with pytest.raises(ValueError):
+        time.resolution("%Q")
+
+
 def test_array_files_and_species_list(spark, tmp_path):
     a = BASE.copy()
     a[0, 0, 0] = math.nan

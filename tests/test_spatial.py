@@ -141,3 +141,19 @@ def test_missing_ends_are_open(spark):
     right = spark.createDataFrame([(7, 1.0, 2.0), (8, 9.0, 9.0)], schema)
     pairs = boxes.overlap_join(left, right, [boxes.Axis("mint", "maxt", 1.0)]).select("l.k", "r.k").collect()
     assert sorted(tuple(p) for p in pairs) == [(1, 7), (1, 8), (2, 8)]
+
+
+@pytest.mark.parametrize("metres", [20, 50, 100])
+def test_crowded_cubes_at_short_distances_lose_no_edge(spark, metres):
+    """600 points in a row, 0.4 m apart, hold hundreds of points in one cube and must stay one cluster."""
+    points = [(40.0 + i * 0.4 / 111_195, -90.0) for i in range(600)]
+    got = spatial.clusters(frame(spark, points), "k", metres / 1000).collect()
+    assert {r["cluster_id"] for r in got} == {0} and {r["cluster_size"] for r in got} == {600}
+
+
+def test_points_without_coordinates_stay_and_meet_nothing(spark):
+    df = spark.createDataFrame([(1, 40.0, -90.0), (2, None, None), (3, 40.0, -90.0), (4, 41.0, None)], "k bigint, lat double, lon double")
+    assert {r["k"]: (r["cluster_id"], r["cluster_size"]) for r in spatial.clusters(df, "k", 1.0).collect()} == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
+    wide = spark.createDataFrame([(i, -91.0, -89.0, 39.0, 42.0) for i in range(50)], "b bigint, minx double, maxx double, miny double, maxy double")
+    pairs = boxes.overlap_join(boxes.as_point_boxes(df), wide.union(spark.createDataFrame([(99, None, -89.0, 39.0, 42.0)], wide.schema)), [boxes.LON, boxes.LAT])
+    assert {(r["l"]["k"], r["r"]["b"]) for r in pairs.collect()} == {(k, b) for k in (1, 3) for b in range(50)}
