@@ -23,13 +23,18 @@ from fieldmark.operators.spatial import connected_components
 #: Words of a shingle.
 SHINGLE = 5
 #: Fragments of the global order beside the prefix.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: A shingle goes to the end of the order if this share of all prefix entries are its own (and at least COMMON_LEAST);
 #: at most 1 / COMMON_SHARE shingles do, whatever the corpus.
-COMMON_SHARE = 1e-6
+COMMON_SHARE = 2.5e-7
 COMMON_LEAST = 8
-#: Members of a shingle that are compared with all its others in one round.
-PIVOTS = 64
+#: One class in so many has all its shingles counted, not only the prefix. Counts only shape the order; any order is exact.
+COUNTED = 8
+#: Members of a shingle, of its largest component and of the others, that are compared with all outside their component in
+#: the first round after the hubs; each further round takes four times as many.
+PIVOTS = 4
+#: Shingles of one side of a block of a crowd, about.
+BLOCK = 500_000
 _LAST = np.uint64(1 << 62)
 
 
@@ -81,6 +86,28 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n), tokens.signed(sig), tokens.lists(flat, lengths)], ["_id", "n", "sig", "prefix"])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [own for _, own in _sets(batch.column("_text")) if int(_signature(own)) % COUNTED == 0]
+        h, k = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([tokens.signed(h), pa.array(k, pa.int64())], ["h", "k"])
+
+
+def _common_shingles(texts: DataFrame, classes: DataFrame) -> np.ndarray:
+    """Shingles that go last, sorted: 2 / COMMON_SHARE at most, whatever the corpus."""
+    prefixes = classes.select(F.explode("prefix").alias("h"), F.lit(1).cast("bigint").alias("k"))
+    found = []
+    for counts in (prefixes, materialize(texts.select("_text").mapInArrow(_sampled, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1"), "sampled")):
+        limit = max(COMMON_LEAST, int(COMMON_SHARE * (counts.agg(F.sum("k")).first()[0] or 0)))
+        found.append(_unsigned(counts.groupBy("h").agg(F.sum("k").alias("k")).filter(F.col("k") >= limit).select("h")))
+    return np.unique(np.concatenate(found))
+
+
+def _unsigned(one: DataFrame) -> np.ndarray:
+    """The single column of a bounded table, sorted."""
+    return np.sort(one.toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def _ordered(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.sort(np.where(_common(own, common), own | _LAST, own))
 
@@ -94,17 +121,18 @@ def _arrays(rows: list, names: list[str]) -> pa.RecordBatch:
 
 
 def _reordered(texts: DataFrame, common) -> DataFrame:
-    """(sig, prefix) of the texts whose prefix by hash holds a shingle that goes last."""
+    """(sig, common, prefix) of the texts whose prefix by hash holds a shingle that goes last; ``common`` counts all such."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for _, own in _sets(batch.column("_text")):
                 if _common(_prefix(own), common.value).any():
-                    rows.append((_signature(own), _prefix(_ordered(own, common.value))))
-            yield _arrays(rows, ["sig", "prefix"])
+                    ordered = _ordered(own, common.value)
+                    rows.append((_signature(own), int((ordered >= _LAST).sum()), _prefix(ordered)))
+            yield _arrays(rows, ["sig", "common", "prefix"])
 
-    return texts.select("_text").mapInArrow(run, "sig bigint, prefix array<bigint>")
+    return texts.select("_text").mapInArrow(run, "sig bigint, common int, prefix array<bigint>")
 
 
 def _fragments(texts: DataFrame, wanted) -> DataFrame:
@@ -140,6 +168,7 @@ class _Join:
         self.texts, self.classes = texts, classes
         self.links: list[DataFrame] = []
         self.decided: list[DataFrame] = []
+        self.fragments: list[DataFrame] = []
 
     def decide(self, pairs: DataFrame) -> None:
         """Find the links among written pairs (a, b, n_a, n_b), a < b."""
@@ -151,24 +180,35 @@ class _Join:
         apart = _ahead(F.col("of_a"), last) + _ahead(F.col("of_b"), last) - 2 * F.size(F.array_intersect("of_a", "of_b"))
         # what differs in fragment zero alone mustn't exceed what may differ in all
         open_ = materialize(first.filter(9 * apart <= F.col("n_a") + F.col("n_b")).select(*pairs.columns), "open-pairs")
-        ends = materialize(open_.select(F.col("a").alias("sig")).unionByName(open_.select(F.col("b").alias("sig"))).distinct(), "pair-ends")
-        n = ends.count()
-        if not n:
+        parts = self._parts(open_)
+        if parts is None:
             return
-        wanted = None
-        if n * 8 <= 8 << 20:
-            held = np.sort(np.array([r.sig for r in ends.collect()], dtype=np.int64).view(np.uint64))
-            wanted = self.texts.sparkSession.sparkContext.broadcast(held)
-        parts = _fragments(self.texts, wanted)
-        if wanted is None:
-            parts = parts.join(ends, "sig", "left_semi")
-        parts = materialize(parts.groupBy("sig", "fragment").agg(F.first("items").alias("items")), "fragments")
         of_a = parts.select(F.col("sig").alias("a"), "fragment", F.col("items").alias("of_a"))
         of_b = parts.select(F.col("sig").alias("b"), "fragment", F.col("items").alias("of_b"))
         counted = open_.join(of_a, "a").join(of_b, ["b", "fragment"]).select(*pairs.columns, F.size(F.array_intersect("of_a", "of_b")).alias("part"))
         total = counted.groupBy(*pairs.columns).agg(F.sum("part").alias("both"))
         self.links.append(materialize(total.filter(_similar(F.col("n_a"), F.col("n_b"), F.col("both"))).select("a", "b"), "links"))
 
+    def _parts(self, pairs: DataFrame) -> DataFrame | None:
+        """Fragments of the ends of the pairs; texts are only read for classes not met before."""
+        return self.parts_of(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
+
+    def parts_of(self, ends: DataFrame) -> DataFrame | None:
+        """(sig, fragment, items) of distinct classes (sig) and perhaps of others."""
+        for old in self.fragments:
+            ends = ends.join(old.select("sig").distinct(), "sig", "left_anti")
+        ends = materialize(ends, "pair-ends")
+        n = ends.count()
+        if n:
+            wanted = None
+            if n * 8 <= 8 << 20:
+                wanted = self.texts.sparkSession.sparkContext.broadcast(_unsigned(ends))
+            parts = _fragments(self.texts, wanted)
+            if wanted is None:
+                parts = parts.join(ends, "sig", "left_semi")
+            self.fragments.append(materialize(parts.groupBy("sig", "fragment").agg(F.first("items").alias("items")), "fragments"))
+        return reduce(DataFrame.unionByName, self.fragments) if self.fragments else None
+
     def labels(self) -> DataFrame | None:
         """(sig, label) of classes with a link."""
         if not any(not x.isEmpty() for x in self.links):
@@ -177,14 +217,87 @@ class _Join:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b, n_a, n_b), a < b, of rows (x, n_x, y, n_y), without pairs whose sizes rule a link out."""
+    """Distinct (a, b, n_a, n_b), a < b, of rows (h, x, n_x, c_x, y, n_y, c_y), without pairs that can't link.
+
+    Sizes may rule a link out. So may counts of common shingles, where the pair meets in one: a pair that shares a rarer one
+    meets there as well, and any other shares common ones only.
+    """
     swap = F.col("x") > F.col("y")
-    ends = rows.filter("x <> y").select(
+    may = (F.col("h") < F.lit(int(_LAST))) | _similar(F.col("n_x"), F.col("n_y"), F.least("c_x", "c_y"))
+    ends = rows.filter("x <> y").filter(may).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
         F.when(swap, F.col("n_y")).otherwise(F.col("n_x")).alias("n_a"), F.when(swap, F.col("n_x")).otherwise(F.col("n_y")).alias("n_b"))
     return ends.filter(5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")).distinct()
 
 
+def _compare(group: pa.Table) -> pa.Table:
+    """Links between the left and the right block of a crowd, as far as they join components; one fragment at a time."""
+    side, sig, n, label = (group.column(c).to_numpy() for c in ("side", "sig", "n", "label"))
+    items = group.column("items").combine_chunks()
+    flat = items.flatten().to_numpy()
+    lengths = np.diff(items.offsets.to_numpy())
+    ids, first, row = np.unique(sig * 2 + side, return_index=True, return_inverse=True)
+    left, right = np.flatnonzero(side[first] == 0), np.flatnonzero(side[first] == 1)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    place = np.zeros(len(ids), dtype=np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    owner = np.repeat(row, lengths)
+    values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    rank = np.full(len(values), -1)
+    rank[shared] = np.arange(len(shared))
+    column = rank[column]
+    for start in range(0, len(shared), 2048):
+        inside = (column >= start) & (column < start + 2048)
+        a, b = np.zeros((len(left), 2048), dtype=np.float32), np.zeros((len(right), 2048), dtype=np.float32)
+        for matrix, wanted in ((a, 0), (b, 1)):
+            use = inside & (side[first][owner] == wanted)
+            matrix[place[owner[use]], column[use] - start] = 1
+        both += a @ b.T
+    n_of, label_of, sig_of = n[first], label[first], sig[first]
+    linked = 9 * both >= 4 * (n_of[left][:, None] + n_of[right][None, :])
+    linked &= label_of[left][:, None] != label_of[right][None, :]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = top(int(label_of[left[i]])), top(int(label_of[right[j]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(sig_of[left[i]]), int(sig_of[right[j]])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _crowds(join: _Join, members: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Links among the classes that share a hub in common shingles, written; None if no crowd is left open.
+
+    A crowd is everything around one hub. Members outside its largest component are compared with all members, block by
+    block; blocks hold about ``BLOCK`` shingles, so no task depends on the size of a crowd, and only links leave it.
+    """
+    labelled = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")) if labels is not None else members.withColumn("label", F.col("sig"))
+    labelled = materialize(labelled, "crowds")
+    sums = labelled.groupBy("hub", "label").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    main = sums.groupBy("hub").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("size").alias("size"), F.max_by("size", F.struct("k", "label")).alias("inner"),
+                                   F.count("*").alias("labels")).filter("labels > 1")
+    blocks = [F.ceil(x / F.lit(BLOCK)).cast("int") for x in (F.col("size") - F.col("inner"), F.col("size"))]
+    main = main.select("hub", "main", blocks[0].alias("lefts"), blocks[1].alias("rights"))
+    open_ = materialize(labelled.join(main, "hub"), "open-crowds")
+    if open_.isEmpty():
+        return None
+    parts = join.parts_of(open_.select("sig").distinct())
+    spot = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "sig"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.filter("label <> main").select("hub", spot(0, "lefts").alias("i"), each("rights").alias("j"), F.lit(0).cast("bigint").alias("side"), "sig", "n", "label")
+    right = open_.select("hub", each("lefts").alias("i"), spot(1, "rights").alias("j"), F.lit(1).cast("bigint").alias("side"), "sig", "n", "label")
+    laid = left.unionByName(right).join(parts, "sig")
+    return materialize(laid.groupBy("hub", "i", "j").applyInArrow(_compare, "a bigint, b bigint"), "links")
+
+
 def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: the id column, n_shingles and component_id, the smallest id reachable by links.
 
@@ -200,37 +313,46 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("_id").alias("least"), F.count("*").alias("members"))
     classes = materialize(classes, "classes")
     # common shingles go last
-    entries = classes.select(F.explode("prefix").alias("h"))
-    limit = max(COMMON_LEAST, int(COMMON_SHARE * (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0)))
-    common = entries.groupBy("h").count().filter(F.col("count") >= limit).select("h")
-    held = np.sort(np.array([r.h for r in common.collect()], dtype=np.int64).view(np.uint64))  # 1 / COMMON_SHARE at most
+    held = _common_shingles(texts, classes)
     if len(held):
-        new = _reordered(texts, spark.sparkContext.broadcast(held)).groupBy("sig").agg(F.first("prefix").alias("new"))
-        classes = materialize(classes.join(new, "sig", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new"), "classes")
+        new = _reordered(texts, spark.sparkContext.broadcast(held)).groupBy("sig").agg(F.first("common").alias("common"), F.first("prefix").alias("new"))
+        classes = classes.join(new, "sig", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new")
+        classes = materialize(classes.withColumn("common", F.coalesce("common", F.lit(0))), "classes")
+    else:
+        classes = classes.withColumn("common", F.lit(0))
     join = _Join(texts, classes.select("sig", "prefix"))
-    # members of each shingle that two classes have in their prefixes
+    # members of each shingle that two classes have in their prefixes; the hub is the one with fewest shingles of its own
     by_shingle = Window.partitionBy("h")
-    entries = classes.select(F.explode("prefix").alias("h"), "sig", "n").repartition("h")
-    members = entries.withColumn("hub", F.min(F.struct("sig", "n")).over(by_shingle)).withColumn("top", F.max("sig").over(by_shingle))
-    members = materialize(members.filter(F.col("hub.sig") != F.col("top")).select("h", "sig", "n", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("n_hub")), "members")
-    join.decide(materialize(_pairs(members.select(F.col("hub").alias("x"), F.col("n_hub").alias("n_x"), F.col("sig").alias("y"), F.col("n").alias("n_y"))), "pairs"))
+    entries = classes.select(F.explode("prefix").alias("h"), "sig", "n", F.col("common").alias("c"))
+    # in a common shingle only those stay that can link by common shingles alone
+    entries = entries.filter((F.col("h") < F.lit(int(_LAST))) | _similar(F.col("n"), F.ceil(F.col("n") * 4 / 5), F.col("c"))).repartition("h")
+    central = F.min(F.struct((F.col("n") - F.col("c")).alias("own"), "sig", "n", "c")).over(by_shingle)
+    members = entries.withColumn("hub", central).withColumn("low", F.min("sig").over(by_shingle)).withColumn("high", F.max("sig").over(by_shingle))
+    members = materialize(members.filter("low <> high").select("h", "sig", "n", "c", "hub"), "members")
+    join.decide(materialize(_pairs(members.select("h", F.col("hub.sig").alias("x"), F.col("hub.n").alias("n_x"), F.col("hub.c").alias("c_x"),
+                                                  F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))), "pairs"))
     labels = join.labels()
-    done: DataFrame | None = None
-    open_ = members.select("h", "sig", "n")
+    done = None
+    open_ = members.filter(F.col("h") < F.lit(int(_LAST))).select("h", "sig", "n", "c")
+    take = PIVOTS
     while True:
         labelled = open_.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")) if labels is not None else open_.withColumn("label", F.col("sig"))
         per_label = labelled.groupBy("h", "label").agg(F.count("*").alias("k"))
         largest = per_label.groupBy("h").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
         open_members = materialize(labelled.join(largest, "h"), "open-members")
-        open_ = open_members.select("h", "sig", "n")
-        rest = open_members.filter("label <> main").select("h", "sig", "n", "label")
+        open_ = open_members.select("h", "sig", "n", "c")
+        inner = F.col("label") == F.col("main")
+        rest = open_members.select(*open_.columns, "label", inner.alias("inner"))
         if done is not None:
             rest = rest.join(done, ["h", "sig"], "left_anti")
-        ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("sig"))).filter(F.col("k") <= PIVOTS)
-        pivots = materialize(ranked.select("h", F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("of_x")), "pivots")
-        if pivots.isEmpty():
+        order = Window.partitionBy("h", "inner").orderBy(F.col("n") - F.col("c"), "sig")
+        ranked = rest.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= take)
+        pivots = materialize(ranked.select("h", F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"), F.col("label").alias("of_x"), "inner"), "pivots")
+        # a shingle is settled when everything outside its largest component has been compared
+        if pivots.filter("NOT inner").isEmpty():
             break
-        other = open_members.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), "label")
+        take *= 4
+        other = open_members.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"), "label")
         pairs = _pairs(pivots.join(other, "h").filter("of_x <> label"))
         for known in join.decided:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -240,6 +362,10 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = join.labels()
         used = pivots.select("h", F.col("x").alias("sig"))
         done = used if done is None else done.unionByName(used)
+    crowded = _crowds(join, members.filter(F.col("h") >= F.lit(int(_LAST))).select(F.col("hub.sig").alias("hub"), "sig", "n").distinct(), labels)
+    if crowded is not None:
+        join.links.append(crowded)
+        labels = join.labels()
     # smallest id of each component, then of each row's class
     named = classes.select("sig", "least", "members")
     total = rows.count()
