@@ -34,32 +34,43 @@ ADDRESS = frozenset("you your youre u du dich dir dein tu te toi ton vous usted
 FEATURES = ("exact", "fuzzy", "quoted", "addressed")
 
 
+def _insert(nodes: list[dict[str, int]], text: str) -> int:
+    at = 0
+    for sign in text:
+        if sign not in nodes[at]:
+            nodes[at][sign] = len(nodes)
+            nodes.append({})
+        at = nodes[at][sign]
+    return at
+
+
 class Trie:
-    """Terms in a trie; ``stem`` terms end in ``*`` and match any word that begins with them."""
+    """Terms (text, weight, whether misspelled forms count; yes if left out) in a trie.
+
+    Terms that end in ``*`` are stems and match any word that begins with them. Terms with misspelled forms have a trie of
+    their own, so that automata don't walk the others.
+    """
 
-    def __init__(self, terms: list[tuple[str, float]]):
-        self.weights = [w for _, w in terms]
+    def __init__(self, terms: list[tuple]):
+        self.weights = [t[1] for t in terms]
         self.nodes: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}
         self.stem: dict[int, int] = {}
+        self.fuzzy_nodes: list[dict[str, int]] = [{}]
+        self.fuzzy: dict[int, int] = {}
         self.heads: set[str] = set()
         self.tails: set[str] = set()
-        for k, (term, _) in enumerate(terms):
-            text = term.rstrip("*")
-            at = 0
-            for sign in text:
-                nxt = self.nodes[at].get(sign)
-                if nxt is None:
-                    nxt = len(self.nodes)
-                    self.nodes[at][sign] = nxt
-                    self.nodes.append({})
-                at = nxt
-            if term.endswith("*"):
-                self.stem[at] = k
-            else:
-                self.whole[at] = k
+        for k, term in enumerate(terms):
+            text = term[0].rstrip("*")
+            end = _insert(self.nodes, text)
+            if term[0].endswith("*"):
+                self.stem[end] = k
+                continue
+            self.whole[end] = k
+            if len(text) >= FUZZY_LEAST and (len(term) < 3 or term[2]):
+                self.fuzzy[_insert(self.fuzzy_nodes, text)] = k
+                self.heads.add(text[:2])
                 self.tails.add(text[-2:])
-            self.heads.add(text[:2])
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best term: exact words and stems first, then words one edit away."""
@@ -82,18 +93,18 @@ class Trie:
     def _automaton(self, word: str) -> tuple[int, int] | None:
         """Walk the trie with the states of the word's automaton: for each prefix of the word the edits used so far."""
         found: tuple[float, int] | None = None
-        stack = [(0, 0, tuple(min(i, 2) for i in range(len(word) + 1)))]
+        stack = [(0, tuple(min(i, 2) for i in range(len(word) + 1)))]
         while stack:
-            node, depth, row = stack.pop()
-            term = self.whole.get(node)
-            if term is not None and row[-1] == 1 and depth >= FUZZY_LEAST and (found is None or self.weights[term] > found[0]):
+            node, row = stack.pop()
+            term = self.fuzzy.get(node)
+            if term is not None and row[-1] == 1 and (found is None or self.weights[term] > found[0]):
                 found = (self.weights[term], term)
-            for sign, child in self.nodes[node].items():
+            for sign, child in self.fuzzy_nodes[node].items():
                 new = [min(row[0] + 1, 2)]
                 for i, own in enumerate(word):
                     new.append(min(row[i] + (own != sign), row[i + 1] + 1, new[i] + 1, 2))
                 if min(new) <= 1:
-                    stack.append((child, depth + 1, tuple(new)))
+                    stack.append((child, tuple(new)))
         return (found[1], 1) if found else None
 
 
@@ -113,7 +124,7 @@ def term_counts(texts: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("term").agg(*sums).filter("p0 + p1 >= 3"), "terms")
 
 
-def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...]) -> list[tuple[str, float]]:
+def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...]) -> list[tuple[str, float, bool]]:
     """Terms whose share among the toxic texts of the halves is far above their share among the others, with log odds."""
     toxic, clean = (sum(sizes.get((h, g), 0) for h in halves) for g in (1, 0))
     if not toxic or not clean:
@@ -122,7 +133,11 @@ def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves:
     odds = F.log((p / F.lit(toxic)) / ((n + 0.5) / F.lit(clean + 1)))
     strong = counts.filter(p >= max(3, math.ceil(0.005 * toxic))).select("term", p.alias("p"), odds.alias("odds")).filter(F.col("odds") >= math.log(10))
     best = strong.orderBy((F.col("p") * F.col("odds")).desc(), "term").limit(TERMS)
-    return [(r.term, float(r.odds)) for r in best.collect()]
+    found = best.collect()
+    # a word that is only one of many with its stem has no misspelled forms of its own
+    stems = {r.term[:-1]: r.p for r in found if r.term.endswith("*")}
+    widest = {r.term: max((stems.get(r.term[:k], 0) for k in STEMS), default=0) for r in found}
+    return [(r.term, float(r.odds), 2 * r.p >= widest[r.term]) for r in found]
 
 
 class _Matcher:
@@ -187,7 +202,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, terms: list[tuple[str, float]], weights: np.ndarray):
+    def __init__(self, terms: list[tuple[str, float, bool]], weights: np.ndarray):
         self.terms, self.weights = terms, weights
 
 
