@@ -1,8 +1,11 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with log-frequency Bloom filters.
 
-A pair of words with count c is put into the filter once for each level 1 .. 1 + floor(2 log2 c). A worker asks for level 1,
+A pair of words with count c is put into a filter once for each level 1 .. 1 + floor(2 log2 c). A worker asks for level 1,
 2, and so on until the filter says no; the last level gives the count, rounded down to a power of the root of two unless
 the filter errs upwards. Pairs are discounted, and what that leaves goes to exact counts of single words.
+
+Every pair of the training texts is held. The most frequent ones, of which there is a bounded number, are in a filter that
+is broadcast; the others are in one filter for each shard of the pair hash, and pairs to score are sent to their shard.
 """
 
 from __future__ import annotations
@@ -17,9 +20,13 @@ from pyspark.sql import functions as F
 from fieldmark.llm import tokens
 from fieldmark.llm.common import materialize, table
 
-#: The filter holds the pairs whose count is at least this share of all training tokens: 1 / PAIR_SHARE of them at most,
-#: and their levels add up to a few times as many, whatever the corpus.
+#: Pairs whose count is at least this share of all training tokens are broadcast: 1 / PAIR_SHARE of them at most, and their
+#: levels add up to a few times as many, whatever the corpus. The others are in the filters of the shards.
 PAIR_SHARE = 5e-7
+#: Training tokens for each shard of the other pairs, and shards at least.
+SHARD_TOKENS, SHARDS = 4_000_000, 128
+#: Pairs that a task gathers before it deals them out to the shards.
+GATHERED = 1_000_000
 #: Words with at least this share of the training tokens are broadcast with their counts; the others are joined.
 WORD_SHARE = 2.5e-7
 #: Bits of the filter for each entry, and probes for each look-up.
@@ -57,39 +64,79 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _count(kind: str, frequent=None):
-    """Counts of words, or of the pairs of frequent words, summed over some megabytes of text at a time."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, summed over some megabytes of text at a time."""
+    for batch in batches:
+        parts = [np.unique(_with_ends(found)[1], return_counts=True) for found in tokens.words(batch.column("_text"))]
+        if parts:
+            keys, n = _tally(parts)
+            yield pa.RecordBatch.from_arrays([tokens.signed(keys), pa.array(n)], ["h", "n"])
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(shard: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, list]:
+    """Columns ordered by shard, cut into the bytes of each shard."""
+    at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, dtype=np.int64)
+    ends = np.r_[at[1:], len(shard)]
+    return {"shard": shard[at].tolist()} | {c: [x[i:j].tobytes() for i, j in zip(at, ends)] for c, x in columns.items()}
+
+
+def _count_pairs(shards: int):
+    """Counts of pairs and the first word of each, packed by shard."""
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, n = _tally([p[:2] for p in parts])
+        _, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        rows = _dealt(_shard(keys, shards), {"h": keys, "n": n, "v": np.concatenate([p[2] for p in parts])[first]})
+        return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in "hnv"]], ["shard", *"hnv"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            parts: list[tuple[np.ndarray, np.ndarray]] = []
             for found in tokens.words(batch.column("_text")):
                 text, token = _with_ends(found)
-                if kind == "pair":
-                    often = _member(token, frequent.value)
-                    at, key = _pairs(text, token)
-                    use = often[at] & often[at - 1]
-                    at, key = at[use], key[use]
-                    key, first, n = np.unique(key, return_index=True, return_counts=True)
-                    parts.append((key, n, token[at[first] - 1]))
-                else:
-                    parts.append((*np.unique(token, return_counts=True), None))
-            if parts:
-                keys, n = _tally([p[:2] for p in parts])
-                columns, names = [tokens.signed(keys), pa.array(n)], ["h", "n"]
-                if kind == "pair":
-                    every, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-                    columns.append(tokens.signed(np.concatenate([p[2] for p in parts])[first]))
-                    names.append("v")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                at, key = _pairs(text, token)
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                parts.append((key, n, token[at[first] - 1]))
+                if sum(len(p[0]) for p in parts) >= GATHERED:
+                    yield packed(parts)
+                    parts = []
+        if parts:
+            yield packed(parts)
+
+    return run
+
+
+def _bytes(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+FILTERS = "shard int, bits binary, often array<bigint>, times array<bigint>, v array<bigint>, taken array<double>"
+
+
+def _build(least: int):
+    """The filter of a shard, its pairs of at least ``least``, which are left out of it, and what pairs take from their first words."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, back = np.unique(_bytes(rows.column("h"), np.uint64), return_inverse=True)
+        n = np.bincount(back, _bytes(rows.column("n"), np.int64), len(keys)).astype(np.int64)
+        v = np.zeros(len(keys), dtype=np.uint64)
+        v[back] = _bytes(rows.column("v"), np.uint64)
+        words, spot = np.unique(v, return_inverse=True)
+        taken = np.bincount(spot, np.maximum(count_of(level_of(n)) - DISCOUNT, 0), len(words))
+        often = n >= least
+        bits = LogFrequencyFilter.build(keys[~often], n[~often]).bits
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()),
+                         "often": _one_list(keys[often].view(np.int64)), "times": _one_list(n[often]), "v": _one_list(words.view(np.int64)), "taken": _one_list(taken)})
 
     return run
 
 
-def _member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(x), dtype=bool)
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+def _one_list(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -140,14 +187,29 @@ class LogFrequencyFilter:
 
 class Model:
     """Totals, the frequent words (sorted by hash) with their counts and the share of the tokens after each that pairs
-    explain, and the filter: bounded by the two shares."""
+    explain, and the filter of the frequent pairs with the least count of these: bounded by the two shares."""
 
-    def __init__(self, total: int, distinct: int, words: np.ndarray, counts: np.ndarray, explained: np.ndarray, bits: np.ndarray):
-        self.total, self.distinct, self.words, self.counts, self.explained = total, distinct, words, counts, explained
+    def __init__(self, total: int, distinct: int, words: np.ndarray, counts: np.ndarray, explained: np.ndarray, bits: np.ndarray, least: int):
+        self.total, self.distinct, self.words, self.counts, self.explained, self.least = total, distinct, words, counts, explained, least
         self.pairs = LogFrequencyFilter(bits)
 
     def state(self) -> tuple:
-        return self.total, self.distinct, self.words, self.counts, self.explained, self.pairs.bits
+        return self.total, self.distinct, self.words, self.counts, self.explained, self.pairs.bits, self.least
+
+    def known(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(whether frequent, count, chance as a single word, what pairs leave after it) of each token; 0 and 1 for others."""
+        if not len(self.words):
+            return np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=np.int64), np.full(len(token), 1 / (self.total + self.distinct + 1)), np.ones(len(token))
+        spot = np.minimum(np.searchsorted(self.words, token), len(self.words) - 1)
+        often = self.words[spot] == token
+        count = np.where(often, self.counts[spot], 0)
+        left = np.where(often, np.maximum(1 - self.explained[spot], 1e-6), 1.0)
+        return often, count, (count + 1) / (self.total + self.distinct + 1), left
+
+    def frequent(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of the frequent pairs among the keys, 0 for the others."""
+        levels = self.pairs.levels(keys)
+        return np.where(levels >= level_of(np.array([self.least]))[0], count_of(levels), 0.0)
 
 
 def _bounded(counts: DataFrame) -> list[np.ndarray]:
@@ -158,27 +220,28 @@ def _bounded(counts: DataFrame) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the written table (h, n) of all words of texts (_text)."""
-    words = materialize(texts.select("_text").mapInArrow(_count("word"), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known, counts = _bounded(words.filter(F.col("n") >= max(1, int(WORD_SHARE * total))).select("h", "n"))
-    known = known.view(np.uint64)
-    # a pair can only be frequent if both of its words are
-    least = max(1, int(PAIR_SHARE * total))
-    frequent = texts.sparkSession.sparkContext.broadcast(known[counts >= least])
-    pairs = texts.select("_text").mapInArrow(_count("pair", frequent), "h bigint, n bigint, v bigint").groupBy("h").agg(F.sum("n").alias("n"), F.min("v").alias("v"))
-    keys, n, first = _bounded(materialize(pairs.filter(F.col("n") >= least), "word-pairs").select("h", "n", "v"))
+def train(texts: DataFrame) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, the written table (h, n, explained) of all words of texts (_text), the filters of the shards and their number."""
+    counted = materialize(texts.select("_text").mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least, shards = max(1, int(PAIR_SHARE * total)), max(SHARDS, -(-total // SHARD_TOKENS))
+    pairs = texts.select("_text").mapInArrow(_count_pairs(shards), "shard int, h binary, n binary, v binary")
+    filters = materialize(pairs.groupBy("shard").applyInArrow(_build(least), FILTERS), "pair-filters")
+    taken = filters.select(F.explode(F.arrays_zip("v", "taken")).alias("x")).groupBy(F.col("x.v").alias("v")).agg(F.sum("x.taken").alias("taken"))
+    explained = F.least(F.lit(1.0), F.coalesce("taken", F.lit(0.0)) / F.col("n"))
+    words = materialize(counted.join(taken, F.col("h") == F.col("v"), "left").select("h", "n", explained.alias("explained")), "words")
+    known, counts, shares = _bounded(words.filter(F.col("n") >= _least_known(total)))
+    keys, n = _bounded(filters.select(F.explode(F.arrays_zip("often", "times")).alias("x")).select("x.often", "x.times"))
     held = LogFrequencyFilter.build(keys.view(np.uint64), n)
-    taken = np.maximum(count_of(level_of(n)) - DISCOUNT, 0)
-    explained = np.zeros(len(known))
-    if len(keys):
-        np.add.at(explained, np.searchsorted(known, first.view(np.uint64)), taken)
-    return Model(int(total), int(distinct), known, counts, np.minimum(explained / np.maximum(counts, 1), 1.0), held.bits), words
+    return Model(int(total), int(distinct), known.view(np.uint64), counts, shares, held.bits, least), words, filters.select("shard", "bits"), shards
+
+
+def _least_known(total: int) -> int:
+    return max(1, int(WORD_SHARE * total))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Scores of texts from the frequent words, and the words whose counts are yet to be joined.
+    """Scores of texts from the frequent words and pairs, and the words whose counts are yet to be joined.
 
     ``rare`` and ``times`` list the other words and how often each stands in the text.
     """
@@ -188,21 +251,15 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         rare, times, lengths = [], [], np.zeros(len(batch), dtype=np.int64)
         for found in tokens.words(batch.column("_text")):
             text, token = _with_ends(found)
-            spot = np.minimum(np.searchsorted(model.words, token), max(len(model.words) - 1, 0))
-            often = (model.words[spot] == token) if len(model.words) else np.zeros(len(token), dtype=bool)
-            count = np.where(often, model.counts[spot] if len(model.words) else 0, 0)
-            single = (count + 1) / (model.total + model.distinct + 1)
+            often, count, single, leaves = model.known(token)
             at, key = _pairs(text, token)
-            # what pairs leave of the tokens after a frequent word goes to single words
+            # what pairs leave of the tokens after a word goes to single words
             left = np.ones(len(token))
-            after = often[at - 1]
-            left[at[after]] = 1 - model.explained[spot[at[after] - 1]] if len(model.words) else 1.0
-            left = np.maximum(left, 1e-6)
+            left[at] = leaves[at - 1]
             chance = single * left
             both = often[at - 1] & often[at]
             at, key = at[both], key[both]
-            times_seen = count_of(model.pairs.levels(key))
-            chance[at] += np.maximum(times_seen - DISCOUNT, 0) / np.maximum(count[at - 1], 1)
+            chance[at] += np.maximum(model.frequent(key) - DISCOUNT, 0) / np.maximum(count[at - 1], 1)
             chance = np.minimum(chance, 1.0)
             base = np.where(often, np.log10(single), 0.0)
             # a rare word adds its own logarithm once its count is joined
@@ -227,6 +284,94 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             ["_id", "_key", "n_tokens", "n_known", "base", "own", "rare", "times"])
 
 
+QUERIED = ("k", "runs", "h", "first", "base")
+QUERIES_KIND = "shard int, " + ", ".join(f"{c} binary" for c in QUERIED)
+
+
+def _packed(k: np.ndarray, h: np.ndarray, first: np.ndarray, base: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Pairs to score by shard: text key with the length of its run, pair, count of the first word, chance without the pair."""
+    shard = _shard(h, shards)
+    order = np.lexsort((k, shard))
+    k, shard = k[order], shard[order]
+    rows = _dealt(shard, {"h": h[order], "first": first[order].astype(np.float32), "base": base[order].astype(np.float32)})
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (shard[1:] != shard[:-1])]) if len(k) else np.zeros(0, dtype=np.int64)
+    rows |= _dealt(shard[new], {"k": k[new], "runs": np.diff(np.r_[new, len(k)]).astype(np.int32)})
+    return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in QUERIED]], ["shard", *QUERIED])
+
+
+def _pairs_left(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text key, pair, first, second, whether each is known, count of the first, chance as a single word of the second times
+    what pairs leave after the first) of the pairs that aren't frequent; unknown words leave their part out."""
+    for batch in batches:
+        keys = batch.column("_key").to_numpy()
+        for found in tokens.words(batch.column("_text")):
+            text, token = _with_ends(found)
+            often, count, single, leaves = model.known(token)
+            at, key = _pairs(text, token)
+            rest = model.frequent(key) == 0
+            at, key = at[rest], key[rest]
+            base = np.where(often[at], single[at], 1.0) * leaves[at - 1]
+            yield keys[found.begin + text[at]], key, token[at - 1], token[at], often[at - 1], often[at], count[at - 1], base
+
+
+def _known_pairs(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Iterator[pa.RecordBatch]:
+    parts: list[tuple[np.ndarray, ...]] = []
+    for k, h, _, _, a, b, first, base in _pairs_left(batches, model):
+        use = a & b
+        parts.append((k[use], h[use], first[use], base[use]))
+        if sum(len(p[0]) for p in parts) >= GATHERED:
+            yield _packed(*map(np.concatenate, zip(*parts)), shards)
+            parts = []
+    if parts:
+        yield _packed(*map(np.concatenate, zip(*parts)), shards)
+
+
+def _other_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Pairs with a word whose count is yet to be joined; a known word has the pair's hash in its place, which no word has."""
+    for k, h, v, w, a, b, first, base in _pairs_left(batches, model):
+        use = ~(a & b)
+        v, w = np.where(a, h, v)[use], np.where(b, h, w)[use]
+        yield pa.RecordBatch.from_arrays([pa.array(k[use]), tokens.signed(h[use]), tokens.signed(v), tokens.signed(w), pa.array(a[use]), pa.array(b[use]),
+                                          pa.array(first[use].astype(np.float64)), pa.array(base[use])], ["k", "h", "v", "w", "a", "b", "first", "base"])
+
+
+def _probe(held: pa.Table, asked: pa.Table) -> pa.Table:
+    """What the pairs of a shard add to the logarithm of each text's chance."""
+    k, gain = np.zeros(0, dtype=np.int64), np.zeros(0)
+    if held.num_rows and asked.num_rows:
+        seen = count_of(LogFrequencyFilter(_bytes(held.column("bits"), np.uint8)).levels(_bytes(asked.column("h"), np.uint64)))
+        more = np.maximum(seen - DISCOUNT, 0) / _bytes(asked.column("first"), np.float32)
+        hit = more > 0
+        base = _bytes(asked.column("base"), np.float32)[hit].astype(np.float64)
+        k, back = np.unique(np.repeat(_bytes(asked.column("k"), np.int64), _bytes(asked.column("runs"), np.int32))[hit], return_inverse=True)
+        gain = np.bincount(back, np.log10(np.minimum(base + more[hit], 1.0)) - np.log10(base), len(k))
+    return pa.table({"k": pa.array(k, pa.int64()), "gain": pa.array(gain, pa.float64())})
+
+
+def _gains(keyed: DataFrame, shared, words: DataFrame, filters: DataFrame, shards: int, least_known: int, size: float) -> DataFrame:
+    """(k, gain): what pairs that aren't frequent add to the score of the texts with a key, summed over rows that repeat."""
+    texts = keyed.select("_key", "_text")
+    asked = texts.mapInArrow(lambda batches: _known_pairs(batches, Model(*shared.value), shards), QUERIES_KIND)
+    if least_known > 1:  # else every word of the training texts is known, and pairs with others have not been seen
+        rows = texts.mapInArrow(lambda batches: _other_pairs(batches, Model(*shared.value)),
+                                "k bigint, h bigint, v bigint, w bigint, a boolean, b boolean, first double, base double")
+        rare = words.filter(F.col("n") < least_known)
+        one = rare.select(F.col("h").alias("v"), F.col("n").alias("n1"), F.greatest(1 - F.col("explained"), F.lit(1e-6)).alias("left"))
+        two = rare.select(F.col("h").alias("w"), F.col("n").alias("n2"))
+        rows = rows.join(one, "v", "left").filter("a OR n1 IS NOT NULL").join(two, "w", "left").filter("b OR n2 IS NOT NULL")
+        rows = rows.select("k", "h", F.when(F.col("a"), F.col("first")).otherwise(F.col("n1")).alias("first"),
+                           (F.col("base") * F.when(F.col("a"), 1.0).otherwise(F.col("left")) * F.when(F.col("b"), 1.0).otherwise((F.col("n2") + 1) / F.lit(size))).alias("base"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k, h, first, base = (batch.column(c).to_numpy() for c in ("k", "h", "first", "base"))
+                yield _packed(k, h.view(np.uint64), first, base, shards)
+
+        asked = asked.unionByName(rows.mapInArrow(pack, QUERIES_KIND))
+    found = filters.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_probe, "k bigint, gain double")
+    return found.groupBy("k").agg(F.sum("gain").alias("gain"))
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -234,7 +379,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     get the same scores and a row each; a null id counts as the text ''; an empty table gives no rows.
     """
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    model, words = train(texts.filter(in_training("_id")))
+    model, words, filters, shards = train(texts.filter(in_training("_id")))
     shared = df.sparkSession.sparkContext.broadcast(model.state())
     kind = df.schema[id_col].dataType.simpleString()
     keyed = texts.withColumn("_key", F.xxhash64("_id", "_text"))
@@ -244,16 +389,22 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     one = parts.groupBy("_id", "_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "own", "rare", "times")])
     one = materialize(one, "scores")
     open_ = one.select("_id", "_key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_id", "_key", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    seen = open_.join(words, "h", "left").select("_id", "_key", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    logs = F.log10((F.col("n") + 1) / F.lit(float(model.total + model.distinct + 1)))
-    rest = seen.groupBy("_id", "_key").agg(F.sum(F.col("times") * logs).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more_known"))
-    rest = rest.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "more", "more_known")
+    seen = open_.join(words, "h", "left").select("_id", "_key", "times", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("explained", F.lit(0.0)).alias("explained"))
+    size = float(model.total + model.distinct + 1)
+    logs = F.log10((F.col("n") + 1) / F.lit(size))
+    # a token follows each word: it gets what the pairs of that word leave
+    left = F.log10(F.greatest(1 - F.col("explained"), F.lit(1e-6)))
+    rest = seen.groupBy("_id", "_key").agg(F.sum(F.col("times") * logs).alias("more"), F.sum(F.col("times") * left).alias("after"),
+                                           F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more_known"))
+    rest = rest.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "more", "after", "more_known")
+    gains = _gains(keyed, shared, words, filters, shards, _least_known(model.total), size)
     found = one.drop("rare", "times").join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
+    found = found.join(gains, F.col("_key") == F.col("k"), "left")
     found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     more = F.coalesce("more", F.lit(0.0))
     return found.select(F.col("_id").alias(id_col), (~in_training("_id")).alias("held_out"), "n_tokens",
                         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
-                        (F.col("base") + more).alias("base_score"), (F.col("own") + more).alias("score"))
+                        (F.col("base") + more).alias("base_score"), (F.col("own") + more + F.coalesce("after", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)) / F.col("copies")).alias("score"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,3 +229,37 @@ def test_kth_largest(spark):
     everything = sorted((float(r.v) for r in values.collect()), reverse=True)
     for k in (1, 17, 2500, 5000):
         assert quality.kth_largest(values, "v", k, bins=16, few=10) == everything[k - 1]
+
+
+@pytest.mark.parametrize("pair_share, word_share", [(5e-7, 2.5e-7), (5e-3, 2.5e-7), (5e-3, 4e-3)])
+def test_scores_use_every_pair(spark, monkeypatch, pair_share, word_share):
+    """Whatever is broadcast, the scores are those of all pairs with their counts rounded down to a level."""
+    import math
+    import random
+
+    monkeypatch.setattr(lm, "PAIR_SHARE", pair_share)
+    monkeypatch.setattr(lm, "WORD_SHARE", word_share)
+    draw = random.Random(7)
+    docs = [(i, " ".join(f"w{int(draw.paretovariate(0.6)) % 400}" for _ in range(draw.randrange(60)))) for i in range(120)] + [(3, "w1 w2 w1 w2"), (3, "w1 w2 w1 w2")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = lm.score(frame).collect()
+    texts = [["", *t.split(), "$"] for _, t in docs]
+    train = {r.doc_id for r in got if not r.held_out}
+    words, pairs, taken = Counter(), Counter(), Counter()
+    for (i, _), t in zip(docs, texts):
+        if i in train:
+            words.update(t[1:])
+            pairs.update(zip(t[1:], t[2:]))
+    level = {p: 2 ** (math.floor(2 * math.log2(c) + 1e-9) / 2) - lm.DISCOUNT for p, c in pairs.items()}
+    for (a, _), c in level.items():
+        taken[a] += c
+    size = sum(words.values()) + len(words) + 1
+
+    def chance(a, b):
+        left = max(1 - min(taken[a] / words[a], 1), 1e-6) if words[a] else 1.0
+        return min(left * (words[b] + 1) / size + level.get((a, b), 0) / max(words[a], 1), 1.0)
+
+    want = sorted((i, sum(math.log10(chance(a, b)) for a, b in zip(t, t[1:]))) for (i, _), t in zip(docs, texts))
+    off = [g.score - w for g, (_, w) in zip(sorted(got, key=lambda r: (r.doc_id, r.score)), want)]
+    # the filter may err, upwards and rarely
+    assert len(off) == len(docs) and min(off) > -1e-3 and sum(abs(x) < 1e-3 for x in off) > 0.7 * len(off)
