@@ -45,32 +45,29 @@ def _insert(nodes: list[dict[str, int]], text: str) -> int:
 
 
 class Trie:
-    """Terms (text, weight, whether misspelled forms count; yes if left out) in a trie.
+    """Terms (text, weight) in a trie.
 
-    Terms that end in ``*`` are stems and match any word that begins with them. Terms with misspelled forms have a trie of
-    their own, so that automata don't walk the others.
+    Terms that end in ``*`` are stems and match any word that begins with them. Whole terms of ``FUZZY_LEAST`` letters or
+    more are also in a trie of their own for automata, and reversed in another one.
     """
 
-    def __init__(self, terms: list[tuple]):
-        self.weights = [t[1] for t in terms]
+    def __init__(self, terms: list[tuple[str, float]]):
+        self.weights = [weight for _, weight in terms]
         self.nodes: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}
         self.stem: dict[int, int] = {}
-        self.fuzzy_nodes: list[dict[str, int]] = [{}]
-        self.fuzzy: dict[int, int] = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        for k, term in enumerate(terms):
-            text = term[0].rstrip("*")
+        self.forward: tuple[list[dict[str, int]], dict[int, int]] = ([{}], {})
+        self.backward: tuple[list[dict[str, int]], dict[int, int]] = ([{}], {})
+        for k, (term, _) in enumerate(terms):
+            text = term.rstrip("*")
             end = _insert(self.nodes, text)
-            if term[0].endswith("*"):
+            if term.endswith("*"):
                 self.stem[end] = k
                 continue
             self.whole[end] = k
-            if len(text) >= FUZZY_LEAST and (len(term) < 3 or term[2]):
-                self.fuzzy[_insert(self.fuzzy_nodes, text)] = k
-                self.heads.add(text[:2])
-                self.tails.add(text[-2:])
+            if len(text) >= FUZZY_LEAST:
+                for (nodes, ends), signs in ((self.forward, text), (self.backward, text[::-1])):
+                    ends[_insert(nodes, signs)] = k
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best term: exact words and stems first, then words one edit away."""
@@ -85,27 +82,37 @@ class Trie:
                 best = self.whole[at]
         if best is not None:
             return best, 0
-        # one edit leaves either the first two or the last two signs as they are
-        if len(word) < FUZZY_LEAST - 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
+        if len(word) < FUZZY_LEAST - 1:
             return None
-        return self._automaton(word)
-
-    def _automaton(self, word: str) -> tuple[int, int] | None:
-        """Walk the trie with the states of the word's automaton: for each prefix of the word the edits used so far."""
-        found: tuple[float, int] | None = None
-        stack = [(0, tuple(min(i, 2) for i in range(len(word) + 1)))]
+        # one edit leaves either the first or the second half of the word as it is
+        half = len(word) // 2
+        found = [self._automaton(*self.forward, word, half), self._automaton(*self.backward, word[::-1], len(word) - half)]
+        best = max((k for k in found if k is not None), key=lambda k: self.weights[k], default=None)
+        return None if best is None else (best, 1)
+
+    def _automaton(self, nodes: list[dict[str, int]], ends: dict[int, int], word: str, same: int) -> int | None:
+        """The best term one edit away that begins with the first ``same`` signs of the word: walk the trie below these with
+        the states of the automaton of the rest, for each prefix of the rest the edits used so far."""
+        at = 0
+        for sign in word[:same]:
+            at = nodes[at].get(sign, -1)
+            if at < 0:
+                return None
+        found: int | None = None
+        rest = word[same:]
+        stack = [(at, tuple(min(i, 2) for i in range(len(rest) + 1)))]
         while stack:
             node, row = stack.pop()
-            term = self.fuzzy.get(node)
-            if term is not None and row[-1] == 1 and (found is None or self.weights[term] > found[0]):
-                found = (self.weights[term], term)
-            for sign, child in self.fuzzy_nodes[node].items():
+            term = ends.get(node)
+            if term is not None and row[-1] == 1 and (found is None or self.weights[term] > self.weights[found]):
+                found = term
+            for sign, child in nodes[node].items():
                 new = [min(row[0] + 1, 2)]
-                for i, own in enumerate(word):
+                for i, own in enumerate(rest):
                     new.append(min(row[i] + (own != sign), row[i + 1] + 1, new[i] + 1, 2))
                 if min(new) <= 1:
                     stack.append((child, tuple(new)))
-        return (found[1], 1) if found else None
+        return found
 
 
 def _words_of(text: Column) -> Column:
@@ -124,7 +131,7 @@ def term_counts(texts: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("term").agg(*sums).filter("p0 + p1 >= 3"), "terms")
 
 
-def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...]) -> list[tuple[str, float, bool]]:
+def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...]) -> list[tuple[str, float]]:
     """Terms whose share among the toxic texts of the halves is far above their share among the others, with log odds."""
     toxic, clean = (sum(sizes.get((h, g), 0) for h in halves) for g in (1, 0))
     if not toxic or not clean:
@@ -133,11 +140,7 @@ def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves:
     odds = F.log((p / F.lit(toxic)) / ((n + 0.5) / F.lit(clean + 1)))
     strong = counts.filter(p >= max(3, math.ceil(0.005 * toxic))).select("term", p.alias("p"), odds.alias("odds")).filter(F.col("odds") >= math.log(10))
     best = strong.orderBy((F.col("p") * F.col("odds")).desc(), "term").limit(TERMS)
-    found = best.collect()
-    # a word that is only one of many with its stem has no misspelled forms of its own
-    stems = {r.term[:-1]: r.p for r in found if r.term.endswith("*")}
-    widest = {r.term: max((stems.get(r.term[:k], 0) for k in STEMS), default=0) for r in found}
-    return [(r.term, float(r.odds), 2 * r.p >= widest[r.term]) for r in found]
+    return [(r.term, float(r.odds)) for r in best.collect()]
 
 
 class _Matcher:
@@ -202,7 +205,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, terms: list[tuple[str, float, bool]], weights: np.ndarray):
+    def __init__(self, terms: list[tuple[str, float]], weights: np.ndarray):
         self.terms, self.weights = terms, weights
 
 

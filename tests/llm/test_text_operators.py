@@ -263,3 +263,36 @@ def test_scores_use_every_pair(spark, monkeypatch, pair_share, word_share):
     off = [g.score - w for g, (_, w) in zip(sorted(got, key=lambda r: (r.doc_id, r.score)), want)]
     # the filter may err, upwards and rarely
     assert len(off) == len(docs) and min(off) > -1e-3 and sum(abs(x) < 1e-3 for x in off) > 0.7 * len(off)
+
+
+def test_misspelled_forms_of_every_term(spark):
+    """Terms of a family without a dominant form, misspelled in their first letters too; the trie equals brute force."""
+    import random
+
+    rows = [("vermin", 40), ("vermins", 30), ("verminous", 30), ("verm*", 100)]
+    counts = spark.createDataFrame([(t, p // 2, 0, p // 2, 0) for t, p in rows], "term string, p0 int, n0 int, p1 int, n1 int")
+    terms = toxicity.learn_lexicon(counts, {(h, g): 500 for h in (0, 1) for g in (0, 1)}, (0, 1))
+    trie = toxicity.Trie(terms)
+    for near in ("bermin", "evrmins", "vwrminous", "ermin"):
+        assert (trie.match(near) is not None) == (near != "evrmins"), near
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j - 1] + (x != y), old[j] + 1, row[j - 1] + 1))
+        return row[-1]
+
+    draw = random.Random(5)
+    lexicon = [("".join(draw.choices("ab", k=draw.randrange(4, 9))), float(k)) for k in range(25)]
+    lexicon = list(dict(lexicon).items())
+    trie = toxicity.Trie(lexicon)
+    for _ in range(2000):
+        word = "".join(draw.choices("ab", k=draw.randrange(3, 10)))
+        near = [w for t, w in lexicon if len(t) >= toxicity.FUZZY_LEAST and edits(t, word) == 1]
+        got = trie.match(word)
+        if word in dict(lexicon):
+            assert got is not None and got[1] == 0
+        elif len(word) >= toxicity.FUZZY_LEAST - 1:
+            assert (trie.weights[got[0]] if got else None) == max(near, default=None), word
