@@ -75,6 +75,8 @@ class Kind:
     words: tuple[str, ...]
     base: bool = True
     prepared: Callable[[Column], Column] = field(default=lambda text: text)
+    #: If given, the pattern finds only where spans begin; this makes of (text, start) the span, or '' if there is none.
+    grown: Callable[[Column, Column], Column] | None = None
 
 
 def _has_digit(text: Column) -> Column:
@@ -86,6 +88,18 @@ def _labels(text: Column) -> Column:
     return F.regexp_replace(free, r"\.(?![A-Za-z0-9-])", _NO_LABEL)
 
 
+#: Ends of an account number after its first four signs: groups of four, and signs left over.
+_ENDS = [rf"^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{k}}}{tail}(?![A-Za-z0-9])"
+         for k in range(7, 1, -1) for tail in (r"\x20?[A-Z0-9]{3}", r"\x20?[A-Z0-9]{2}", r"\x20?[A-Z0-9]", "")]
+
+
+def longest_account(text: Column, start: Column) -> Column:
+    """The longest account number at ``start`` whose check holds, '' if there is none; words after it may look like part of it."""
+    piece = F.substring(text, start + 1, F.lit(48))
+    ends = F.array(*[F.regexp_extract(piece, end, 0) for end in _ENDS])
+    return F.coalesce(F.get(F.filter(ends, lambda x: (x != "") & mod97(x)), F.lit(0)), F.lit(""))
+
+
 KINDS = (
     Kind("email", rf"(?:(?<![A-Za-z0-9._%+{_NO_LABEL}-])|\G)[A-Za-z0-9._%+{_NO_LABEL}-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++",
          lambda t: t.contains("@"), None, 0.8, ("mail", "contact", "write", "reach"), prepared=_labels),
@@ -93,8 +107,8 @@ KINDS = (
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", _has_digit, luhn, 0.7,
          ("card", "visa", "credit", "pay", "charge")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), phone_length, 0.6, ("phone", "call", "tel", "mobile", "fax")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", _has_digit, mod97, 0.7,
-         ("iban", "account", "bank", "transfer"), base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]{4}){2})", _has_digit, None, 0.7,
+         ("iban", "account", "bank", "transfer"), base=False, grown=longest_account),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _has_digit, None, 0.4, ("ssn", "social", "security", "tax"), base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -114,10 +128,24 @@ def _located(text: Column, pattern: str) -> Column:
     return F.aggregate(laid, begin, add, lambda s: s["out"])
 
 
+def _apart(spans: Column) -> Column:
+    """The spans that aren't empty, without those that begin inside an earlier one."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("out"))
+
+    def add(state: Column, x: Column) -> Column:
+        use = (x["found"] != "") & (x["start"] >= state["at"])
+        return F.struct(F.when(use, x["start"] + F.length(x["found"])).otherwise(state["at"]).alias("at"),
+                        F.when(use, F.concat(state["out"], F.array(x))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(spans, begin, add, lambda s: s["out"])
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed and scored spans of one kind; positions are code points, ends are exclusive."""
     ready = kind.prepared(text)
     spans = F.when(kind.hint(text) & ready.rlike(kind.pattern), _located(ready, kind.pattern))
+    if kind.grown:
+        spans = _apart(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), kind.grown(text, x["start"]).alias("found"))))
     if kind.check:
         spans = F.filter(spans, lambda x: kind.check(x["found"]))
 

@@ -296,3 +296,15 @@ def test_misspelled_forms_of_every_term(spark):
             assert got is not None and got[1] == 0
         elif len(word) >= toxicity.FUZZY_LEAST - 1:
             assert (trie.weights[got[0]] if got else None) == max(near, default=None), word
+
+
+def test_account_numbers_end_where_their_check_holds(spark):
+    texts = ["iban BE68539007547034 Please pay", "account ES9121000418450200051332 Bank", "AT611904300234573201 Wien", "bank BE68 5390 0754 7034 EUR",
+             "BE68 5390 0754 7034 12", "BE68539007547034 AT611904300234573201", "REF AB13 3456 7890 BE68 5390 0754 7034 BANK", "MT84 MALT 0110 0001 2345 MTLC AST0 01S.",
+             "NO9386011117947 EUR", "BE68539007547035 Please", "BE68539007547034x"]
+    want = [["BE68539007547034"], ["ES9121000418450200051332"], ["AT611904300234573201"], ["BE68 5390 0754 7034"], ["BE68 5390 0754 7034"],
+            ["BE68539007547034", "AT611904300234573201"], ["BE68 5390 0754 7034"], ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"], ["NO9386011117947"], [], []]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = sorted(pii.find_pii(frame).collect(), key=lambda r: r.doc_id)
+    assert [[s.found for s in r.spans if s.kind == "iban"] for r in rows] == want
+    assert all(texts[r.doc_id][s.start:s.end] == s.found for r in rows for s in r.spans)
