@@ -6,6 +6,7 @@ from fieldmark.functions import arrays
 from fieldmark.operators import baselines, distribution, encounter, metrics, species, splits
 from fieldmark.plans.catalog import query
 from fieldmark.plans.inputs import WINTER
+from fieldmark.session import materialize
 
 
 @query("mean_encounter_baseline", """
@@ -23,14 +24,18 @@ def features(d):
     return splits.impute_train_mean(d.predictions.join(env, "loc_key"), "x", 27)
 
 
+def every_species(d):
+    return range(d.species_list.count())
+
+
 @query("gbt_baseline")
 def gbt_baseline(d):
-    return baselines.boosted(features(d), "x", chosen=[0], seeds=[0, 1], maxIter=3, maxDepth=2)
+    return baselines.boosted(materialize(features(d), "features"), "x", chosen=every_species(d), seeds=[0, 1], maxIter=100, maxDepth=3)
 
 
 @query("xgb_baseline")
 def xgb_baseline(d):
-    scored = baselines.boosted(features(d), "x", chosen=[1], seeds=[0], maxIter=10, maxDepth=2)
+    scored = baselines.boosted(materialize(features(d), "features"), "x", chosen=every_species(d), seeds=[0], maxIter=50, maxDepth=6, stepSize=0.3)
     return scored.groupBy("split").agg(metrics.mae().alias("mae"), metrics.mse().alias("mse"), metrics.clipped_ce_sum().alias("ce"))
 
 
@@ -44,7 +49,7 @@ def ridge_baseline(d):
 
 @query("rf_presence")
 def rf_presence(d):
-    return baselines.forest_presence(features(d), "x", chosen=[2], numTrees=10, maxDepth=3)
+    return baselines.forest_presence(materialize(features(d), "features"), "x", chosen=every_species(d), numTrees=100, maxDepth=30)
 
 
 @query("bias_from_means", """
