@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii", "toxicity", "lm", "substring_dedup")
+MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii", "toxicity", "lm", "substring_dedup",
+           "merkle")
 
 
 def _all(name: str) -> dict:
