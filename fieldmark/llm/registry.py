@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("exact_dedup", "mixing", "secrets", "quality", "ngram_join", "decontaminate", "pii", "toxicity", "lm", "substring_dedup",
-           "merkle", "periodic")
+           "merkle", "periodic", "html_extract")
 
 
 def _all(name: str) -> dict:
