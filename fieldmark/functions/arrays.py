@@ -139,9 +139,24 @@ def nonzero_count(values: Column) -> Column:
     return F.size(F.filter(values, lambda v: v != 0))
 
 
+#: Modulus and factors of the portable generator; three empty rounds follow the keys.
+_SPAN, _FACTOR, _CARRY, _ROUNDS = 2_147_483_647, 48_271, 40_014, 3
+
+
 def uniform(seed: int, *key: Column) -> Column:
-    """Reproducible uniform number in [0, 1) from a row key; does not depend on partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    """Reproducible uniform number in [0, 1) from a row key; does not depend on partitioning.
+
+    A counter-based generator in plain whole-number arithmetic, which other engines can repeat. Keys are whole numbers; other
+    keys go by their hash.
+    """
+    numbers = [F.pmod(F.coalesce(k.try_cast("bigint"), F.xxhash64(k)), F.lit(_SPAN)) for k in key]
+    rounds = F.array(*numbers, *[F.lit(0).cast("bigint")] * _ROUNDS)
+
+    def mix(state: Column, number: Column) -> Column:
+        fed = state + number + 1
+        return (fed * _FACTOR + F.shiftright(fed, 15) * _CARRY) % _SPAN
+
+    return F.aggregate(rounds, F.lit(seed % _SPAN).cast("bigint"), mix) / F.lit(float(_SPAN))
 
 
 def normal(seed: int, *key: Column) -> Column:

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,42 +30,6 @@ def subset_vector(vector: str, indices: Column) -> Column:
     return F.transform(indices, lambda i: F.get(source, i))
 
 
-def _labelled(rows: DataFrame, features: str, label: Column) -> DataFrame:
-    return rows.withColumn("features", array_to_vector(F.col(features))).withColumn("label", label)
-
-
-def boosted(rows: DataFrame, features: str, chosen: Sequence[int], seeds: Sequence[int] = (0,), split: str = "split", **params) -> DataFrame:
-    """Gradient-boosted trees per species and seed: (hotspot_id, species_idx, seed, y, p) outside train.
-
-    Each fit is a distributed Spark ML job; negative predictions are lifted to 0.
-    """
-    out = None
-    for idx in chosen:
-        data = _labelled(rows, features, F.get("y", F.lit(idx)))
-        train = data.filter(F.col(split) == "train").select("features", "label")
-        for seed in seeds:
-            model = GBTRegressor(seed=seed, **params).fit(train)
-            scored = model.transform(data.filter(F.col(split) != "train")).select(
-                "hotspot_id", split, F.lit(idx).alias("species_idx"), F.lit(seed).alias("seed"), F.col("label").alias("y"),
-                F.greatest(F.col("prediction"), F.lit(0.0)).alias("p"))
-            out = scored if out is None else out.unionByName(scored)
-    return out
-
-
-def forest_presence(rows: DataFrame, features: str, chosen: Sequence[int], seed: int = 1, split: str = "split", **params) -> DataFrame:
-    """Random forest on presence per species: (hotspot_id, species_idx, present, p) outside train."""
-    out = None
-    for idx in chosen:
-        data = _labelled(rows, features, F.when(F.get("y", F.lit(idx)) > 0, 1.0).otherwise(0.0))
-        model = RandomForestClassifier(seed=seed, **params).fit(data.filter(F.col(split) == "train").select("features", "label"))
-        probability = vector_to_array("probability")
-        scored = model.transform(data.filter(F.col(split) != "train")).select(
-            "hotspot_id", split, F.lit(idx).alias("species_idx"), F.col("label").alias("present"),
-            F.coalesce(F.get(probability, F.lit(1)), F.lit(0.0)).alias("p"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def gram_sums(train: DataFrame, features: str, target: str) -> DataFrame:
     """(i, j, value): sums of the outer product of [1, x] with [1, x, y] over all rows.
 
@@ -129,3 +88,21 @@ def ridge_predict(rows: DataFrame, features: str, weights) -> DataFrame:
         return pd.Series(list(design @ table))
 
     return rows.withColumn("p", predict(F.col(features)))
+
+
+def ridge_residuals(train: DataFrame, features: str, target: str, weights, alpha: float = 1.0) -> DataFrame:
+    """(feature, species_idx, residual, bounded): what is left of the normal equations, summed over the rows one by one.
+
+    ``residual`` is relative to the sum of the absolute terms; ``bounded`` says that the weight is a finite number.
+    """
+    table = weights.copy()
+    flat = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in table])
+    design = F.concat(F.array(F.lit(1.0)), F.col("x"))
+    rows = ridge_predict(train.select(F.col(features).alias("x"), F.col(target).alias("y")), "x", weights)
+    errors = rows.select(F.posexplode(F.zip_with("p", "y", lambda p, y: p - y)).alias("species_idx", "e"), design.alias("d"))
+    terms = errors.select("species_idx", "e", F.posexplode("d").alias("feature", "v"))
+    sums = terms.groupBy("feature", "species_idx").agg(F.sum(F.col("v") * F.col("e")).alias("s"), F.sum(F.abs(F.col("v") * F.col("e"))).alias("scale"))
+    weight = F.get(F.get(flat, F.col("feature")), F.col("species_idx"))
+    penalty = F.when(F.col("feature") > 0, F.lit(alpha) * weight).otherwise(0.0)
+    left = F.abs(F.col("s") + penalty) / (F.col("scale") + F.abs(penalty) + F.lit(1e-9))
+    return sums.select("feature", "species_idx", F.when(left > 1e-6, left).otherwise(0.0).alias("residual"), (F.abs(weight) < 1e12).alias("bounded"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions import arrays
-from fieldmark.operators import distribution
+from fieldmark.operators import cells, distribution
 
 
 class Axis(NamedTuple):
@@ -78,21 +78,20 @@ def _placed(df: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     return df
 
 
-def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis], salt: int = 4) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """All pairs whose closed intervals overlap on every axis: columns of both sides as structs ``l`` and ``r``.
     A missing end is open on axes with ``open_ends``; rows without an end on another axis are left out.
 
-    Left rows of a crowded cell are spread over ``salt`` tasks; the right side is repeated that often, so the larger
-    side belongs on the left.
+    The rows of each cell are counted first; left rows of crowded cells are dealt out over as many tasks as they need and the
+    right side is repeated in those cells only, so the larger side belongs on the left.
     """
     a, b = (_with_levels(_placed(side, axes), axes) for side in (left, right))
     la, lb = _levels_in_use(a), _levels_in_use(b)
-    a = _announce(a, axes, lb).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salt)))
-    b = _announce(b, axes, la).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
-    cells = ["_at", *[f"_c{i}" for i in range(len(axes))], "_salt"]
-    a = a.select(*cells, F.col("_lv").alias("_la"), F.struct(*left.columns).alias("l"))
-    b = b.select(*cells, F.col("_lv").alias("_lb"), F.struct(*right.columns).alias("r"))
-    joined = a.join(b, cells)
+    a, b = _announce(a, axes, lb), _announce(b, axes, la)
+    keys = ["_at", *[f"_c{i}" for i in range(len(axes))]]
+    a = a.select(*keys, F.col("_lv").alias("_la"), F.struct(*left.columns).alias("l"))
+    b = b.select(*keys, F.col("_lv").alias("_lb"), F.struct(*right.columns).alias("r"))
+    joined = cells.join(a, b, keys, F.xxhash64("l"))
     keep = F.col("_at") == F.zip_with("_la", "_lb", lambda x, y: F.greatest(x, y))
     for i, ax in enumerate(axes):
         start = F.greatest(_low(ax, "l"), _low(ax, "r"))
@@ -139,19 +138,16 @@ def grid_chips(boxes: DataFrame, size: float, stride: float) -> DataFrame:
     return chips.withColumns({"minx": x, "maxx": x + size, "miny": y, "maxy": y + size})
 
 
-def random_chips(boxes: DataFrame, key: str, size: float, length: int, seed: int) -> DataFrame:
-    """``length`` chips of a fixed size, each inside a box drawn uniformly with replacement.
+def random_chips(boxes: DataFrame, key: str, size: float, draws: DataFrame, seed: int) -> DataFrame:
+    """A chip of a fixed size for each row of ``draws`` (a whole number ``draw``), inside a box drawn uniformly with replacement.
 
-    Boxes get consecutive ordinals range by range (no global sort in one task), draws carry a hashed ordinal, and the
+    Boxes are numbered by their key, range by range (no global sort in one task), a draw names the number of its box, and the
     two meet in an equi-join.
     """
-    spread = 1_000_003
-    hashed = boxes.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_h", F.pmod(F.xxhash64(key), F.lit(spread)))
-    numbered = distribution.running_sum(hashed, F.col("_h"), key, "_one", spread).withColumnRenamed("before", "_ordinal")
+    numbered = distribution.running_sum(boxes.withColumn("_one", F.lit(1).cast("bigint")), F.col(key), key, "_one").withColumnRenamed("before", "_ordinal")
     total = boxes.agg(F.count("*").alias("n")).select("n").scalar()
-    draws = boxes.sparkSession.range(length).withColumnRenamed("id", "draw")
-    draws = draws.withColumn("_ordinal", F.floor(arrays.uniform(seed, F.col("draw")) * total).cast("bigint"))
-    hit = draws.join(numbered, "_ordinal")
+    drawn = draws.select("draw", F.floor(arrays.uniform(seed, F.col("draw")) * total).cast("bigint").alias("_ordinal"))
+    hit = drawn.join(numbered, "_ordinal")
     x = F.col("minx") + arrays.uniform(seed + 1, F.col("draw")) * (F.col("maxx") - F.col("minx") - F.lit(float(size)))
     y = F.col("miny") + arrays.uniform(seed + 2, F.col("draw")) * (F.col("maxy") - F.col("miny") - F.lit(float(size)))
     return hit.select("draw", key, x.alias("minx"), (x + F.lit(float(size))).alias("maxx"), y.alias("miny"), (y + F.lit(float(size))).alias("maxy"))

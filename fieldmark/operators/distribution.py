@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmark.session import materialize
+
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), splitters: int = 1024) -> DataFrame:
     """Exact linear-interpolation quantiles per group: (keys..., q, quantile).
@@ -68,19 +70,19 @@ def lower_bound(sorted_values: Column, v: Column, limit: int) -> Column:
     return F.aggregate(steps, F.lit(0), advance)
 
 
-def running_sum(df: DataFrame, order: Column, tie: str, value: str, span: int, buckets: int = 1024) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over all rows ordered earlier.
+def running_sum(df: DataFrame, order: Column, tie: str, value: str) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over all rows ordered earlier by ``order``, then ``tie``.
 
-    ``order`` must be an evenly spread whole number in [0, span). Sums per order bucket are accumulated first (at
-    most ``buckets`` rows in one task), then each bucket accumulates its own rows in parallel.
+    Rows are dealt into ranges, as many as a shuffle makes of them; one sum for each range is accumulated, then each range
+    accumulates its own rows in parallel.
     """
-    width = max(1, -(-span // buckets))
-    ranked = df.withColumn("_ord", order).withColumn("_bucket", F.floor(F.col("_ord") / width))
-    sums = ranked.groupBy("_bucket").agg(F.sum(value).alias("_s"))
-    sums = sums.withColumn("_base", F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")) - F.col("_s")).drop("_s")
-    inside = Window.partitionBy("_bucket").orderBy("_ord", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (ranked.withColumn("_in", F.sum(value).over(inside) - F.col(value)).join(sums, "_bucket")
-            .withColumn("before", F.col("_base") + F.col("_in")).drop("_ord", "_bucket", "_in", "_base"))
+    ranges = df.withColumn("_ord", order).repartitionByRange("_ord", tie).withColumn("_piece", F.spark_partition_id())
+    ranges = materialize(ranges, "ranges")  # the pieces must not be dealt anew
+    sums = ranges.groupBy("_piece").agg(F.sum(value).alias("_s"))  # one row for each range
+    sums = sums.select("_piece", (F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_piece")) - F.col("_s")).alias("_base"))
+    inside = Window.partitionBy("_piece").orderBy("_ord", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (ranges.withColumn("_in", F.sum(value).over(inside) - F.col(value)).join(F.broadcast(sums), "_piece")
+            .withColumn("before", F.col("_base") + F.col("_in")).drop("_ord", "_piece", "_in", "_base"))
 
 
 def bounds(df: DataFrame, value: str) -> Column:

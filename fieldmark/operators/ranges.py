@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions import arrays, geo
-from fieldmark.operators import boxes
+from fieldmark.functions import arrays
+from fieldmark.operators import cells, regions
+from fieldmark.session import materialize
 
 
-def inside_pairs(points: DataFrame, polygons: DataFrame, point_key: str, polygon_key: str) -> DataFrame:
+def inside_pairs(points: DataFrame, polygons: DataFrame, point_key: str, polygon_key: str, coarsest: float = regions.COARSEST) -> DataFrame:
     """Distinct (point, polygon key) with the point strictly inside any polygon of that key.
 
-    Bounding boxes meet in a grid equi-join; only candidate pairs run the edge test.
+    Polygons are cut into cells once; a point falls into one cell of each size in use and meets the few edges held there.
+    Cells are broadcast if they are few, so points stay where they are; else both sides meet on the cell, with crowded cells
+    dealt out. Points without a place are inside nothing.
     """
-    placed = boxes.as_point_boxes(points.select(point_key, "lon", "lat"))
-    bounded = polygons.select(polygon_key, "rings").withColumns(geo.ring_bounds(F.col("rings")))
-    pairs = boxes.overlap_join(placed, bounded, [boxes.LON, boxes.LAT])
-    hit = pairs.filter(geo.strictly_inside(F.col("l.lon"), F.col("l.lat"), F.col("r.rings")))
-    return hit.select(F.col(f"l.{point_key}").alias(point_key), F.col(f"r.{polygon_key}").alias(polygon_key)).distinct()
+    placed = points.select(point_key, "lon", "lat").filter(
+        F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan(F.col("lon").cast("double")) & ~F.isnan(F.col("lat").cast("double")))
+    cut = materialize(regions.cut(polygons, polygon_key, coarsest).withColumnRenamed(polygon_key, "_polygon"), "polygon-cells")
+    levels = cut.agg(F.collect_set("level").alias("levels")).select("levels").scalar()  # some tens of sizes at most
+    at = placed.select(F.col(point_key).alias("_point"), "lon", "lat", levels.alias("levels")).withColumn("level", F.explode("levels")).drop("levels")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    at = at.withColumns({"cx": F.floor(F.col("lon") / size).cast("bigint"), "cy": F.floor(F.col("lat") / size).cast("bigint")})
+    keys = ["level", "cx", "cy"]
+    sized = cells.if_small(cut, F.lit(80) + 32 * F.size("edges") + 8 * F.size("turns"))
+    if sized is not cut:
+        pairs = at.join(sized, keys)
+    else:
+        pairs = cells.join(materialize(at, "placed"), cut, keys, F.xxhash64("_point"))
+    hit = pairs.filter(regions.inside_cell(F.col("lon"), F.col("lat"), F.col("edges"), F.col("turns"), F.col("odd")))
+    return hit.select(F.col("_point").alias(point_key), F.col("_polygon").alias(polygon_key)).distinct()
 
 
 def _indicator(entries: Column, size: Column) -> Column:

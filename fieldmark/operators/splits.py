@@ -32,7 +32,7 @@ def cluster_split(members: DataFrame, seed: int = 0, valid: float = 0.15, train:
         F.floor(F.col("n") * F.lit(valid)).alias("valid"),
         (F.col("n") - F.floor(F.col("n") * F.lit(train)) - F.floor(F.col("n") * F.lit(valid))).alias("test")).alias("q")).select("q").scalar()
     numeric = isinstance(sizes.schema[label].dataType, T.NumericType)
-    ordered = distribution.running_sum(sizes, cluster_order(F.col(label), seed, numeric), label, "size", ORDER_SPAN)
+    ordered = distribution.running_sum(sizes, cluster_order(F.col(label), seed, numeric), label, "size")
     in_valid = (F.col("before") < quota["valid"]) | (F.col("before") == 0)
     taken = ordered.filter(in_valid).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("v")).select("v").scalar()
     past = F.col("before") - taken

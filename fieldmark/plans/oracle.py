@@ -87,6 +87,18 @@ SELECT *, greatest(0e0, least(1e0, y + ((loc_key*31 + species_idx*17) % 101 - 50
 FROM fx_rate""",
 }
 
+
+
+def uniform(seed: int, *keys: str) -> str:
+    """The portable generator of :func:`fieldmark.functions.arrays.uniform` over whole-number expressions."""
+    numbers = ", ".join([f"{seed}::BIGINT", *(f"(({k})::BIGINT % 2147483647 + 2147483647) % 2147483647" for k in keys), "0", "0", "0"])
+    return f"(list_reduce([{numbers}], lambda s, k: ((s + k + 1) * 48271 + ((s + k + 1) // 32768) * 40014) % 2147483647) / 2147483647e0)"
+
+
+def normal(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2e0 * ln(greatest({uniform(seed, *keys)}, 1e-12))) * cos(2e0 * pi() * {uniform(seed + 1, *keys)}))"
+
+
 _NAME = re.compile(r"\bfx_\w+\b")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fieldmark import session
 from fieldmark.operators import filters, metrics, quality, samples
 from fieldmark.plans.catalog import query
-from fieldmark.streaming import ingest
+from fieldmark.streaming import encounters, ingest
 
 
 @query("modality_completeness", """
@@ -64,3 +64,35 @@ def running_metrics(d):
     errors = metrics.cells(stream, "split").select("split", F.abs(F.col("y") - F.col("p")).alias("error"))
     ingest.running_state(errors, path, path + "-checkpoint", ["split"], "error")
     return ingest.latest_state(d.spark, path)
+
+
+def _arrivals(d, rows, path):
+    """``rows`` as four files that arrive one after the other, two years each; one row in twenty comes a file late."""
+    chunk = F.floor((F.year("obs_date") - 1992) / 2) + F.when(F.crc32("checklist_id") % 20 == 0, 1).otherwise(0)
+    chunks = rows.withColumn("chunk", F.greatest(F.lit(0), F.least(F.lit(3), chunk)))
+    for k in range(4):
+        chunks.filter(F.col("chunk") == k).drop("chunk").coalesce(1).write.mode("append").parquet(path)
+    return ingest.files(d.spark, path, rows.schema, per_trigger=1)
+
+
+@query("streaming_encounter", """
+WITH m AS (SELECT hotspot_id, checklist_id, species, DATE '1970-01-01' + CAST((obs_date - DATE '1970-01-01') // 30 * 30 AS INT) AS window_start
+           FROM fx_obs WHERE complete = 1),
+ t AS (SELECT window_start, hotspot_id, count(DISTINCT checklist_id) AS checklists FROM m GROUP BY 1, 2),
+ r AS (SELECT window_start, hotspot_id, species, count(DISTINCT checklist_id) AS reports FROM m WHERE species IS NOT NULL GROUP BY 1, 2, 3)
+SELECT r.window_start, r.hotspot_id, r.species, reports, checklists, CAST(reports AS DOUBLE) / checklists AS rate, TRUE AS sketch_is_close
+FROM r JOIN t ON t.window_start = r.window_start AND t.hotspot_id = r.hotspot_id""", "rate", "reports checklists")
+def streaming_encounter(d):
+    """Windows of 30 days over the log as a stream, late rows included: exact rates, and whether the sketches come within 5 %."""
+    rows = d.obs.filter(F.col("complete") == 1).select("hotspot_id", "checklist_id", "species", "obs_date", F.col("obs_date").cast("timestamp").alias("at"))
+    path = session.scratch_path(d.spark, "encounters")
+    log = _arrivals(d, rows, f"{path}/log")
+    encounters.stream_sketches(log, "at", "30 days", "800 days", f"{path}/sketches", f"{path}/sketches-checkpoint")
+    encounters.stream_distinct(log, "at", "30 days", "800 days", f"{path}/distinct", f"{path}/distinct-checkpoint")
+    exact = encounters.exact_rates(d.spark.read.parquet(f"{path}/distinct"))
+    near = encounters.approximate_rates(encounters.latest_windows(d.spark, f"{path}/sketches")).select(
+        "window", "hotspot_id", "species", F.col("reports").alias("about"), F.col("checklists").alias("about_all"))
+    close = (F.abs(F.col("about") - F.col("reports")) <= 0.05 * F.col("reports")) & (F.abs(F.col("about_all") - F.col("checklists")) <= 0.05 * F.col("checklists"))
+    both = exact.join(near, ["window", "hotspot_id", "species"], "left")
+    return both.select(F.to_date("window.start").alias("window_start"), "hotspot_id", "species", "reports", "checklists", "rate",
+                       F.coalesce(close, F.lit(False)).alias("sketch_is_close"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import arrays, transforms
 from fieldmark.operators import samples
 from fieldmark.plans.catalog import query
+from fieldmark.plans.oracle import normal, uniform
 
 PX = "band y x"
 
@@ -75,9 +76,13 @@ def crop_centered(d):
     return shown(d.image, transforms.center_crop(img(), 3, 2))
 
 
-@query("random_or_center_crop")
+@query("random_or_center_crop", f"""
+WITH g AS (SELECT vec_id, {uniform(4, "vec_id")} < 5e-1 AS cropped, CAST(floor({uniform(5, "vec_id")} * 2) AS BIGINT) AS top,
+  CAST(floor({uniform(6, "vec_id")} * 2) AS BIGINT) AS first FROM embeddings)
+SELECT i.patch_key, i.band, CASE WHEN cropped THEN y - top ELSE y END AS y, CASE WHEN cropped THEN x - first ELSE x END AS x, value
+FROM fx_image i JOIN g ON g.vec_id = i.patch_key WHERE NOT cropped OR (y - top IN (0, 1) AND x - first IN (0, 1))""", "value", PX)
 def random_or_center_crop(d):
-    """Seeded offsets; bounds and reproducibility are unit tests."""
+    """Half of the images, drawn by their key, are cropped at seeded offsets."""
     key = F.col("patch_key")
     return shown(d.image, samples.gated(img(), transforms.random_crop(img(), 2, 2, 5, key), 0.5, 4, key))
 
@@ -107,21 +112,24 @@ def resize_nearest(d):
     return shown(d.image, transforms.resize_nearest(img(), 6, 3))
 
 
-@query("resize_bilinear", """
+_AT = "(1e3 + round(CAST(embedding[band * 16 + {} * 4 + {} + 1] AS DOUBLE) * 1e3))"
+
+
+@query("resize_bilinear", f"""
 WITH s AS (SELECT i AS o, greatest(0e0, (i + 5e-1) * 4 / 6e0 - 5e-1) AS s FROM (SELECT unnest(range(6)) AS i) g),
  t AS (SELECT o, CAST(floor(s) AS BIGINT) AS i0, least(CAST(floor(s) AS BIGINT) + 1, 3) AS i1, s - floor(s) AS f FROM s)
-SELECT a.patch_key, a.band, ty.o AS y, tx.o AS x, (a.value * (1 - tx.f) + b.value * tx.f) * (1 - ty.f) + (c.value * (1 - tx.f) + e.value * tx.f) * ty.f AS value
-FROM t ty CROSS JOIN t tx JOIN fx_image a ON a.y = ty.i0 AND a.x = tx.i0
-JOIN fx_image b ON b.patch_key = a.patch_key AND b.band = a.band AND b.y = ty.i0 AND b.x = tx.i1
-JOIN fx_image c ON c.patch_key = a.patch_key AND c.band = a.band AND c.y = ty.i1 AND c.x = tx.i0
-JOIN fx_image e ON e.patch_key = a.patch_key AND e.band = a.band AND e.y = ty.i1 AND e.x = tx.i1""", "value", PX)
+SELECT vec_id AS patch_key, band, ty.o AS y, tx.o AS x,
+  ({_AT.format("ty.i0", "tx.i0")} * (1 - tx.f) + {_AT.format("ty.i0", "tx.i1")} * tx.f) * (1 - ty.f)
+  + ({_AT.format("ty.i1", "tx.i0")} * (1 - tx.f) + {_AT.format("ty.i1", "tx.i1")} * tx.f) * ty.f AS value
+FROM embeddings CROSS JOIN (SELECT unnest(range(4)) AS band) b CROSS JOIN t ty CROSS JOIN t tx""", "value", PX)
 def resize_bilinear(d):
     return shown(d.image, transforms.resize_bilinear(img(), 6, 6))
 
 
-@query("noise")
+@query("noise", f"""
+SELECT patch_key, band, y, x, value + greatest(0e0, least(5e-2, 1e-2 * {normal(9, "patch_key", "band * 16 + y * 4 + x")})) AS value FROM fx_image""", "value", PX)
 def noise(d):
-    """Seeded; bounds and reproducibility are unit tests."""
+    """Clamped normal noise drawn by image and pixel."""
     return shown(d.image, transforms.noise(img(), 1e-2, 5e-2, 9, F.col("patch_key")))
 
 

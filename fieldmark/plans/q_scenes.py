@@ -58,12 +58,12 @@ def incomplete_mosaics(d):
 SELECT hotspot_id, r."row" - r0 AS y, r.col - c0 AS x, layer, value FROM (
   SELECT hotspot_id, CAST(floor((34e0 - (lat + 2e-1)) / 16e-2) AS BIGINT) AS r0, CAST(floor((34e0 - (lat - 2e-1)) / 16e-2) AS BIGINT) AS r1,
          CAST(floor((lon - 2e-1 + 1e2) / 4e-1) AS BIGINT) AS c0, CAST(floor((lon + 2e-1 + 1e2) / 4e-1) AS BIGINT) AS c1 FROM fx_site) s
-JOIN fx_raster r ON r."row" BETWEEN r0 AND r1 AND r.col BETWEEN c0 AND c1 WHERE layer < 3""", "value", "y x layer")
+JOIN fx_raster r ON r."row" BETWEEN r0 AND r1 AND r.col BETWEEN c0 AND c1""", "value", "y x layer")
 def window_from_bounds(d):
     areas = d.site.select("hotspot_id", (F.col("lon") - 0.2).alias("minx"), (F.col("lon") + 0.2).alias("maxx"),
                           (F.col("lat") - 0.2).alias("miny"), (F.col("lat") + 0.2).alias("maxy"))
     window = raster.window_from_bounds(areas, d.raster, raster.GRID, "hotspot_id")
-    return window.select("hotspot_id", "y", "x", arrays.unrolled(F.slice("values", 1, 3), "layer", "value"))
+    return window.select("hotspot_id", "y", "x", arrays.unrolled("values", "layer", "value"))
 
 
 FORMATS = {"%Y": ("yyyy", "year"), "%Y-%m": ("yyyy-MM", "month"), "%Y%m%d": ("yyyyMMdd", "day"), "%Y-%m-%d %H": ("yyyy-MM-dd HH", "hour"),

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from fieldmark import session
-from fieldmark.functions import arrays, time
+from fieldmark.functions import arrays
 from fieldmark.operators import encounter
 from fieldmark.plans.catalog import query
 from fieldmark.plans.inputs import split_of
-from fieldmark.sources import readers, writers
+from fieldmark.sources import array_files, readers, writers
 
 OBS_COLUMNS = ["global_id", "hotspot_id", "lat", "lon", "state", "country", "checklist_id", "observer_id", "obs_date", "species", "complete"]
 SPLIT = "CASE WHEN site_key % 10 < 7 THEN 'train' WHEN site_key % 10 = 7 THEN 'valid' ELSE 'test' END"
@@ -40,11 +40,11 @@ def scan_occurrences(d):
 
 
 @query("bucket_by_locality", """
-SELECT loc_key % 7 AS bucket, count(*) AS n, count(DISTINCT hotspot_id) AS hotspots FROM fx_obs GROUP BY loc_key % 7""",
+SELECT loc_key % 1000 AS bucket, count(*) AS n, count(DISTINCT hotspot_id) AS hotspots FROM fx_obs GROUP BY loc_key % 1000""",
        bigints="bucket n hotspots")
 def bucket_by_locality(d):
     path = session.scratch_path(d.spark, "buckets")
-    writers.by_bucket(d.obs.select("hotspot_id", "checklist_id", "species"), path, buckets=7, files_per_bucket=2)
+    writers.by_bucket(d.obs.select("hotspot_id", "checklist_id", "species"), path)
     back = d.spark.read.parquet(path)
     return back.groupBy("bucket", "hotspot_id").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("n"), F.count("*").alias("hotspots"))
@@ -56,7 +56,7 @@ def group_and_append(d):
     path = session.scratch_path(d.spark, "append")
     rows = d.obs.select("hotspot_id", "checklist_id", "complete")
     for chunk in (rows.filter("complete = 1"), rows.filter("complete = 0")):
-        writers.by_bucket(chunk, path, buckets=5, files_per_bucket=2)
+        writers.by_bucket(chunk, path)
     return d.spark.read.parquet(path).groupBy("hotspot_id").agg(F.count("*").alias("n"))
 
 
@@ -91,35 +91,16 @@ def write_splits(d):
     return d.spark.read.parquet(path).select("split", "hotspot_id")
 
 
-@query("load_array_files")
+@query("load_array_files", """
+SELECT concat('P', CAST(patch_key AS STRING)) AS hotspot_id, 4 AS bands, 4 AS h, 4 AS w, band * 16 + y * 4 + x AS pos, value FROM fx_image""", "value", "bands h w pos")
 def load_array_files(d):
-    """Array files written by tasks and decoded again; equality with the source is a unit test."""
+    """Array files written by the tasks of a committed write and decoded again."""
     path = session.scratch_path(d.spark, "arrays")
-    _save_arrays(d.image.select("patch_key", "img.*"), path)
+    images = d.image.select(F.concat(F.lit("P"), F.col("patch_key").cast("string")).alias("name"), "img.*")
+    array_files.save(images, path)
     return readers.array_files(d.spark, path).select("hotspot_id", "bands", "h", "w", arrays.unrolled("data", "pos", "value"))
 
 
-def _save_arrays(images, path: str) -> None:
-    """One array file per image, written by the tasks; each image is small and stands alone."""
-    import os
-
-    if "://" in path and not path.startswith("file:"):
-        raise ValueError("array files are written through a mounted shared folder")
-    folder = path.removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-
-    def save(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            for key, n, h, w, data in b.itertuples(index=False):
-                np.save(f"{folder}/P{key}.npy", np.asarray(data, dtype="float64").reshape(n, h, w))
-            yield pd.DataFrame({"n": [len(b)]})
-
-    images.mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
-
-
 @query("append_results", """
 SELECT split, avg(abs(y - p)) AS mae FROM fx_pred GROUP BY split""", "mae")
 def append_results(d):
@@ -169,10 +150,13 @@ def collect_predictions(d):
 
 
 @query("date_from_filename", """
-SELECT scene_id, date_trunc('day', acquired) - INTERVAL 1 MICROSECOND AS mint,
-       date_trunc('day', acquired) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS maxt FROM fx_scene""")
+SELECT scene_id, date_trunc('month', acquired) - INTERVAL 1 MICROSECOND AS mint,
+       date_trunc('month', acquired) + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND AS maxt FROM fx_scene WHERE scene_id % 50 <> 0""")
 def date_from_filename(d):
-    name = F.concat(F.lit("tile_"), F.col("tile_id").cast("string"), F.lit("_"), F.date_format("acquired", "yyyyMMdd"), F.lit("_B02.tif"))
-    part = readers.named_group(F.col("file"), r"tile_\d+_(\d{8})_B\d\d\.tif")
-    return (d.scene.select("scene_id", name.alias("file"))
-            .select("scene_id", time.interval_of(part, "%Y%m%d").alias("i")).filter("i IS NOT NULL").select("scene_id", "i.mint", "i.maxt"))
+    """Scenes stored in folders named after their month, and some in a folder without a date, read back with the dates of the listing."""
+    path = session.scratch_path(d.spark, "tiles")
+    dated = F.concat(F.lit("S2_"), F.date_format("acquired", "yyyyMM"), F.lit("_B02"))
+    name = F.when(F.col("scene_id") % 50 == 0, "overview").otherwise(dated)
+    writers.by_columns(d.scene.select("scene_id", name.alias("tile")), path, ["tile"])
+    found = readers.dated_files(d.spark.read.parquet(path), r"S2_(?<date>\d{6})_B\d\d", "%Y%m")
+    return found.select("scene_id", "mint", "maxt")

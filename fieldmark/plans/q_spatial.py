@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import geo
 from fieldmark.operators import boxes, spatial
 from fieldmark.plans.catalog import query
+from fieldmark.plans.oracle import uniform
 
 
 def dist(a, b, radius="63567523e-4"):
@@ -158,11 +159,15 @@ def clip_to_polygon(d):
     return raster.clip_to_polygon(d.raster, d.polygon.filter(F.col("species_idx") == 3), raster.GRID)
 
 
-@query("random_chips")
+@query("random_chips", f"""
+WITH t AS (SELECT *, row_number() OVER (ORDER BY tile_id) - 1 AS ordinal, count(*) OVER () AS n FROM fx_tile),
+ d AS (SELECT o_orderkey AS draw, CAST(floor({uniform(7, "o_orderkey")} * (SELECT max(n) FROM t)) AS BIGINT) AS ordinal,
+       {uniform(8, "o_orderkey")} AS u, {uniform(9, "o_orderkey")} AS v FROM orders),
+ c AS (SELECT draw, tile_id, minx + u * (maxx - minx - 1e-1) AS x, miny + v * (maxy - miny - 1e-1) AS y FROM d JOIN t ON t.ordinal = d.ordinal)
+SELECT draw, tile_id, x AS minx, x + 1e-1 AS maxx, y AS miny, y + 1e-1 AS maxy FROM c""", "minx maxx miny maxy")
 def random_chips(d):
-    """Seeded draws; properties (inside the tile, exact size, reproducible) are unit tests."""
-    length = d.table("orders").count()
-    return boxes.random_chips(d.tile, "tile_id", 0.1, length, seed=7)
+    """One seeded chip for each order."""
+    return boxes.random_chips(d.tile, "tile_id", 0.1, d.table("orders").select(F.col("o_orderkey").alias("draw")), seed=7)
 
 
 @query("grid_chips", """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark import schemas
+from fieldmark.functions import time
 
 
 def observations(spark: SparkSession, path: str, schema=schemas.OBSERVATION) -> DataFrame:
@@ -61,7 +62,7 @@ def array_files(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFram
                 rows.append((name, *a.shape, [None if np.isnan(v) else float(v) for v in a.ravel()]))
             yield pd.DataFrame(rows, columns=["hotspot_id", "bands", "h", "w", "data"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(decode, "hotspot_id string, bands int, h int, w int, data array<double>")
 
 
@@ -78,3 +79,16 @@ def named_group(name: Column, pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
+
+
+def dated_files(rows: DataFrame, pattern: str, date_format: str) -> DataFrame:
+    """``rows`` of a file source with ``mint`` and ``maxt`` of the date in their file's path.
+
+    The path comes from the source's hidden metadata column. ``pattern`` has a group named ``date``; rows of files that don't match
+    are left out.
+    """
+    before = pattern[:pattern.index("(?<date>")]
+    group = 1 + before.count("(") - before.count("(?") - before.count("\\(")
+    date = named_group(F.col("_metadata.file_path"), pattern, group)
+    dated = rows.select("*", time.interval_of(date, date_format).alias("_interval"))
+    return dated.filter(F.col("_interval").isNotNull()).select(*rows.columns, "_interval.mint", "_interval.maxt")

@@ -13,11 +13,17 @@ def locality_bucket(hotspot: Column, buckets: int = 1000) -> Column:
     return F.pmod(F.substring(hotspot, 2, 30).cast("bigint"), F.lit(buckets))
 
 
-def by_bucket(log: DataFrame, path: str, buckets: int = 1000, files_per_bucket: int = 8, mode: str = "append") -> None:
-    """Route rows to bucket folders. A row hash beside the bucket keeps a hot locality from filling one task."""
-    salted = log.withColumn("bucket", locality_bucket(F.col("hotspot_id"), buckets))
-    salt = F.pmod(F.xxhash64(*log.columns), F.lit(files_per_bucket))
-    salted.repartition("bucket", salt).write.mode(mode).partitionBy("bucket").parquet(path)
+def by_bucket(log: DataFrame, path: str, buckets: int = 1000, rows_per_file: int = 2_000_000, mode: str = "append") -> None:
+    """Route rows to bucket folders, in as many files as the rows of a bucket need.
+
+    Buckets are counted first; a row hash beside the bucket then keeps a hot locality from filling one task.
+    """
+    routed = log.withColumn("bucket", locality_bucket(F.col("hotspot_id"), buckets))
+    files = routed.groupBy(F.col("bucket").alias("_b")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))  # one row a bucket
+    salted = routed.join(F.broadcast(files), F.col("bucket").eqNullSafe(F.col("_b")))
+    salt = F.pmod(F.xxhash64(*log.columns), F.col("_files"))
+    dealt = salted.withColumn("_salt", salt).repartition("bucket", "_salt")
+    dealt.drop("_b", "_files", "_salt").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def by_columns(df: DataFrame, path: str, columns: Sequence[str], mode: str = "append") -> None:

@@ -122,10 +122,11 @@ def test_grid_and_random_chips(spark):
     box = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 10.0)], "t int, minx double, maxx double, miny double, maxy double")
     assert boxes.grid_chips(box, 4, 3).count() == 9
     tiles = spark.createDataFrame([(i, i * 20.0, i * 20.0 + 10, 0.0, 10.0) for i in range(5)], "t int, minx double, maxx double, miny double, maxy double")
-    chips = boxes.random_chips(tiles, "t", 2.0, 200, seed=1).collect()
+    draws = spark.range(200).withColumnRenamed("id", "draw")
+    chips = boxes.random_chips(tiles, "t", 2.0, draws, seed=1).collect()
     assert len(chips) == 200 and {c["t"] for c in chips} == set(range(5))
     assert all(c["t"] * 20 <= c["minx"] and c["maxx"] <= c["t"] * 20 + 10 and c["maxx"] - c["minx"] == pytest.approx(2) for c in chips)
-    assert sorted(chips) == sorted(boxes.random_chips(tiles.repartition(7), "t", 2.0, 200, seed=1).collect())
+    assert sorted(chips) == sorted(boxes.random_chips(tiles.repartition(7), "t", 2.0, draws, seed=1).collect())
 
 
 def test_invalid_boxes(spark):
