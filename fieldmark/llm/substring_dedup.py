@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import tokens
-from fieldmark.llm.common import BROADCAST_BYTES, if_small, materialize, table
+from fieldmark.llm.common import BROADCAST_BYTES, if_small, look_up, materialize, table
 
 #: Words of a window, of an anchor, and the most windows that share one anchor.
 WINDOW, ANCHOR = 20, 8
@@ -51,13 +51,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], repeated: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(h, doc, place, ahead, words): each anchor that may be repeated, with the words of all its windows.
+    """(h, doc, sub, place, ahead, words): each anchor that may be repeated, with the words of all its windows.
 
     The first window begins ``ahead`` words before the anchor; words are cut to 32 bits, so equal windows differ in none of
     20 such numbers.
     """
     for batch in batches:
-        doc = batch.column("_doc").to_numpy()
+        doc, sub = batch.column("_doc").to_numpy(), batch.column("_sub").to_numpy()
         for found in tokens.words(batch.column("_text"), lower=False):
             starts, place, h = _anchors(found)
             if repeated is not None and len(h):
@@ -73,10 +73,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], repeated: np.ndarray | None) ->
             where = np.repeat(starts[first] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
             text = found.text_of()[starts[first]]
             yield pa.RecordBatch.from_arrays(
-                [tokens.signed(h[first]), pa.array(doc[found.begin + text]), pa.array((place[first] - found.first[text]).astype(np.int64)),
+                [tokens.signed(h[first]), pa.array(doc[found.begin + text]), pa.array(sub[found.begin + text]), pa.array((place[first] - found.first[text]).astype(np.int64)),
                  pa.array((place[first] - starts[first]).astype(np.int32)),
                  tokens.lists((found.hash[where] >> np.uint64(32)).astype(np.uint32).view(np.int32), lengths)],
-                ["h", "doc", "place", "ahead", "words"])
+                ["h", "doc", "sub", "place", "ahead", "words"])
 
 
 def _windows_of(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,37 +92,37 @@ def _windows_of(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarra
 
 
 def _repeats(group: pa.Table) -> pa.Table:
-    """(doc, place, ahead, later): bit k of ``later`` says that the row's window k also begins earlier.
+    """(doc, sub, place, ahead, later): bit k of ``later`` says that the row's window k also begins earlier.
 
     Sorted suffixes lay out the subtree of the group; the depth of the node that joins two neighbours is the number of words
     they share. Members of nodes of full depth are told in the order of documents and places, the first of each stays.
     """
     row, offset, words = _windows_of(group)
-    doc, place, ahead = (group.column(c).to_numpy() for c in ("doc", "place", "ahead"))
+    doc, sub, place, ahead = (group.column(c).to_numpy() for c in ("doc", "sub", "place", "ahead"))
     start = place[row] - ahead[row] + offset
-    order = np.lexsort((start, doc[row], *words.T[::-1]))
+    order = np.lexsort((start, sub[row], doc[row], *words.T[::-1]))
     same = (words[order[1:]] == words[order[:-1]]).all(axis=1)  # the node is WINDOW deep
     head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))
     first = order[head]
-    earlier = (doc[row[first]] != doc[row[order]]) | (start[first] != start[order])
+    earlier = (doc[row[first]] != doc[row[order]]) | (sub[row[first]] != sub[row[order]]) | (start[first] != start[order])
     hit = order[earlier]
     later = np.zeros(len(doc), dtype=np.int64)
     np.bitwise_or.at(later, row[hit], np.int64(1) << offset[hit])
     some = np.flatnonzero(later)
-    return pa.table({"doc": doc[some], "place": place[some], "ahead": pa.array(ahead[some], pa.int32()), "later": later[some]})
+    return pa.table({"doc": doc[some], "sub": sub[some], "place": place[some], "ahead": pa.array(ahead[some], pa.int32()), "later": later[some]})
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, doc, start) of every window of frequent prefixes; a node is the hash of the whole window."""
+    """(node, doc, sub, start) of every window of frequent prefixes; a node is the hash of the whole window."""
     for batch in batches:
         if not batch.num_rows:
             continue
         row, offset, words = _windows_of(batch)
-        doc, place, ahead = (batch.column(c).to_numpy() for c in ("doc", "place", "ahead"))
+        doc, sub, place, ahead = (batch.column(c).to_numpy() for c in ("doc", "sub", "place", "ahead"))
         node = np.zeros(len(row), dtype=np.uint64)
         for k in range(WINDOW):
             node = tokens.mix(node + words[:, k].view(np.uint32).astype(np.uint64) + np.uint64(k + 1))
-        yield pa.RecordBatch.from_arrays([tokens.signed(node), pa.array(doc[row]), pa.array(place[row] - ahead[row] + offset)], ["node", "doc", "start"])
+        yield pa.RecordBatch.from_arrays([tokens.signed(node), pa.array(doc[row]), pa.array(sub[row]), pa.array(place[row] - ahead[row] + offset)], ["node", "doc", "sub", "start"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +167,12 @@ def _text_ends(column: pa.Array, found: tokens.Words) -> np.ndarray:
 
 
 def find_repeats(texts: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc, start, later): bit k of ``later`` marks the window at start + k as one that begins earlier, too."""
+    """(doc, sub, start, later): bit k of ``later`` marks the window at start + k as one that begins earlier, too."""
     spark = texts.sparkSession
     counts = texts.select("_text").mapInArrow(_count, _KEPT).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     repeated = materialize(counts, "prefixes")
     n, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shape = "h bigint, doc bigint, place bigint, ahead int, words array<int>"
+    shape = "h bigint, doc bigint, sub bigint, place bigint, ahead int, words array<int>"
     if n * 8 <= BROADCAST_BYTES:
         held = np.sort(repeated.select("h").toArrow().column(0).to_numpy().view(np.uint64))
         shared = spark.sparkContext.broadcast(held)
@@ -181,16 +181,19 @@ def find_repeats(texts: DataFrame, group: int = GROUP) -> DataFrame:
         rows = texts.mapInArrow(lambda batches: _suffixes(batches, None), shape).join(repeated.select("h"), "h", "left_semi")
     hot = materialize(repeated.filter(F.col("n") > group).select("h"), "long-prefixes")
     subtree = F.pmod(F.xxhash64("h"), F.lit(max(1, int(total) // group)))
-    out = "doc bigint, place bigint, ahead int, later bigint"
+    out = "doc bigint, sub bigint, place bigint, ahead int, later bigint"
     few = hot.count()
     usual = rows.join(if_small(hot, 16), "h", "left_anti") if few else rows
     marks = usual.withColumn("subtree", subtree).groupBy("subtree").applyInArrow(lambda t: _repeats(t.drop_columns(["subtree"])), out)
-    marks = marks.select("doc", (F.col("place") - F.col("ahead")).alias("start"), "later")
+    marks = marks.select("doc", "sub", (F.col("place") - F.col("ahead")).alias("start"), "later")
     if few:
-        nodes = rows.join(if_small(hot, 16), "h", "left_semi").mapInArrow(_nodes, "node bigint, doc bigint, start bigint")
-        first = nodes.groupBy("node").agg(F.min(F.struct("doc", "start")).alias("first"))
-        later = nodes.join(first, "node").filter(F.struct("doc", "start") != F.col("first"))
-        marks = marks.unionByName(later.select("doc", "start", F.lit(1).cast("bigint").alias("later")))
+        nodes = rows.join(if_small(hot, 16), "h", "left_semi").mapInArrow(_nodes, "node bigint, doc bigint, sub bigint, start bigint")
+        first = nodes.groupBy("node").agg(F.min(F.struct("doc", "sub", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        first = materialize(first, "first")
+        # a passage may stand in very many texts, so its node is looked up, not joined
+        found = look_up(nodes, first, "node", "n", int(total), F.xxhash64("doc", "sub"))
+        later = found.filter(F.struct("doc", "sub", "start") != F.col("first"))
+        marks = marks.unionByName(later.select("doc", "sub", "start", F.lit(1).cast("bigint").alias("later")))
     return marks
 
 
@@ -198,14 +201,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``df``: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space).
 
     A word goes when a window of 20 words around it also begins earlier: in a smaller id, or earlier in the same text. Null and
-    short texts lose nothing; ids are whole numbers, null comes before all; rows that repeat an id count as one text for
-    this order, so a repeated row loses what its first copy loses; an empty table gives no rows.
+    short texts lose nothing; ids are whole numbers, null comes before all. Rows that share an id, or have none, but not the
+    text are documents of their own, ordered by a hash of the text; rows that repeat both are one document, of which each
+    row loses the same. An empty table gives no rows.
     """
-    texts = df.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("_doc"), F.col(text_col).alias("_text"))
-    marks = materialize(find_repeats(texts, group), "marks")
-    per_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "later")).alias("marks"))  # bounded by the text
-    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("_doc"), F.col(text_col).alias("_text"))
-    joined = rows.join(per_doc, F.col("_doc") == F.col("doc"), "left").select("_id", "_text", "marks")
+    own = [F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_sub"), F.col(text_col).alias("_text")]
+    marks = materialize(find_repeats(df.select(*own), group), "marks")
+    per_doc = marks.groupBy("doc", "sub").agg(F.collect_set(F.struct("start", "later")).alias("marks"))  # bounded by the text
+    rows = df.select(F.col(id_col).alias("_id"), *own)
+    joined = rows.join(per_doc, (F.col("_doc") == F.col("doc")) & (F.col("_sub") == F.col("sub")), "left").select("_id", "_text", "marks")
     kind = df.schema[id_col].dataType.simpleString()
     done = joined.mapInArrow(_finish, f"_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
     return done.withColumnRenamed("_id", id_col)
