@@ -48,4 +48,29 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return found.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values])
 
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "ascii_lower", "if_small", "look_up", "materialize", "table"]
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` but those whose id and text are in ``gone`` (id, hash of the text); columns of ``df`` may have any name.
+
+    Rows without an id, or that share one, are told apart by their text. Texts aren't moved unless ``gone`` is too large to
+    broadcast.
+    """
+    own_id, own_raw = fresh(df, "gone_id"), fresh(df, "gone_raw")
+    listed = materialize(gone.toDF(own_id, own_raw).distinct(), "gone")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (text_hash(F.col(f"`{text_col}`")) == F.col(own_raw))
+    return df.join(if_small(listed, 24), same, "left_anti")
+
+
+def text_hash(text: Column) -> Column:
+    """Hash of a text as it is; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "ascii_lower", "fresh", "if_small", "look_up", "materialize", "table", "text_hash", "without"]

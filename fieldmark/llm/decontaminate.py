@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import SPACE, if_small, materialize, table
+from fieldmark.llm.common import SPACE, if_small, materialize, table, without
 
 #: Positions that each mask looks at; 0 is the first word of the window.
 MASKS = ((0, 1, 2, 4, 7), (0, 2, 4, 5, 8), (0, 1, 5, 7, 8))
@@ -45,6 +45,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     smallest id; items of fewer than ``SPAN`` words aren't searched. Null and short texts have no overlap, rows that repeat
     give one result, a null id stays null, and an empty side gives no rows.
     """
+    found = _found(docs, benchmark, id_col, text_col, item_col, item_text)
+    best = found.select("_id", "_item", F.struct(_total(F.col("same")).alias("n_equal"), (-F.col("doc_start")).alias("m"), "n_words").alias("b"))
+    best = best.groupBy("_id", "_item").agg(F.max("b").alias("b"))
+    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), (-F.col("b.m")).cast("bigint").alias("doc_start"),
+                       F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.n_equal").cast("bigint").alias("n_equal"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(_id, _raw, _item, doc_start, n_words, run, same): the placements that count, with the hash of the document's text."""
     items = benchmark.select(F.col(item_col).alias("_item"), _words(F.col(item_text)).alias("words")).filter(F.size("words") >= SPAN)
     items = materialize(items.groupBy("words").agg(F.min("_item").alias("_item")), "items")
     sought = materialize(seeds(items, ["_item"]).select("_item", F.col("at").alias("item_at"), F.col("seed").alias("_seed")), "seeds")
@@ -65,11 +74,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                                    lambda x, y: (x == y).cast("int")).alias("same"))
     need = F.ceil(F.col("run") * F.lit(SHARE))
     runs = F.exists(F.sequence(F.lit(1), F.col("n_words") - F.col("run") + 1), lambda s: _total(F.slice("same", s, F.col("run"))) >= need)
-    found = pairs.filter(F.col("n_words") >= F.col("run")).filter(runs)
-    best = found.select("_id", "_item", F.struct(_total(F.col("same")).alias("n_equal"), (-F.col("doc_start")).alias("m"), "n_words").alias("b"))
-    best = best.groupBy("_id", "_item").agg(F.max("b").alias("b"))
-    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), (-F.col("b.m")).cast("bigint").alias("doc_start"),
-                       F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.n_equal").cast("bigint").alias("n_equal"))
+    return pairs.filter(F.col("n_words") >= F.col("run")).filter(runs)
 
 
 def _total(numbers: Column) -> Column:
@@ -77,9 +82,12 @@ def _total(numbers: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no overlap with ``benchmark``, with all their columns."""
-    gone = materialize(overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_gone")).distinct(), "contaminated")
-    return docs.join(if_small(gone, 16), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that have no overlap with ``benchmark``, with all their columns, whatever their names.
+
+    Null and short texts stay; a row goes for its own text alone, also if it has no id or shares one; repeated rows go
+    together; with an empty benchmark all rows stay, an empty table stays empty.
+    """
+    return without(docs, _found(docs, benchmark, id_col, text_col).select("_id", "_raw"), id_col, text_col)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

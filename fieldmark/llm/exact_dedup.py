@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import ascii_lower, if_small, look_up, materialize, table
+from fieldmark.llm.common import ascii_lower, if_small, look_up, materialize, table, without
 
 #: Bits of the filter for each row.
 BITS_PER_ROW = 16
@@ -69,15 +69,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`decisions` keeps, with all their columns; whole rows that repeat stay together.
+    """The rows of ``df`` that :func:`decisions` keeps, with all their columns, whatever their names.
 
-    Texts aren't moved unless the list of dropped rows is too large to broadcast.
+    Null text counts as empty; rows that repeat both id and text stay or go together; of texts without any id all rows stay; an
+    empty table stays empty.
     """
     narrow = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    dropped = decisions(narrow).filter("NOT kept").select(F.col("_id").alias("_gone"), F.col("_raw").alias("_gone_raw"))
-    dropped = materialize(dropped, "dropped")
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_raw"))
-    return df.join(if_small(dropped, 24), same, "left_anti")
+    return without(df, decisions(narrow).filter("NOT kept").select("_id", "_raw"), id_col, text_col)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm import tokens
-from fieldmark.llm.common import if_small, look_up, materialize, table
+from fieldmark.llm.common import look_up, materialize, table, text_hash, without
 from fieldmark.operators.spatial import connected_components
 
 #: Words of a shingle.
@@ -33,8 +33,10 @@ COUNTED = 8
 #: Members of a shingle, of its largest component and of the others, that are compared with all outside their component in
 #: the first round after the hubs; each further round takes four times as many.
 PIVOTS = 4
-#: Shingles of one side of a block of a crowd, about.
-BLOCK = 500_000
+#: Shingles and classes of one side of a block of a crowd, about; a block takes some tens of MB.
+BLOCK, BLOCK_CLASSES = 500_000, 2_000
+#: Shingles that a task holds before it hands them on.
+HELD = 1 << 20
 _LAST = np.uint64(1 << 62)
 
 
@@ -83,7 +85,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix.append(_prefix(own))
             lengths[row] = len(prefix[-1])
         flat = np.concatenate(prefix) if prefix else np.zeros(0, dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n), tokens.signed(sig), tokens.lists(flat, lengths)], ["_id", "n", "sig", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_raw"), pa.array(n), tokens.signed(sig), tokens.lists(flat, lengths)], ["_id", "_raw", "n", "sig", "prefix"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,26 +127,36 @@ def _reordered(texts: DataFrame, common) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for _, own in _sets(batch.column("_text")):
                 if _common(_prefix(own), common.value).any():
                     ordered = _ordered(own, common.value)
                     rows.append((_signature(own), int((ordered >= _LAST).sum()), _prefix(ordered)))
+                    held += len(rows[-1][-1])
+                    if held > HELD:
+                        yield _arrays(rows, ["sig", "common", "prefix"])
+                        rows, held = [], 0
             yield _arrays(rows, ["sig", "common", "prefix"])
 
     return texts.select("_text").mapInArrow(run, "sig bigint, common int, prefix array<bigint>")
 
 
 def _fragments(texts: DataFrame, wanted) -> DataFrame:
-    """(sig, fragment, items) of the texts whose class is wanted; all classes if ``wanted`` is None."""
+    """(sig, fragment, items) of the texts whose class is wanted, all classes if ``wanted`` is None; a task gives each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for _, own in _sets(batch.column("_text")):
                 sig = _signature(own)
-                if wanted is not None and not _common(np.array([sig]), wanted.value)[0]:
+                if int(sig) in seen or (wanted is not None and not _common(np.array([sig]), wanted.value)[0]):
                     continue
+                seen.add(int(sig))
+                held += len(own)
+                if held > HELD:
+                    yield _arrays(rows, ["sig", "fragment", "items"])
+                    rows, held = [], len(own)
                 cuts = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 62) // FRAGMENTS))
                 rows += [(sig, k, part) for k, part in enumerate(np.split(own, cuts)) if len(part)]
             yield _arrays(rows, ["sig", "fragment", "items"])
@@ -161,18 +173,30 @@ def _ahead(prefix: Column, last: Column) -> Column:
     return F.size(F.filter(prefix, lambda x: x <= last))
 
 
+def _parts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, fragment, items) of the classes (sig) that share a shingle of their prefix with another; the texts are read once."""
+    ends = materialize(classes, "ends")
+    wanted = None
+    if ends.count() * 8 <= 8 << 20:
+        wanted = texts.sparkSession.sparkContext.broadcast(_unsigned(ends))
+    parts = _fragments(texts, wanted)
+    if wanted is None:
+        parts = parts.join(ends, "sig", "left_semi")
+    return materialize(parts.groupBy("sig", "fragment").agg(F.first("items").alias("items")), "fragments")
+
+
 class _Join:
-    """State of one join: texts, classes (sig, n, prefix) and the pairs decided so far."""
+    """State of one join: classes (sig, n, prefix), the fragments of those that meet others, and the pairs decided so far."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame):
-        self.texts, self.classes = texts, classes
+    def __init__(self, classes: DataFrame, parts: DataFrame):
+        self.classes, self.parts = classes, parts
         self.links: list[DataFrame] = []
-        self.decided: list[DataFrame] = []
-        self.fragments: list[DataFrame] = []
+        self.decided: DataFrame | None = None
 
     def decide(self, pairs: DataFrame) -> None:
         """Find the links among written pairs (a, b, n_a, n_b), a < b."""
-        self.decided.append(pairs.select("a", "b"))
+        ends = pairs.select("a", "b")
+        self.decided = ends if self.decided is None else materialize(self.decided.unionByName(ends), "decided")
         a = self.classes.select(F.col("sig").alias("a"), F.col("prefix").alias("of_a"))
         b = self.classes.select(F.col("sig").alias("b"), F.col("prefix").alias("of_b"))
         first = pairs.join(a, "a").join(b, "b")
@@ -180,35 +204,13 @@ class _Join:
         apart = _ahead(F.col("of_a"), last) + _ahead(F.col("of_b"), last) - 2 * F.size(F.array_intersect("of_a", "of_b"))
         # what differs in fragment zero alone mustn't exceed what may differ in all
         open_ = materialize(first.filter(9 * apart <= F.col("n_a") + F.col("n_b")).select(*pairs.columns), "open-pairs")
-        parts = self._parts(open_)
-        if parts is None:
-            return
+        parts = self.parts
         of_a = parts.select(F.col("sig").alias("a"), "fragment", F.col("items").alias("of_a"))
         of_b = parts.select(F.col("sig").alias("b"), "fragment", F.col("items").alias("of_b"))
         counted = open_.join(of_a, "a").join(of_b, ["b", "fragment"]).select(*pairs.columns, F.size(F.array_intersect("of_a", "of_b")).alias("part"))
         total = counted.groupBy(*pairs.columns).agg(F.sum("part").alias("both"))
         self.links.append(materialize(total.filter(_similar(F.col("n_a"), F.col("n_b"), F.col("both"))).select("a", "b"), "links"))
 
-    def _parts(self, pairs: DataFrame) -> DataFrame | None:
-        """Fragments of the ends of the pairs; texts are only read for classes not met before."""
-        return self.parts_of(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
-
-    def parts_of(self, ends: DataFrame) -> DataFrame | None:
-        """(sig, fragment, items) of distinct classes (sig) and perhaps of others."""
-        for old in self.fragments:
-            ends = ends.join(old.select("sig").distinct(), "sig", "left_anti")
-        ends = materialize(ends, "pair-ends")
-        n = ends.count()
-        if n:
-            wanted = None
-            if n * 8 <= 8 << 20:
-                wanted = self.texts.sparkSession.sparkContext.broadcast(_unsigned(ends))
-            parts = _fragments(self.texts, wanted)
-            if wanted is None:
-                parts = parts.join(ends, "sig", "left_semi")
-            self.fragments.append(materialize(parts.groupBy("sig", "fragment").agg(F.first("items").alias("items")), "fragments"))
-        return reduce(DataFrame.unionByName, self.fragments) if self.fragments else None
-
     def labels(self) -> DataFrame | None:
         """(sig, label) of classes with a link."""
         if not any(not x.isEmpty() for x in self.links):
@@ -282,14 +284,16 @@ def _crowds(join: _Join, members: DataFrame, labels: DataFrame | None) -> DataFr
     labelled = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")) if labels is not None else members.withColumn("label", F.col("sig"))
     labelled = materialize(labelled, "crowds")
     sums = labelled.groupBy("hub", "label").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
-    main = sums.groupBy("hub").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("size").alias("size"), F.max_by("size", F.struct("k", "label")).alias("inner"),
-                                   F.count("*").alias("labels")).filter("labels > 1")
-    blocks = [F.ceil(x / F.lit(BLOCK)).cast("int") for x in (F.col("size") - F.col("inner"), F.col("size"))]
+    largest = F.struct("k", "label")
+    main = sums.groupBy("hub").agg(F.max_by("label", largest).alias("main"), F.sum("size").alias("size"), F.max_by("size", largest).alias("inner"),
+                                   F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    sides = ((F.col("size") - F.col("inner"), F.col("all") - F.col("most")), (F.col("size"), F.col("all")))
+    blocks = [F.ceil(F.greatest(shingles / F.lit(BLOCK), members / F.lit(BLOCK_CLASSES))).cast("int") for shingles, members in sides]
     main = main.select("hub", "main", blocks[0].alias("lefts"), blocks[1].alias("rights"))
     open_ = materialize(labelled.join(main, "hub"), "open-crowds")
     if open_.isEmpty():
         return None
-    parts = join.parts_of(open_.select("sig").distinct())
+    parts = join.parts
     spot = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "sig"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = open_.filter("label <> main").select("hub", spot(0, "lefts").alias("i"), each("rights").alias("j"), F.lit(0).cast("bigint").alias("side"), "sig", "n", "label")
@@ -305,12 +309,19 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Jaccard similarity of 0.8 or more. Null and blank texts have no shingles and are their own component. Rows with the
     same set share a component; null ids are never the smallest unless a component has no other; an empty table gives no rows.
     """
+    found = _components(df, id_col, text_col)
+    component = F.when(F.col("n") > 0, F.col("first._id")).otherwise(F.col("_id"))
+    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _raw, n, first): each row with the hash of its text and the first row (_id, _raw) of its component, smallest id first."""
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = df.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_raw"), F.col(text_col).alias("_text"))
     kind = df.schema[id_col].dataType.simpleString()
-    rows = materialize(texts.mapInArrow(_profile, f"_id {kind}, n bigint, sig bigint, prefix array<bigint>"), "profiles")
+    rows = materialize(texts.mapInArrow(_profile, f"_id {kind}, _raw bigint, n bigint, sig bigint, prefix array<bigint>"), "profiles")
     full = rows.filter("n > 0")
-    classes = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("_id").alias("least"), F.count("*").alias("members"))
+    classes = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_raw")).alias("least"), F.count("*").alias("members"))
     classes = materialize(classes, "classes")
     # common shingles go last
     held = _common_shingles(texts, classes)
@@ -320,7 +331,6 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         classes = materialize(classes.withColumn("common", F.coalesce("common", F.lit(0))), "classes")
     else:
         classes = classes.withColumn("common", F.lit(0))
-    join = _Join(texts, classes.select("sig", "prefix"))
     # members of each shingle that two classes have in their prefixes; the hub is the one with fewest shingles of its own
     by_shingle = Window.partitionBy("h")
     entries = classes.select(F.explode("prefix").alias("h"), "sig", "n", F.col("common").alias("c"))
@@ -329,6 +339,7 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     central = F.min(F.struct((F.col("n") - F.col("c")).alias("own"), "sig", "n", "c")).over(by_shingle)
     members = entries.withColumn("hub", central).withColumn("low", F.min("sig").over(by_shingle)).withColumn("high", F.max("sig").over(by_shingle))
     members = materialize(members.filter("low <> high").select("h", "sig", "n", "c", "hub"), "members")
+    join = _Join(classes.select("sig", "prefix"), _parts_of(texts, members.select("sig").distinct()))
     join.decide(materialize(_pairs(members.select("h", F.col("hub.sig").alias("x"), F.col("hub.n").alias("n_x"), F.col("hub.c").alias("c_x"),
                                                   F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))), "pairs"))
     labels = join.labels()
@@ -354,8 +365,7 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         take *= 4
         other = open_members.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"), "label")
         pairs = _pairs(pivots.join(other, "h").filter("of_x <> label"))
-        for known in join.decided:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = pairs.join(join.decided, ["a", "b"], "left_anti")
         before = len(join.links)
         join.decide(materialize(pairs, "pairs"))
         if len(join.links) > before:
@@ -371,13 +381,12 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = rows.count()
     if labels is not None:
         joined = materialize(named.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
-        sums = materialize(joined.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k")), "components")
-        named = look_up(joined, sums, "label", "k", joined.count(), F.col("sig")).select("sig", "component_id", "members")
+        sums = materialize(joined.groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("k")), "components")
+        named = look_up(joined, sums, "label", "k", joined.count(), F.col("sig")).select("sig", "first", "members")
     else:
-        named = named.withColumnRenamed("least", "component_id")
-    found = look_up(rows.select("_id", "n", "sig"), materialize(named, "named"), "sig", "members", total, F.xxhash64("_id", "sig"))
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
-    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        named = named.withColumnRenamed("least", "first")
+    found = look_up(rows.select("_id", "_raw", "n", "sig"), materialize(named, "named"), "sig", "members", total, F.xxhash64("_id", "sig"))
+    return found.select("_id", "_raw", "n", "first")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,10 +394,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, and rows without an id; all columns stay."""
-    found = similarity_join(docs, id_col, text_col)
-    gone = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return docs.join(if_small(gone, 16), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The first row of each component of ``docs``, by smallest id, then a hash of the text; all columns stay, whatever their names.
+
+    Rows without an id come last in their component. Rows that repeat both id and text stay or go together; null and blank
+    texts have no component and stay; an empty table stays empty.
+    """
+    found = _components(docs, id_col, text_col).filter("n > 0")
+    later = ~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_raw") == F.col("first._raw")))
+    return without(docs, found.filter(later).select("_id", "_raw"), id_col, text_col)
 
 
 QUERIES = {"op7_ngram_join": op7}

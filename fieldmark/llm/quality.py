@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import tokens
-from fieldmark.llm.common import materialize, table
+from fieldmark.llm.common import fresh, materialize, table
 
 #: Hash buckets of the models.
 BUCKETS = 1 << 15
@@ -178,7 +178,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the draw selects, with all their columns; texts are weighed again, not shuffled."""
+    """The rows of ``docs`` that the draw selects, with all their columns, whatever their names; texts are weighed again, not shuffled.
+
+    Null texts are weighed as empty ones; rows without an id share one draw, as do rows that repeat an id; without labels all
+    rows stay; an empty table stays empty.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     _, least = resample(docs, model, id_col, text_col)
     ratio = docs.sparkSession.sparkContext.broadcast(model.ratio)
@@ -191,7 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             key = weight + _gumbel(batch.column(len(names)).to_numpy())
             yield batch.select(list(range(len(names)))).filter(pa.array(key >= least))
 
-    seeded = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(id_col)).alias("_quality_seed"))
+    seeded = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(id_col)).alias(fresh(docs, "quality_seed")))
     return seeded.mapInArrow(pick, docs.schema)
 
 
