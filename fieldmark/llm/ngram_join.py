@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm import tokens
-from fieldmark.llm.common import look_up, materialize, table, text_hash, without
+from fieldmark.llm.common import BROADCAST_BYTES, if_small, look_up, materialize, table, text_hash, without
 from fieldmark.operators.spatial import connected_components
 
 #: Words of a shingle.
@@ -28,7 +28,7 @@ FRAGMENTS = 4
 #: at most 1 / COMMON_SHARE shingles do, whatever the corpus.
 COMMON_SHARE = 2.5e-7
 COMMON_LEAST = 8
-#: One class in so many has all its shingles counted, not only the prefix. Counts only shape the order; any order is exact.
+#: One text in so many, by its hash, has all its shingles counted, not only the prefix. Counts only shape the order; any order is exact.
 COUNTED = 8
 #: Members of a shingle, of its largest component and of the others, that are compared with all outside their component in
 #: the first round after the hubs; each further round takes four times as many.
@@ -90,7 +90,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [own for _, own in _sets(batch.column("_text")) if int(_signature(own)) % COUNTED == 0]
+        kept = [own for _, own in _sets(batch.column("_text"))]
         h, k = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([tokens.signed(h), pa.array(k, pa.int64())], ["h", "k"])
 
@@ -99,7 +99,7 @@ def _common_shingles(texts: DataFrame, classes: DataFrame) -> np.ndarray:
     """Shingles that go last, sorted: 2 / COMMON_SHARE at most, whatever the corpus."""
     prefixes = classes.select(F.explode("prefix").alias("h"), F.lit(1).cast("bigint").alias("k"))
     found = []
-    for counts in (prefixes, materialize(texts.select("_text").mapInArrow(_sampled, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1"), "sampled")):
+    for counts in (prefixes, materialize(texts.filter(F.pmod(F.col("_raw"), F.lit(COUNTED)) == 0).select("_text").mapInArrow(_sampled, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1"), "sampled")):
         limit = max(COMMON_LEAST, int(COMMON_SHARE * (counts.agg(F.sum("k")).first()[0] or 0)))
         found.append(_unsigned(counts.groupBy("h").agg(F.sum("k").alias("k")).filter(F.col("k") >= limit).select("h")))
     return np.unique(np.concatenate(found))
@@ -141,8 +141,8 @@ def _reordered(texts: DataFrame, common) -> DataFrame:
     return texts.select("_text").mapInArrow(run, "sig bigint, common int, prefix array<bigint>")
 
 
-def _fragments(texts: DataFrame, wanted) -> DataFrame:
-    """(sig, fragment, items) of the texts whose class is wanted, all classes if ``wanted`` is None; a task gives each class once."""
+def _fragments(texts: DataFrame) -> DataFrame:
+    """(sig, fragment, items) of the texts; a task gives each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,7 +150,7 @@ def _fragments(texts: DataFrame, wanted) -> DataFrame:
             rows, held = [], 0
             for _, own in _sets(batch.column("_text")):
                 sig = _signature(own)
-                if int(sig) in seen or (wanted is not None and not _common(np.array([sig]), wanted.value)[0]):
+                if int(sig) in seen:
                     continue
                 seen.add(int(sig))
                 held += len(own)
@@ -173,26 +173,32 @@ def _ahead(prefix: Column, last: Column) -> Column:
     return F.size(F.filter(prefix, lambda x: x <= last))
 
 
-def _parts_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, fragment, items) of the classes (sig) that share a shingle of their prefix with another; the texts are read once."""
-    ends = materialize(classes, "ends")
-    wanted = None
-    if ends.count() * 8 <= 8 << 20:
-        wanted = texts.sparkSession.sparkContext.broadcast(_unsigned(ends))
-    parts = _fragments(texts, wanted)
-    if wanted is None:
-        parts = parts.join(ends, "sig", "left_semi")
-    return materialize(parts.groupBy("sig", "fragment").agg(F.first("items").alias("items")), "fragments")
-
-
 class _Join:
-    """State of one join: classes (sig, n, prefix), the fragments of those that meet others, and the pairs decided so far."""
+    """State of one join: texts, classes (sig, n, raw, prefix), fragments read so far and the pairs decided so far."""
 
-    def __init__(self, classes: DataFrame, parts: DataFrame):
-        self.classes, self.parts = classes, parts
+    def __init__(self, texts: DataFrame, classes: DataFrame):
+        self.texts, self.classes = texts, classes
         self.links: list[DataFrame] = []
+        self.fragments: list[DataFrame] = []
+        self.read: DataFrame | None = None
         self.decided: DataFrame | None = None
 
+    def parts_of(self, ends: DataFrame) -> DataFrame:
+        """(sig, fragment, items) of distinct classes (sig) and perhaps of others; only texts of classes not met before are tokenised."""
+        fresh = ends if self.read is None else ends.join(self.read, "sig", "left_anti")
+        fresh = materialize(fresh.select("sig").join(self.classes.select("sig", "raw"), "sig"), "pair-ends")
+        n = fresh.count()
+        if n or not self.fragments:
+            wanted = if_small(fresh.select("raw"), 16) if n * 16 <= BROADCAST_BYTES else None
+            if wanted is not None:
+                parts = _fragments(self.texts.join(wanted, F.col("_raw") == F.col("raw"), "left_semi"))
+            else:
+                parts = _fragments(self.texts).join(fresh.select("sig"), "sig", "left_semi")
+            self.fragments.append(materialize(parts.groupBy("sig", "fragment").agg(F.first("items").alias("items")), "fragments"))
+            known = fresh.select("sig")
+            self.read = known if self.read is None else materialize(self.read.unionByName(known), "read")
+        return reduce(DataFrame.unionByName, self.fragments)
+
     def decide(self, pairs: DataFrame) -> None:
         """Find the links among written pairs (a, b, n_a, n_b), a < b."""
         ends = pairs.select("a", "b")
@@ -204,7 +210,7 @@ class _Join:
         apart = _ahead(F.col("of_a"), last) + _ahead(F.col("of_b"), last) - 2 * F.size(F.array_intersect("of_a", "of_b"))
         # what differs in fragment zero alone mustn't exceed what may differ in all
         open_ = materialize(first.filter(9 * apart <= F.col("n_a") + F.col("n_b")).select(*pairs.columns), "open-pairs")
-        parts = self.parts
+        parts = self.parts_of(open_.select(F.col("a").alias("sig")).unionByName(open_.select(F.col("b").alias("sig"))).distinct())
         of_a = parts.select(F.col("sig").alias("a"), "fragment", F.col("items").alias("of_a"))
         of_b = parts.select(F.col("sig").alias("b"), "fragment", F.col("items").alias("of_b"))
         counted = open_.join(of_a, "a").join(of_b, ["b", "fragment"]).select(*pairs.columns, F.size(F.array_intersect("of_a", "of_b")).alias("part"))
@@ -293,7 +299,7 @@ def _crowds(join: _Join, members: DataFrame, labels: DataFrame | None) -> DataFr
     open_ = materialize(labelled.join(main, "hub"), "open-crowds")
     if open_.isEmpty():
         return None
-    parts = join.parts
+    parts = join.parts_of(open_.select("sig").distinct())
     spot = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "sig"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = open_.filter("label <> main").select("hub", spot(0, "lefts").alias("i"), each("rights").alias("j"), F.lit(0).cast("bigint").alias("side"), "sig", "n", "label")
@@ -321,7 +327,7 @@ def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     rows = materialize(texts.mapInArrow(_profile, f"_id {kind}, _raw bigint, n bigint, sig bigint, prefix array<bigint>"), "profiles")
     full = rows.filter("n > 0")
-    classes = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_raw")).alias("least"), F.count("*").alias("members"))
+    classes = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_raw")).alias("least"), F.min("_raw").alias("raw"), F.count("*").alias("members"))
     classes = materialize(classes, "classes")
     # common shingles go last
     held = _common_shingles(texts, classes)
@@ -339,7 +345,7 @@ def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     central = F.min(F.struct((F.col("n") - F.col("c")).alias("own"), "sig", "n", "c")).over(by_shingle)
     members = entries.withColumn("hub", central).withColumn("low", F.min("sig").over(by_shingle)).withColumn("high", F.max("sig").over(by_shingle))
     members = materialize(members.filter("low <> high").select("h", "sig", "n", "c", "hub"), "members")
-    join = _Join(classes.select("sig", "prefix"), _parts_of(texts, members.select("sig").distinct()))
+    join = _Join(texts, classes.select("sig", "raw", "prefix"))
     join.decide(materialize(_pairs(members.select("h", F.col("hub.sig").alias("x"), F.col("hub.n").alias("n_x"), F.col("hub.c").alias("c_x"),
                                                   F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))), "pairs"))
     labels = join.labels()
