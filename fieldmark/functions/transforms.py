@@ -48,6 +48,22 @@ def random_crop(img: Column, h: int, w: int, seed: int, *key: Column) -> Column:
     return crop(img, top, left, F.lit(h), F.lit(w))
 
 
+def crop_start(img: Column, h: Column, w: Column, centred: bool, seed: int, *key: Column) -> Column:
+    """STRUCT<top, left> of a crop of ``img``: in the middle, or drawn per row below max(n - size, 1)."""
+    def start(n: Column, size: Column, k: int) -> Column:
+        if centred:
+            return F.greatest(F.lit(0), F.floor((n - size) / 2).cast("int"))
+        return F.floor(arrays.uniform(seed + k, *key) * F.greatest(n - size, F.lit(1))).cast("int")
+
+    return F.struct(start(img["h"], h, 0).alias("top"), start(img["w"], w, 1).alias("left"))
+
+
+@on_image
+def crop_from(img: Column, start: Column, h: Column, w: Column) -> Column:
+    """Window of a size at STRUCT<top, left>."""
+    return let(start, lambda s: crop(img, s["top"], s["left"], h, w))
+
+
 @on_image
 def hflip(img: Column) -> Column:
     return arrays.build(img["bands"], img["h"], img["w"], lambda b, y, x: arrays.pixel(img, b, y, img["w"] - 1 - x))

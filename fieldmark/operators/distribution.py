@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,38 +11,57 @@ from pyspark.sql import functions as F
 from fieldmark.session import materialize
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), splitters: int = 1024) -> DataFrame:
+#: Distinct values of one group that a single task puts in order.
+BOUND = 100_000
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), splitters: int = 1024, bound: int = BOUND) -> DataFrame:
     """Exact linear-interpolation quantiles per group: (keys..., q, quantile).
 
-    A mergeable sketch proposes splitters; counts between splitters locate each wanted rank; only the rows of the
-    located intervals are ranked. No group is collected, whatever its size, and the answer does not depend on how
-    good the sketch is.
+    Equal values are counted first. While a group has more than ``bound`` of them, a mergeable sketch proposes splitters, counts
+    between splitters locate each wanted rank, and only the located intervals go on, each a group of its own; so no task
+    ever orders more than ``bound`` values, whatever the group. The answer does not depend on how good the sketch is.
     """
     keys = list(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    marks = F.array(*[F.lit(i / splitters) for i in range(1, splitters)])
-    cuts = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", marks, F.lit(10_000))).alias("cuts"))
-    joined = counted.join(cuts, keys) if keys else counted.withColumn("cuts", cuts.select("cuts").scalar())
-    # position of the interval = number of splitters below the value, by binary search
-    placed = joined.withColumn("slot", lower_bound(F.col("cuts"), F.col("v"), splitters)).drop("cuts")
-    slots = placed.groupBy(*keys, "slot").agg(F.sum("c").alias("c"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # at most `splitters` rows per group
-    slots = slots.withColumn("before", F.sum("c").over(by.orderBy("slot")) - F.col("c")).withColumn("n", F.sum("c").over(by))
+    by = keys or ["_all"]
+    counted = materialize(counted if keys else counted.withColumn("_all", F.lit(0)), "counted")
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("q"), F.lit(float(p)).alias("p")) for p in probs])
-    ranks = (slots.select(*keys, "slot", "before", "c", "n", F.inline(wanted))
-             .withColumn("pos", F.col("p") * (F.col("n") - 1))
-             .select(*keys, "slot", "before", "c", "q", "pos",
-                     F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("rank"))
-             .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
-             .drop("c"))
-    within = Window.partitionBy(*keys, "slot").orderBy("v")
-    located = placed.join(ranks.select(*keys, "slot").distinct(), [*keys, "slot"], "left_semi")
-    located = located.withColumn("upto", F.sum("c").over(within)).withColumnRenamed("c", "cc")
-    hits = (ranks.join(located, [*keys, "slot"])
-            .filter((F.col("rank") - F.col("before") < F.col("upto"))
-                    & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("cc"))))
+    ranks = counted.groupBy(*by).agg(F.sum("c").alias("n")).select(*by, "n", F.inline(wanted))
+    ranks = ranks.withColumn("pos", F.col("p") * (F.col("n") - 1)).select(
+        *by, "q", "pos", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).alias("rank"))
+    ranks = ranks.withColumn("left", F.col("rank"))  # rank inside the interval
+    rows = counted
+    while (rows.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) > bound:
+        rows, ranks, by = _narrowed(rows, ranks, by, splitters)
+    within = Window.partitionBy(*by)  # at most ``bound`` rows each
+    upto = rows.withColumn("upto", F.sum("c").over(within.orderBy("v")))
+    hit = (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("c"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in by]
+    hits = ranks.alias("w").join(upto.alias("r"), reduce(lambda x, y: x & y, [*same, hit]))
     weight = F.lit(1.0) - F.abs(F.col("pos") - F.col("rank"))
-    return hits.groupBy(*keys, "q").agg(F.sum(F.col("v") * weight).alias("quantile"))
+    return hits.select(*[F.col(f"w.{k}").alias(k) for k in keys], "q", (F.col("v") * weight).alias("part")).groupBy(*keys, "q").agg(F.sum("part").alias("quantile"))
+
+
+def _narrowed(rows: DataFrame, ranks: DataFrame, by: list[str], splitters: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Only the intervals between splitters that hold a wanted rank: their values, the ranks inside them, and the columns that name them."""
+    slot = f"_slot{len(by)}"
+    marks = F.array(*[F.lit(i / splitters) for i in range(1, splitters)])
+    cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx("v", marks, F.lit(10_000))).alias("cuts"))
+    named = cuts.select(*[F.col(k).alias(f"_of_{k}") for k in by], "cuts")
+    joined = rows.join(named, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by])).drop(*[f"_of_{k}" for k in by])
+    # place of the interval = number of splitters below the value, by binary search
+    placed = joined.withColumn(slot, lower_bound(F.col("cuts"), F.col("v"), splitters)).drop("cuts")
+    slots = placed.groupBy(*by, slot).agg(F.sum("c").alias("c"))
+    order = Window.partitionBy(*by).orderBy(slot)  # at most ``splitters`` rows each
+    slots = slots.withColumn("before", F.sum("c").over(order) - F.col("c"))
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
+    held = (F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("c"))
+    found = ranks.alias("w").join(slots.alias("s"), reduce(lambda x, y: x & y, [*same, held]))
+    ranks = materialize(found.select("w.*", F.col(f"s.{slot}").alias(slot), "before").withColumn("left", F.col("left") - F.col("before")).drop("before"), "ranks")
+    kept = ranks.select(*[F.col(k).alias(f"_of_{k}") for k in [*by, slot]]).distinct()
+    rows = placed.join(kept, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*by, slot]]), "left_semi")
+    return materialize(rows, "intervals"), ranks, [*by, slot]
 
 
 def counted_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

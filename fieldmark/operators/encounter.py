@@ -27,18 +27,24 @@ def species_dimension(names: DataFrame) -> DataFrame:
 
 
 def marks(log: DataFrame, hotspot: str = "hotspot_id", checklist: str = "checklist_id", species: str = "species",
-          drop_if: Column | None = None) -> DataFrame:
-    """Counts per (hotspot, kind, species): kind 0 = checklists with the species, 1 = checklists, 2 = unwanted rows."""
-    kinds = [F.struct(F.lit(0).alias("kind"), F.col(species).alias("species")),
-             F.struct(F.lit(1).alias("kind"), F.lit(None).cast("string").alias("species"))]
-    items = F.array(*kinds)
+          drop_if: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Counts per (hotspot, kind, species): kind 0 = checklists with the species, 1 = checklists, 2 = unwanted rows.
+
+    Attributes in ``carry`` ride on the marks of checklists, and come out as the least value of the hotspot.
+    """
+    def mark(kind: int, name: Column) -> Column:
+        carried = [(F.col(a) if kind == 1 else F.lit(None).cast(log.schema[a].dataType)).alias(a) for a in carry]
+        return F.struct(F.lit(kind).alias("kind"), name.alias("species"), *carried)
+
+    items = F.array(mark(0, F.col(species)), mark(1, F.lit(None).cast("string")))
     if drop_if is not None:
-        flag = F.array(F.struct(F.lit(2).alias("kind"), F.lit(None).cast("string").alias("species")))
+        flag = F.array(mark(2, F.lit(None).cast("string")))
         items = F.when(F.coalesce(drop_if, F.lit(False)), F.concat(items, flag)).otherwise(items)
     expanded = (log.select(F.col(hotspot).alias("hotspot_id"), F.col(checklist).alias("checklist_id"),
                            F.inline(items))
                 .filter((F.col("kind") > 0) | F.col("species").isNotNull()))
-    return (expanded.distinct().groupBy("hotspot_id", "kind", "species").agg(F.count("*").alias("checklists")))
+    once = expanded.groupBy("hotspot_id", "checklist_id", "kind", "species").agg(*[F.min(a).alias(a) for a in carry]) if carry else expanded.distinct()
+    return once.groupBy("hotspot_id", "kind", "species").agg(F.count("*").alias("checklists"), *[F.min(a).alias(a) for a in carry])
 
 
 def encounter_rates(log: DataFrame, min_checklists: int = 5, **columns) -> DataFrame:
@@ -89,12 +95,12 @@ def checklist_counts(log: DataFrame, min_checklists: int = 5) -> DataFrame:
 
 
 def hotspot_entries(log: DataFrame, attributes: Sequence[str], min_checklists: int = 5) -> DataFrame:
-    """Attributes, checklist count and species count per hotspot; both sides of the join are one row per hotspot."""
-    counts = marks(log).groupBy("hotspot_id").agg(
+    """Attributes, checklist count and species count per hotspot, from one scan of the log."""
+    counts = marks(log, carry=attributes).groupBy("hotspot_id").agg(
+        *[F.min(a).alias(a) for a in attributes],
         F.max(F.when(F.col("kind") == 1, F.col("checklists"))).alias("num_complete_checklists"),
         F.count(F.when(F.col("kind") == 0, 1)).alias("num_different_species"))
-    attrs = log.groupBy("hotspot_id").agg(*[F.min(a).alias(a) for a in attributes])
-    return attrs.join(counts.filter(F.col("num_complete_checklists") > min_checklists), "hotspot_id")
+    return counts.filter(F.col("num_complete_checklists") > min_checklists)
 
 
 def attribute_conflicts(log: DataFrame, attributes: Sequence[str], key: str = "hotspot_id") -> DataFrame:
@@ -112,18 +118,26 @@ def merge_targets(targets: DataFrame, merge_map: DataFrame) -> DataFrame:
     """Weighted re-merge: rate = sum(rate * n) / sum(n) over each survivor and its members.
 
     ``merge_map`` holds (survivor_id, member_id), one row per member, the survivor included. Members without a
-    target are passed over; groups without any checklist are dropped. Numerators are summed per (survivor, species)
-    with partial aggregation, so a survivor with many members stays spread over tasks.
+    target are passed over; groups without any checklist are dropped. A member ships its non-zero cells, one weight and the
+    length of its vector; they are summed per (survivor, species) with partial aggregation, so a survivor with many members
+    stays spread over tasks, and vectors are widened after the last shuffle.
     """
     named = merge_map.join(targets, merge_map["member_id"] == targets["hotspot_id"])
-    weighted = named.select("survivor_id", "num_complete_checklists", arrays.unrolled("probs", "species_idx", "rate"))
-    # species 0 occurs once per member, so its weights add up to the hotspot's total
-    sums = weighted.groupBy("survivor_id", "species_idx").agg(
-        F.sum(F.col("rate") * F.col("num_complete_checklists")).alias("weighted"),
-        F.sum("num_complete_checklists").alias("n"))
-    return (sums.filter(F.col("n") > 0)
-            .select(F.col("survivor_id").alias("hotspot_id"), "species_idx", (F.col("weighted") / F.col("n")).alias("rate"),
-                    F.col("n").alias("num_complete_checklists")))
+    n = F.col("num_complete_checklists").cast("double")
+
+    def entry(idx: Column, value: Column) -> Column:
+        return F.struct(idx.cast("int").alias("idx"), value.cast("double").alias("value"))
+
+    cells = F.filter(F.transform("probs", lambda rate, i: entry(i, rate * n)), lambda c: c["value"] != 0)
+    entries = F.concat(cells, F.array(entry(F.lit(-1), n), entry(F.lit(-2), F.size("probs"))))
+    sums = named.select("survivor_id", F.inline(entries)).groupBy("survivor_id", "idx").agg(F.sum("value").alias("value"), F.max("value").alias("most"))
+    wide = sums.groupBy("survivor_id").agg(
+        F.max(F.when(F.col("idx") == -1, F.col("value"))).alias("n"), F.max(F.when(F.col("idx") == -2, F.col("most"))).alias("size"),
+        F.sort_array(F.collect_list(F.when(F.col("idx") >= 0, F.struct("idx", "value")))).alias("cells")).filter(F.col("n") > 0)
+    rates = F.transform("cells", lambda c: F.struct(c["idx"].alias("idx"), (c["value"] / F.col("n")).alias("value")))
+    dense = wide.select(F.col("survivor_id").alias("hotspot_id"), F.col("n").cast("bigint").alias("num_complete_checklists"), rates.alias("cells"), "size")
+    dense = dense.withColumn("probs", arrays.scatter(F.col("cells"), F.col("size").cast("int")))
+    return dense.select("hotspot_id", arrays.unrolled("probs", "species_idx", "rate"), "num_complete_checklists")
 
 
 def distinct_with_null(column: str) -> Column:

@@ -75,8 +75,9 @@ def recode(value: Column, minus_one, zero, one) -> Column:
 def steps(specs: Sequence[dict], mode: str, key: str, stats: dict[str, tuple[Sequence[float], Sequence[float]]], seed: int = 0) -> list[Step]:
     """Chain of steps for ``mode`` ("train", "val", "test") from ordered specifications.
 
-    A step is left out when its ``ignore`` is true or names the mode. Normalization takes its statistics from
-    ``stats`` by input name.
+    A step is left out when its ``ignore`` is true or names the mode; ``skip`` names inputs that it leaves as they are. A step
+    that draws does so once for a sample, and a crop takes one start, from the first of its inputs, for all of them.
+    Normalization takes its statistics from ``stats`` by input name.
     """
     out: list[Step] = []
     for n, spec in enumerate(specs):
@@ -86,14 +87,48 @@ def steps(specs: Sequence[dict], mode: str, key: str, stats: dict[str, tuple[Seq
     return out
 
 
+def multiscale(specs: Sequence[dict], mode: str, key: str, stats: dict, scales: Sequence[int], seed: int = 0) -> tuple[dict[int, list[Step]], list[Step]]:
+    """(crops of each scale, the other steps): with several scales every crop of the list is made once for each of them."""
+    crops = [s for s in specs if s["name"] == "crop"]
+    others = [s for s in specs if s["name"] != "crop"]
+    by_scale = {size: steps([{**s, "height": size, "width": size} for s in crops], mode, key, stats, seed) for size in scales}
+    return by_scale, steps(others, mode, key, stats, seed + 10 * len(crops))
+
+
+def assemble_scales(samples: DataFrame, by_scale: dict[int, list[Step]], chain: Sequence[Step], inputs: Sequence[str] = ("sat",)) -> DataFrame:
+    """One row for each sample and scale (``scale``): the crops of that scale, then the other steps.
+
+    Crops of all scales are made of the same row, so samples are read once and nothing is joined.
+    """
+    rows = samples.withColumn("_whole", F.struct(*inputs))
+    for size, crops in by_scale.items():
+        rows = rows.withColumns({c: F.col(f"_whole.{c}") for c in inputs})
+        for step in crops:
+            rows = rows.transform(step)
+        rows = rows.withColumn(f"_scale_{size}", F.struct(F.lit(size).alias("scale"), *inputs))
+    other = [c for c in samples.columns if c not in inputs]
+    rows = rows.select(*other, F.inline(F.array(*[F.col(f"_scale_{size}") for size in by_scale])))
+    return assemble(rows, chain)
+
+
+def _crop(spec: dict, mode: str, key: Column, seed: int, inputs: Sequence[str], p: float) -> Step:
+    h, w = F.lit(spec["height"]), F.lit(spec["width"])
+    centred = spec.get("center") is True or spec.get("center") == mode
+
+    def apply(df: DataFrame) -> DataFrame:
+        started = df.withColumn("_start", transforms.crop_start(F.col(inputs[0]), h, w, centred, seed + 1, key))
+        return started.withColumns({c: gated(F.col(c), transforms.crop_from(F.col(c), F.col("_start"), h, w), p, seed, key) for c in inputs}).drop("_start")
+
+    return apply
+
+
 def _step(spec: dict, mode: str, key: Column, stats: dict, seed: int) -> Step:
-    name, inputs, p = spec["name"], spec.get("inputs", ["sat"]), spec.get("p", 1.0)
+    name, p = spec["name"], spec.get("p", 1.0)
+    inputs = [c for c in spec.get("inputs", ["sat"]) if c not in spec.get("skip", ())]
+    if name == "crop" and inputs:
+        return _crop(spec, mode, key, seed, inputs, p)
 
     def change(img: Column, column: str) -> Column:
-        if name == "crop":
-            h, w = spec["height"], spec["width"]
-            centred = spec.get("center") is True or spec.get("center") == mode
-            return transforms.center_crop(img, h, w) if centred else transforms.random_crop(img, h, w, seed + 1, key)
         if name == "hflip":
             return transforms.hflip(img)
         if name == "vflip":

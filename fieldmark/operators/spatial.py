@@ -18,7 +18,8 @@ from fieldmark.session import materialize
 
 SPLIT = 4          # a cube is split into SPLIT**3 smaller ones
 LEAF = 64          # candidates per cube that are compared one by one
-_RANGE = 1 << 20   # cube numbers per axis stay below this
+_RANGE = 1 << 20   # cubes per axis that fit in one number; finer ones are known by three
+_FINEST = 1e-15    # coordinates don't tell places in smaller cubes apart
 
 
 def chord(km: float, radius: float = geo.POLAR_RADIUS_KM) -> float:
@@ -34,15 +35,22 @@ def coordinates(df: DataFrame, key: str) -> DataFrame:
     return nodes.withColumns({"x": x, "y": y, "z": z})
 
 
-def _cube(side: float, x: Column, y: Column, z: Column, dx=0, dy=0, dz=0) -> Column:
-    """Cube number; three 21-bit parts in one whole number."""
-    if 1 / side >= _RANGE - 2:
-        raise ValueError("distance too small for the cube numbering")
-    parts = [F.floor(v / F.lit(side)) + F.lit(_RANGE) + d for v, d in ((x, dx), (y, dy), (z, dz))]
+def _fits(side: float) -> bool:
+    return 1 / side < _RANGE - 2
+
+
+def _cube(side: float, x: Column, y: Column, z: Column, wide: bool = False) -> Column:
+    """Cube of a point: three 21-bit parts in one whole number where they fit, else a struct of three numbers."""
+    parts = [F.floor(v / F.lit(side)).cast("bigint") for v in (x, y, z)]
+    if wide or not _fits(side):
+        return F.struct(*[p.alias(n) for p, n in zip(parts, "ijk")])
+    parts = [p + F.lit(_RANGE) for p in parts]
     return (parts[0] * F.lit(2 * _RANGE) + parts[1]) * F.lit(2 * _RANGE) + parts[2]
 
 
-def _shifted(cube: Column, d: tuple[int, int, int]) -> Column:
+def _shifted(cube: Column, d: tuple[int, int, int], side: float, wide: bool = False) -> Column:
+    if wide or not _fits(side):
+        return F.struct(*[(cube[n] + F.lit(v)).alias(n) for n, v in zip("ijk", d)])
     return cube + F.lit((d[0] * 2 * _RANGE + d[1]) * 2 * _RANGE + d[2])
 
 
@@ -70,9 +78,9 @@ def _point(prefix: str = "") -> dict:
     return {a: (F.col(f"{prefix}{a}"), F.col(f"{prefix}{a}")) for a in "xyz"}
 
 
-def _cells(nodes: DataFrame, side: float, level: int) -> DataFrame:
-    cube = _cube(side / SPLIT ** level, F.col("x"), F.col("y"), F.col("z"))
-    parent = _cube(side / SPLIT ** max(level - 1, 0), F.col("x"), F.col("y"), F.col("z"))
+def _cells(nodes: DataFrame, side: float, level: int, wide: bool = False) -> DataFrame:
+    cube = _cube(side / SPLIT ** level, F.col("x"), F.col("y"), F.col("z"), wide)
+    parent = _cube(side / SPLIT ** max(level - 1, 0), F.col("x"), F.col("y"), F.col("z"), wide)
     return nodes.groupBy(cube.alias("cube")).agg(F.min(parent).alias("parent"), F.count("*").alias("members"), *_bounds())
 
 
@@ -100,9 +108,9 @@ def nearest(points: DataFrame, centres: DataFrame, centre_key: str, max_km: floa
     return points.join(best, ["lat", "lon"])
 
 
-def _neighbour_cubes(queries: DataFrame, side: float) -> DataFrame:
-    cube = _cube(side, F.col("x"), F.col("y"), F.col("z"))
-    shifts = [_shifted(cube, (i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+def _neighbour_cubes(queries: DataFrame, side: float, wide: bool = False) -> DataFrame:
+    cube = _cube(side, F.col("x"), F.col("y"), F.col("z"), wide)
+    shifts = [_shifted(cube, (i, j, k), side, wide) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
     return queries.withColumn("cube", F.explode(F.array(*shifts)))
 
 
@@ -115,18 +123,19 @@ def _candidates(queries: DataFrame, centres: DataFrame, reach: float) -> DataFra
         keyed = leaf.withColumn("cube", _cube(reach, F.col("x"), F.col("y"), F.col("z"))).drop("x", "y", "z")
         return _neighbour_cubes(queries, reach).join(keyed, "cube")
     # Crowded cubes: keep, per query, the cubes that can hold its nearest centre and split those again.
-    pairs = _neighbour_cubes(queries, reach).join(cells.drop("parent"), "cube").withColumn("level", F.lit(0))
+    cells = _cells(centres, reach, 0, wide=True)
+    pairs = _neighbour_cubes(queries, reach, wide=True).join(cells.drop("parent"), "cube").withColumn("level", F.lit(0))
     level = 0
     while True:
         pairs = materialize(_prune(pairs, reach), "nearest")
-        if (pairs.agg(F.max("members")).first()[0] or 0) <= LEAF or reach / SPLIT ** (level + 1) < 4 / _RANGE:
+        if (pairs.agg(F.max("members")).first()[0] or 0) <= LEAF or reach / SPLIT ** (level + 1) < _FINEST:
             break
         level += 1
-        finer = _cells(centres, reach, level)
+        finer = _cells(centres, reach, level, wide=True)
         big = pairs.filter(F.col("members") > LEAF).select("lat", "lon", "x", "y", "z", F.col("cube").alias("parent"))
         split = big.join(finer, "parent").withColumn("level", F.lit(level)).select(*pairs.columns)
         pairs = pairs.filter(F.col("members") <= LEAF).unionByName(split)
-    levels = F.array(*[F.struct(F.lit(v).alias("level"), _cube(reach / SPLIT ** v, F.col("x"), F.col("y"), F.col("z")).alias("cube"))
+    levels = F.array(*[F.struct(F.lit(v).alias("level"), _cube(reach / SPLIT ** v, F.col("x"), F.col("y"), F.col("z"), wide=True).alias("cube"))
                        for v in range(level + 1)])
     keyed = leaf.select("near_key", "near_lat", "near_lon", F.inline(levels))
     return pairs.select("lat", "lon", "level", "cube").join(keyed, ["level", "cube"])
@@ -182,7 +191,7 @@ def _cell_edges(nodes: DataFrame, cells: DataFrame, eps: float, side: float, km:
     """Pairs of cubes (a, b) holding two points at most ``km`` apart."""
     half = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
     left = cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns])
-    left = left.withColumn("cube", F.explode(F.array(*[_shifted(F.col("a_cube"), d) for d in half])))
+    left = left.withColumn("cube", F.explode(F.array(*[_shifted(F.col("a_cube"), d, side) for d in half])))
     right = cells.select("cube", *[F.col(c).alias(f"b_{c}") for c in cells.columns])
     pairs = left.join(right, "cube").drop("cube")
     near, far = _gap2(_box("a_"), _box("b_"))
@@ -203,9 +212,9 @@ def _cell_edges(nodes: DataFrame, cells: DataFrame, eps: float, side: float, km:
             geo.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= km)
         edges.append(close.select("a", "b"))
         big = open_.filter(F.col("work") > LEAF * LEAF)
-        if big.isEmpty() or side / SPLIT ** (level + 1) < 4 / _RANGE:
+        if big.isEmpty() or side / SPLIT ** (level + 1) < _FINEST:
             if not big.isEmpty():
-                # the numbering has no finer cubes (about 24 m): what is left is compared like the small ones
+                # coordinates have no finer places: what is left is compared like the small ones
                 last = big.join(pa, "ca").join(pb, "cb").filter(
                     geo.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= km)
                 edges.append(last.select("a", "b"))

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from fieldmark.functions import arrays, transforms
-from fieldmark.operators import samples
+from fieldmark.operators import samples, stats
 from fieldmark.plans.catalog import query
 from fieldmark.plans.oracle import normal, uniform
+from fieldmark.session import materialize
 
 PX = "band y x"
 
@@ -30,11 +31,14 @@ def channels_first(d):
 
 
 @query("normalize", """
-SELECT patch_key, band, y, x, (value - CASE band WHEN 0 THEN 89467e-2 WHEN 1 THEN 93257e-2 WHEN 2 THEN 69328e-2 ELSE 281798e-2 END)
-  / CASE band WHEN 0 THEN 88398e-2 WHEN 1 THEN 74769e-2 WHEN 2 THEN 74931e-2 ELSE 134263e-2 END AS value FROM fx_image""", "value", PX)
+WITH m AS (SELECT band, avg(value) AS mean FROM fx_image GROUP BY band),
+ t AS (SELECT i.band, mean, sqrt(avg((value - mean) * (value - mean))) AS std FROM fx_image i JOIN m ON m.band = i.band GROUP BY i.band, mean)
+SELECT patch_key, i.band, y, x, (value - mean) / std AS value FROM fx_image i JOIN t ON t.band = i.band""", "value", PX)
 def normalize(d):
-    means, stds = arrays.literal_vector([894.67, 932.57, 693.28, 2817.98]), arrays.literal_vector([883.98, 747.69, 749.31, 1342.63])
-    return shown(d.image, transforms.normalize(img(), means, stds))
+    """Images brought to the means and deviations of their own bands."""
+    bands = materialize(stats.band_stats(d.image, None), "band-stats")
+    known = d.image.withColumns({"_mean": stats.vector_of(bands, "band", "mean"), "_std": stats.vector_of(bands, "band", "std")})
+    return shown(known, transforms.normalize(img(), F.col("_mean"), F.col("_std")))
 
 
 @query("max_channel_scale", "SELECT patch_key, band, y, x, value / max(value) OVER (PARTITION BY patch_key, band) AS value FROM fx_image", "value", PX)
@@ -172,6 +176,24 @@ def transforms_by_mode(d):
     return shown(rows, F.col("sat"))
 
 
+SCALED = [{"name": "crop", "inputs": ["sat", "env"], "skip": ["env"], "center": "val"}, {"name": "hflip", "p": 1.0, "inputs": ["sat", "env"]}]
+
+
+@query("multiscale_crops", """
+SELECT i.patch_key, s AS scale, 'sat' AS input, band, y - (4 - s) // 2 AS y, s - 1 - (x - (4 - s) // 2) AS x, value FROM fx_image i
+CROSS JOIN (SELECT unnest([2, 3]) AS s) g WHERE y - (4 - s) // 2 BETWEEN 0 AND s - 1 AND x - (4 - s) // 2 BETWEEN 0 AND s - 1
+UNION ALL SELECT p.patch_key, s, 'env', band, y, 3 - x, value FROM fx_patch p CROSS JOIN (SELECT unnest([2, 3]) AS s) g""", "value", "scale " + PX)
+def multiscale_crops(d):
+    """Two crop sizes of each image beside an input that the crop skips, then a flip of both."""
+    both = d.image.withColumnRenamed("img", "sat").join(d.patch.withColumnRenamed("img", "env"), "patch_key")
+    by_scale, chain = samples.multiscale(SCALED, "val", "patch_key", STATS, [2, 3])
+    rows = samples.assemble_scales(both, by_scale, chain, ["sat", "env"])
+    each = rows.select("patch_key", "scale", F.inline(F.array(F.struct(F.lit("sat").alias("input"), F.col("sat").alias("img")),
+                                                              F.struct(F.lit("env").alias("input"), F.col("env").alias("img")))))
+    keyed = each.select(F.struct("patch_key", "scale", "input").alias("k"), "img")
+    return samples.pixels(keyed, "k").select("k.*", "band", "y", "x", "value")
+
+
 @query("stack_inputs", """
 SELECT patch_key, band, y, x, value FROM fx_image UNION ALL SELECT patch_key, 4 + band, y, x, value FROM fx_patch WHERE band < 2""", "value", PX)
 def stack_inputs(d):

@@ -32,11 +32,25 @@ SOIL = ["bdticm", "bldfie", "cecsol", "clyppt", "orcdrc", "phihox", "sltppt", "s
 ENVIRONMENT = CLIMATE + SOIL
 
 
-def null_for_nan(df: DataFrame) -> DataFrame:
-    """Missing numbers are NULL throughout; NaN becomes NULL at ingest."""
+def _clean(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), value)
+    if isinstance(kind, T.ArrayType) and _holds_numbers(kind):
+        return F.transform(value, lambda v: _clean(v, kind.elementType))
+    if isinstance(kind, T.StructType) and _holds_numbers(kind):
+        return F.when(value.isNotNull(), F.struct(*[_clean(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
 
-    def clean(f: T.StructField) -> Column:
-        c = F.col(f"`{f.name}`")
-        return F.when(~F.isnan(c), c).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+def _holds_numbers(kind: T.DataType) -> bool:
+    """Whether floating-point numbers occur at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _holds_numbers(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_numbers(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
 
-    return df.select(*[clean(f) for f in df.schema.fields])
+
+def null_for_nan(df: DataFrame) -> DataFrame:
+    """Missing numbers are NULL throughout; NaN becomes NULL at ingest, inside arrays and structs too."""
+    return df.select(*[_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

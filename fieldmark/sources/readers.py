@@ -10,8 +10,8 @@ from fieldmark.functions import time
 
 
 def observations(spark: SparkSession, path: str, schema=schemas.OBSERVATION) -> DataFrame:
-    """Tab-separated observation log with a header line and ISO dates."""
-    return spark.read.schema(schema).options(sep="\t", header=True, dateFormat="yyyy-MM-dd").csv(path)
+    """Tab-separated observation log with a header line and ISO dates; NaN is read as missing."""
+    return schemas.null_for_nan(spark.read.schema(schema).options(sep="\t", header=True, dateFormat="yyyy-MM-dd").csv(path))
 
 
 def checklists(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +33,8 @@ def species_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def targets_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per hotspot."""
-    return spark.read.schema(schemas.TARGET).json(path)
+    """One JSON document per hotspot; NaN is read as missing."""
+    return schemas.null_for_nan(spark.read.schema(schemas.TARGET).json(path))
 
 
 def parse_target(text: Column) -> Column:

@@ -23,7 +23,7 @@ def by_bucket(log: DataFrame, path: str, buckets: int = 1000, rows_per_file: int
     salted = routed.join(F.broadcast(files), F.col("bucket").eqNullSafe(F.col("_b")))
     salt = F.pmod(F.xxhash64(*log.columns), F.col("_files"))
     dealt = salted.withColumn("_salt", salt).repartition("bucket", "_salt")
-    dealt.drop("_b", "_files", "_salt").write.mode(mode).partitionBy("bucket").parquet(path)
+    dealt.drop("_b", "_files", "_salt").write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("bucket").parquet(path)
 
 
 def by_columns(df: DataFrame, path: str, columns: Sequence[str], mode: str = "append") -> None:

@@ -118,6 +118,33 @@ def test_partial_dates(spark, text, fmt, start, end):
     assert row["mint"] == dt.datetime.fromisoformat(start) - micro and row["maxt"] == dt.datetime.fromisoformat(end) - micro
 
 
+WEEKS = ["%Y-%U-%w", "%Y-%W-%a", "%G-W%V-%u", "%A %d %B %Y", "%a, %Y-%m-%d %H:%M", "%Y %U %A %H", "%G%V%a", "%Y-%W-%u %H:%M:%S", "100%% %a %Y-%m-%d"]
+
+
+@pytest.mark.parametrize("fmt", WEEKS)
+def test_weeks_and_weekdays(spark, fmt):
+    """Every day of some years, written and read by the standard library, against the interval of its unit."""
+    import datetime as dt
+
+    days = [dt.datetime(y, 1, 1, 13, 45, 59) + dt.timedelta(days=k) for y in (2019, 2020, 2023) for k in range(0, 366, 5 if y != 2020 else 1)]
+    texts = [d.strftime(fmt) for d in days]
+    unit = time.resolution(fmt)
+    width = {"day": dt.timedelta(days=1), "hour": dt.timedelta(hours=1), "minute": dt.timedelta(minutes=1), "second": dt.timedelta(seconds=1)}[unit]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", time.interval_of(F.col("t"), fmt).alias("i")).collect()
+    micro = dt.timedelta(microseconds=1)
+    for r in rows:
+        start = dt.datetime.strptime(r["t"], fmt)
+        assert (r["i"]["mint"], r["i"]["maxt"]) == (start - micro, start + width - micro), r["t"]
+    bad = spark.createDataFrame([("tile",), (None,), ("",)], "t string").select(time.interval_of(F.col("t"), fmt).alias("i")).collect()
+    assert [r["i"] for r in bad] == [None] * 3
+
+
+@pytest.mark.parametrize("fmt", ["%c", "%Y %x", "%Y-%U", "%V-%u", "%G-%m-%d", "%Y %Q"])
+def test_refused_formats_say_why(fmt):
+    with pytest.raises(ValueError, match="locale|weekday|needs|unsupported"):
+        time.interval_of(F.lit("x"), fmt)
+
+
 def test_format_without_year_is_all_time(spark):
     row = spark.range(1).select(time.interval_of(F.lit("x"), "%H").alias("i")).first()["i"]
     assert row["mint"] is None and row["maxt"] is None

@@ -100,13 +100,16 @@ def test_cluster_split_equals_the_greedy_loop(spark, sizes):
         assert sorted(got.values()).count("valid") == 3 and sorted(got.values()).count("test") == 3
 
 
-def test_exact_quantiles_match_sorting(spark):
+@pytest.mark.parametrize("bound", [20, 100_000])
+def test_exact_quantiles_match_sorting(spark, bound):
     import numpy as np
 
     rng = np.random.default_rng(5)
     data = {"a": rng.normal(size=500), "b": rng.integers(0, 4, size=333).astype(float), "c": np.array([7.0])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, v double")
-    got = {(r["k"], r["q"]): r["quantile"] for r in distribution.exact_quantiles(df, "v", [0.02, 0.5, 0.98], ["k"], splitters=16).collect()}
+    got = {(r["k"], r["q"]): r["quantile"] for r in distribution.exact_quantiles(df, "v", [0.02, 0.5, 0.98], ["k"], splitters=16, bound=bound).collect()}
+    whole = distribution.exact_quantiles(df, "v", [0.3], splitters=8, bound=bound).first()["quantile"]
+    assert whole == pytest.approx(np.quantile(np.concatenate(list(data.values())), 0.3))
     for k, vs in data.items():
         for q in (0.02, 0.5, 0.98):
             assert got[(k, q)] == pytest.approx(np.quantile(vs, q))

@@ -144,6 +144,145 @@ def test_missing_ends_are_open(spark):
     assert sorted(tuple(p) for p in pairs) == [(1, 7), (1, 8), (2, 8)]
 
 
+@pytest.mark.parametrize("metres", [0.5, 3, 20])
+def test_short_distances_equal_union_find(spark, metres):
+    """Crowds of points a few metres apart: no distance is refused, no cluster lost or joined."""
+    rng = random.Random(int(metres * 10))
+    spread = metres * 12 / 111_195
+    points = [(40.0 + rng.uniform(0, spread), -90.0 + rng.uniform(0, spread)) for _ in range(250)] + [(40.5 + rng.uniform(0, spread) / 30, -90.0) for _ in range(150)]
+    top = list(range(len(points)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(points)):
+        for j in range(i):
+            if km(points[i], points[j]) <= limit:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(points))]
+
+
+@pytest.mark.parametrize("leaf", [64, 1])
+def test_clusters_equal_union_find(spark, monkeypatch, leaf):
+    monkeypatch.setattr(spatial, "LEAF", leaf)
+    points = crowd(3, 70, 0.15) + [(40.0 + 0.03 * i, -80.0) for i in range(12)] + [(0.0, 179.99), (0.0, -179.99), (89.99, 0.0), (89.99, 180.0), (5.0, 5.0), (5.0, 5.0)]
+    rows = spatial.clusters(frame(spark, points), "k", 5.0).collect()
+    got = {r["k"]: r["cluster_id"] for r in rows}
+    want = union_find(points, 5.0)
+    assert [got[i] for i in range(len(points))] == want
+    assert all(r["cluster_size"] == want.count(r["cluster_id"]) for r in rows)
+
+
+def test_line_of_steps_is_one_cluster_and_twins_count_once_each(spark):
+    step = 4 / geo.POLAR_RADIUS_KM * 180 / math.pi
+    rows = spatial.clusters(frame(spark, [(10, 10), (10 + step, 10), (10 + 2 * step, 10), (50, 50), (50, 50)]), "k", 5.0).collect()
+    assert sorted((r["cluster_id"], r["cluster_size"]) for r in rows) == [(0, 3)] * 3 + [(3, 2)] * 2
+
+
+def test_long_chain_component(spark):
+    edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = spatial.connected_components(edges).collect()
+    assert len(labels) == 301 and {r["label"] for r in labels} == {0}
+
+
+def test_overlap_join_equals_brute_force(spark):
+    rng = random.Random(8)
+
+    def make(n, widths):
+        out = []
+        for i in range(n):
+            x, y, t = rng.uniform(-5, 5), rng.uniform(-5, 5), rng.uniform(0, 50)
+            w = rng.choice(widths)
+            out.append((i, x, x + w, y, y + rng.choice(widths), t, t + rng.choice([0.0, 1.0, 40.0])))
+        return out
+
+    left, right = make(60, [0.0, 0.01, 0.5]), make(60, [0.02, 1.0, 9.0])
+    schema = "k int, minx double, maxx double, miny double, maxy double, mint double, maxt double"
+    axes = [boxes.LON, boxes.LAT, boxes.Axis("mint", "maxt", 1.0)]
+    pairs = boxes.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), axes).select("l.k", "r.k").collect()
+    want = sorted((a[0], b[0]) for a in left for b in right if all(a[i] <= b[i + 1] and a[i + 1] >= b[i] for i in (1, 3, 5)))
+    assert sorted(tuple(p) for p in pairs) == want
+
+
+CONCAVE = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
+HOLE = [(0.5, 0.2), (1.0, 0.2), (1.0, 0.5), (0.5, 0.5)]
+
+
+def test_strictly_inside_concave_ring_with_hole_and_edges(spark):
+    def ring(points):
+        return F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in points])
+
+    cases = {(1.0, 1.0): True, (2.0, 2.0): False, (3.5, 2.0): True, (0.7, 0.3): False, (4.0, 2.0): False, (0.0, 0.0): False, (1.0, 0.0): False, (5.0, 1.0): False}
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(cases)], "i int, lon double, lat double")
+    rows = df.select("i", geo.strictly_inside(F.col("lon"), F.col("lat"), F.array(ring(CONCAVE), ring(HOLE))).alias("inside")).collect()
+    assert [r["inside"] for r in sorted(rows)] == list(cases.values())
+
+
+def test_two_part_species_counts_once(spark):
+    square = "array(array(struct(%s as lon, 0D as lat), struct(%s as lon, 0D as lat), struct(%s as lon, 2D as lat), struct(%s as lon, 2D as lat)))"
+    parts = spark.range(2).selectExpr("7 as species_idx", f"if(id = 0, {square % ('0D', '2D', '2D', '0D')}, {square % ('1D', '3D', '3D', '1D')}) as rings")
+    points = spark.createDataFrame([(1, 1.5, 1.0), (2, 9.0, 9.0)], "k int, lon double, lat double")
+    assert [tuple(r) for r in ranges.inside_pairs(points, parts, "k", "species_idx").collect()] == [(1, 7)]
+
+
+def test_grid_and_random_chips(spark):
+    box = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 10.0)], "t int, minx double, maxx double, miny double, maxy double")
+    assert boxes.grid_chips(box, 4, 3).count() == 9
+    tiles = spark.createDataFrame([(i, i * 20.0, i * 20.0 + 10, 0.0, 10.0) for i in range(5)], "t int, minx double, maxx double, miny double, maxy double")
+    draws = spark.range(200).withColumnRenamed("id", "draw")
+    chips = boxes.random_chips(tiles, "t", 2.0, draws, seed=1).collect()
+    assert len(chips) == 200 and {c["t"] for c in chips} == set(range(5))
+    assert all(c["t"] * 20 <= c["minx"] and c["maxx"] <= c["t"] * 20 + 10 and c["maxx"] - c["minx"] == pytest.approx(2) for c in chips)
+    assert sorted(chips) == sorted(boxes.random_chips(tiles.repartition(7), "t", 2.0, draws, seed=1).collect())
+
+
+def test_invalid_boxes(spark):
+    box = spark.createDataFrame([(1, 5.0, 1.0)], "t int, minx double, maxx double")
+    assert boxes.invalid(box, [boxes.Axis("minx", "maxx")]).count() == 1
+    with pytest.raises(Exception, match="invalid box"):
+        boxes.validated(box, [boxes.Axis("minx", "maxx")]).collect()
+
+
+def test_missing_ends_are_open(spark):
+    schema = "k int, mint double, maxt double"
+    left = spark.createDataFrame([(1, None, None), (2, 5.0, None)], schema)
+    right = spark.createDataFrame([(7, 1.0, 2.0), (8, 9.0, 9.0)], schema)
+    pairs = boxes.overlap_join(left, right, [boxes.Axis("mint", "maxt", 1.0)]).select("l.k", "r.k").collect()
+    assert sorted(tuple(p) for p in pairs) == [(1, 7), (1, 8), (2, 8)]
+
+
+@pytest.mark.parametrize("metres", [0.5, 3, 20])
+def test_short_distances_equal_union_find(spark, metres):
+    """Crowds of points a few metres apart: no distance is refused, no cluster lost or joined."""
+    rng = random.Random(int(metres * 10))
+    spread = metres * 12 / 111_195
+    points = [(40.0 + rng.uniform(0, spread), -90.0 + rng.uniform(0, spread)) for _ in range(250)] + [(40.5 + rng.uniform(0, spread) / 30, -90.0) for _ in range(150)]
+    top = list(range(len(points)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    radius = 6356.7523
+
+    def km(a, b):
+        (p, o), (q, u) = [tuple(map(math.radians, v)) for v in (a, b)]
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((u - o) / 2) ** 2
+        return 2 * radius * math.asin(math.sqrt(min(1.0, h)))
+
+    for i in range(len(points)):
+        for j in range(i):
+            if km(points[i], points[j]) <= metres / 1000:
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    got = {r["k"]: r["cluster_id"] for r in spatial.clusters(frame(spark, points), "k", metres / 1000).collect()}
+    assert got == {i: find(i) for i in range(len(points))}
+
+
 @pytest.mark.parametrize("metres", [20, 50, 100])
 def test_crowded_cubes_at_short_distances_lose_no_edge(spark, metres):
     """600 points in a row, 0.4 m apart, hold hundreds of points in one cube and must stay one cluster."""
