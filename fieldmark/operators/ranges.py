@@ -14,7 +14,7 @@ def inside_pairs(points: DataFrame, polygons: DataFrame, point_key: str, polygon
     """Distinct (point, polygon key) with the point strictly inside any polygon of that key.
 
     Polygons are cut into cells once; a point falls into one cell of each size in use and meets the few edges held there.
-    Cells are broadcast if they are few, so points stay where they are; else both sides meet on the cell, with crowded cells
+    Cells are broadcast if they are few, and points dealt out evenly; else both sides meet on the cell, with crowded cells
     dealt out. Points without a place are inside nothing.
     """
     placed = points.select(point_key, "lon", "lat").filter(
@@ -27,7 +27,7 @@ def inside_pairs(points: DataFrame, polygons: DataFrame, point_key: str, polygon
     keys = ["level", "cx", "cy"]
     sized = cells.if_small(cut, F.lit(80) + 32 * F.size("edges") + 8 * F.size("turns"))
     if sized is not cut:
-        pairs = at.join(sized, keys)
+        pairs = at.repartition("_point").join(sized, keys)  # edge tests cost more than moving points: use every core
     else:
         pairs = cells.join(materialize(at, "placed"), cut, keys, F.xxhash64("_point"))
     hit = pairs.filter(regions.inside_cell(F.col("lon"), F.col("lat"), F.col("edges"), F.col("turns"), F.col("odd")))
