@@ -28,11 +28,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bins of a feature; features with fewer values keep each value apart.
 BINS = 128
 #: Models that share one row of histogram cells, and models grown by one job: the cells of a task stay bounded.
-BLOCK, GROUP = 64, 4096
+BLOCK, GROUP = 8, 4096
 #: Rows times models that a task looks at in one go.
 CHUNK = 4_000_000
+#: Rows times models that walk down their trees together, few enough for a processor's cache.
+STRIDE = 1 << 16
+#: Rows times models times features that a task adds up at least where cores are idle, and at most.
+LEAST_WORK, MOST_WORK = 2_000_000, 64_000_000
 #: Boosting rounds between two writes of the predictions so far.
-REFRESH = 10
+REFRESH = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,35 +74,50 @@ class Trees:
         self.value = np.zeros((self.models, 1))
         self.size = np.ones(self.models, dtype=np.int64)
 
-    def split(self, model: int, node: int, feature: int, cut: int, left: float, right: float) -> int:
-        """Make ``node`` an inner node; returns its left child."""
-        at = int(self.size[model])
-        if at + 2 > self.feature.shape[1]:
-            more = max(8, self.feature.shape[1])
+    def split(self, model: np.ndarray, node: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Make nodes, ascending by model, inner nodes; returns their left children."""
+        count = np.bincount(model, minlength=self.models)
+        at = self.size[model] + 2 * (np.arange(len(model)) - (np.cumsum(count) - count)[model])
+        wide, needed = self.feature.shape[1], int((self.size + 2 * count).max(initial=1))
+        if needed > wide:
+            more = max(8, wide, needed - wide)
             self.feature = np.pad(self.feature, ((0, 0), (0, more)), constant_values=-1)
             self.cut, self.child, self.value = (np.pad(a, ((0, 0), (0, more))) for a in (self.cut, self.child, self.value))
         self.feature[model, node], self.cut[model, node], self.child[model, node] = feature, cut, at
         self.value[model, at], self.value[model, at + 1] = left, right
-        self.size[model] += 2
+        self.size += 2 * count
         return at
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return self.feature, self.cut, self.child, self.value
 
 
+def walked(trees: tuple[np.ndarray, ...], bins: np.ndarray, row: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The node that each pair of a row and a model has come to; only pairs at inner nodes take the next step."""
+    feature, cut, child, _ = (a.reshape(-1) for a in trees)
+    size, flat = trees[0].shape[1], np.ascontiguousarray(bins).reshape(-1)
+    out = np.zeros(len(row), dtype=np.int32)
+    for begin in range(0, len(row), STRIDE):
+        node = out[begin:begin + STRIDE]
+        first, place = model[begin:begin + STRIDE].astype(np.int64) * size, row[begin:begin + STRIDE] * bins.shape[1]
+        moving, at = np.arange(len(node)), first
+        while True:
+            asked = feature[at]
+            inner = asked >= 0
+            if not inner.all():
+                moving, at, asked, place, first = (a[inner] for a in (moving, at, asked, place, first))
+            if not len(moving):
+                break
+            following = child[at] + (flat[place + asked] > cut[at])
+            node[moving] = following
+            at = first + following
+    return out
+
+
 def leaves(trees: tuple[np.ndarray, ...], bins: np.ndarray, models: np.ndarray) -> np.ndarray:
     """(rows x models): the node that each row has come to."""
-    feature, cut, child, _ = trees
-    node = np.zeros((len(bins), len(models)), dtype=np.int32)
-    column = np.broadcast_to(models, node.shape)
-    row = np.arange(len(bins))[:, None]
-    while True:
-        asked = feature[column, node]
-        inner = asked >= 0
-        if not inner.any():
-            return node
-        right = bins[row, np.maximum(asked, 0)] > cut[column, node]
-        node = np.where(inner, child[column, node] + right, node)
+    row, model = np.repeat(np.arange(len(bins)), len(models)), np.tile(models, len(bins))
+    return walked(trees, bins, row, model).reshape(len(bins), len(models))
 
 
 def predict(trees: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
@@ -148,6 +167,13 @@ def binned(rows: DataFrame, features: str, vector: str, key: str, cuts: Sequence
     return known.mapInArrow(place, schema)
 
 
+def dealt(rows: DataFrame, models: int, tried: int) -> DataFrame:
+    """``rows`` over as many tasks as adding them up for all models is worth, whatever their bytes."""
+    work = rows.count() * models * tried
+    idle = min(rows.sparkSession.sparkContext.defaultParallelism, work // LEAST_WORK)
+    return rows.repartition(max(1, idle, -(-work // MOST_WORK)))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """A list column as rows of ``width`` numbers, null as NaN."""
     if isinstance(column, pa.ChunkedArray):
@@ -175,57 +201,84 @@ def _summed(cell: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (distinct, *[np.bincount(place, v, len(distinct)) for v in values])
 
 
-_CELLS = "block int, cell array<bigint>, w array<double>, g array<double>"
+_CELLS = "block int, cell binary, w binary, g binary"
 _SPLITS = "slot bigint, w double, g double, feature int, cut int, wl double, gl double"
 
 
-def _partial(batches: Iterator[pa.RecordBatch], gradients: Callable, trees: tuple[np.ndarray, ...], slots: np.ndarray, models: np.ndarray,
-             tried: np.ndarray, bins: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Sums over the rows of a task for each (slot, feature tried, bin), one row for each block of models."""
-    parts: list[tuple] = []
-    per_slot = tried.shape[1] * bins
-    pending = 0
+@dataclass(frozen=True)
+class Open:
+    """Open nodes, ascending by model; a slot is the place of a node in these arrays."""
+
+    model: np.ndarray
+    node: np.ndarray
+    depth: np.ndarray
+    attempt: np.ndarray
+
+    def block(self, block: int) -> slice:
+        return slice(*np.searchsorted(self.model, (block * BLOCK, (block + 1) * BLOCK)))
+
+    def tried(self, where: slice, rule: Rule, width: int, seeds: np.ndarray) -> np.ndarray:
+        return _tried(self.model[where], self.node[where], self.attempt[where], rule, width, seeds)
+
+
+def _partial(batches: Iterator[pa.RecordBatch], gradients: Callable, trees: tuple[np.ndarray, ...], opened: Open, models: np.ndarray,
+             rule: Rule, seeds: np.ndarray, bins: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Sums over the rows of a batch for each (slot, feature tried, bin), one row for each block of models."""
+    slots = np.full(trees[0].shape, -1, dtype=np.int32)
+    slots[opened.model, opened.node] = np.arange(len(opened.model))
+    blocks = np.unique(opened.model // BLOCK)
+    step = max(1, CHUNK // max(1, len(models)))
     for batch in batches:
-        step = max(1, CHUNK // max(1, len(models) * tried.shape[1]))
         for begin in range(0, batch.num_rows, step):
             piece = batch.slice(begin, step)
             codes = _codes(piece.column("_bins"), width)
             w, g = gradients(piece, codes, models)
-            node = leaves(trees, codes, models)
-            slot = slots[np.broadcast_to(models, node.shape), node]
-            row, column = np.nonzero((slot >= 0) & (w > 0))
-            slot = slot[row, column]
+            column, row = np.nonzero(w.T > 0)  # ascending by model
+            slot = slots[models[column], walked(trees, codes, row, models[column])]
+            still = slot >= 0
+            slot, column, row = slot[still], column[still], row[still]
             w, g = w[row, column], g[row, column]
-            used = tried[slot]
-            cell = (slot[:, None] * tried.shape[1] + np.arange(tried.shape[1])) * bins + codes[row[:, None], np.maximum(used, 0)]
-            some = (used >= 0).ravel()
-            repeated = np.repeat(np.arange(len(slot)), tried.shape[1])[some]
-            parts.append(_summed(cell.ravel()[some], w[repeated], g[repeated]))
-            pending += len(parts[-1][0])
-            if pending > CHUNK:
-                parts = [_summed(*(np.concatenate(c) for c in zip(*parts)))]
-                pending = len(parts[0][0])
-    if parts:
-        cell, w, g = _summed(*(np.concatenate(c) for c in zip(*parts)))
-        block = _owner(slots, models)[cell // per_slot] // BLOCK
-        edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(cell) else np.zeros(0, dtype=np.int64)
-        offsets = pa.array(np.r_[edge, len(cell)].astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block[edge].astype(np.int32)), *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (cell.astype(np.int64), w, g)]],
-            ["block", "cell", "w", "g"])
-
-
-def _owner(slots: np.ndarray, models: np.ndarray) -> np.ndarray:
-    """The model of each slot; slots ascend with their models."""
-    model, node = np.nonzero(slots >= 0)
-    out = np.zeros(len(model), dtype=np.int64)
-    out[slots[model, node]] = model
-    return out
-
-
-def _best(group: pa.Table, rule: Rule, tried: np.ndarray, rank: np.ndarray, bins: int) -> pa.Table:
-    """The split of each slot with the largest gain; equal gains go to the feature that ``rank`` names first, then the smaller bin."""
-    cell, w, g = _summed(*(np.concatenate([c.flatten().to_numpy() for c in group.column(n).chunks]) for n in ("cell", "w", "g")))
+            edges = np.searchsorted(models[column], np.r_[blocks, blocks[-1:] + 1] * BLOCK)
+            out = []
+            for number, (low, high) in zip(blocks, zip(edges[:-1], np.r_[edges[1:-1], len(column)])):
+                if low < high:
+                    where = opened.block(number)
+                    tried = opened.tried(where, rule, width, seeds)
+                    out.append((number, *_cells(slot[low:high] - where.start, row[low:high], w[low:high], g[low:high], codes, tried, bins)))
+            if out:
+                number, *columns = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number, pa.int32()), *[pa.array([v.tobytes() for v in c], pa.binary()) for c in columns]], ["block", "cell", "w", "g"])
+
+
+def _cells(slot: np.ndarray, row: np.ndarray, w: np.ndarray, g: np.ndarray, codes: np.ndarray, tried: np.ndarray, bins: int) -> tuple[np.ndarray, ...]:
+    """(cells met, weights, gradients) of one block, whose slots count from 0."""
+    parts, some = [], len(tried) * bins
+    dense = some <= 4 * len(slot)
+    for k in range(tried.shape[1]):
+        used = tried[slot, k]
+        left = used >= 0
+        s, r, u, a, b = (slot, row, used, w, g) if left.all() else (v[left] for v in (slot, row, used, w, g))
+        cell = s.astype(np.int64) * bins + codes[r, u]
+        if dense:
+            weight, gradient = np.bincount(cell, a, some), np.bincount(cell, b, some)
+            met = np.flatnonzero(weight)
+            parts.append((met, weight[met], gradient[met]))
+        else:
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, dtype=np.int64)
+            parts.append((cell[head], *[np.add.reduceat(v[order], head) if len(head) else v[:0] for v in (a, b)]))
+        met = parts[-1][0]
+        parts[-1] = (met // bins * (tried.shape[1] * bins) + k * bins + met % bins, *parts[-1][1:])
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _best(group: pa.Table, rule: Rule, opened: Open, width: int, seeds: np.ndarray, bins: int) -> pa.Table:
+    """The split of each slot with the largest gain; equal gains go to the feature ranked first for its model, then the smaller bin."""
+    where = opened.block(group.column("block")[0].as_py())
+    tried = opened.tried(where, rule, width, seeds)
+    cell, w, g = _summed(*(np.concatenate([np.frombuffer(v, t) for v in group.column(n).to_pylist()]) for n, t in (("cell", np.int64), ("w", np.float64), ("g", np.float64))))
     line, code = cell // bins, cell % bins  # a line is one slot and feature
     slot = line // tried.shape[1]
     head = np.r_[True, line[1:] != line[:-1]]
@@ -243,13 +296,18 @@ def _best(group: pa.Table, rule: Rule, tried: np.ndarray, rank: np.ndarray, bins
     scale = np.maximum(np.abs(g_all * g_all / (w_all + rule.penalty)), 1e-12)
     gain = np.where(gain > 1e-9 * scale, gain, -1.0)
     size = np.where(gain > 0, np.round(np.log(np.maximum(gain, 1e-300)) * 1e8), -np.inf)
-    feature = tried.ravel()[line]
-    owner_rank = rank[slot, feature]
-    order = np.lexsort((code, owner_rank, -size, slot))
-    first = order[np.r_[True, slot[order][1:] != slot[order][:-1]]] if len(order) else order
+    edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    largest = np.repeat(np.maximum.reduceat(size, edge), np.diff(np.r_[edge, len(slot)]))
+    equal = np.flatnonzero((size == largest) & ((size > -np.inf) | np.r_[True, slot[1:] != slot[:-1]]))
+    feature = tried.reshape(-1)[line[equal]]
+    models, at = np.unique(opened.model[where], return_inverse=True)
+    rank = _ranks(models, width, seeds)[at[slot[equal]], feature]
+    order = np.lexsort((code[equal], rank, slot[equal]))
+    order = order[np.r_[True, slot[equal][order][1:] != slot[equal][order][:-1]]]
+    first, feature = equal[order], feature[order]
     split = gain[first] > 0
     return pa.table({
-        "slot": slot[first], "w": w_all[first], "g": g_all[first], "feature": pa.array(np.where(split, feature[first], -1), pa.int32()),
+        "slot": slot[first] + where.start, "w": w_all[first], "g": g_all[first], "feature": pa.array(np.where(split, feature, -1), pa.int32()),
         "cut": pa.array(code[first], pa.int32()), "wl": wl[first], "gl": gl[first]})
 
 
@@ -282,53 +340,58 @@ def _ranks(model: np.ndarray, width: int, seeds: np.ndarray) -> np.ndarray:
     return np.argsort(np.argsort(h, axis=1), axis=1)
 
 
-def _adder(shared, gradients: Callable, models: np.ndarray, bins: int, width: int) -> Callable:
+def _adder(shared, gradients: Callable, models: np.ndarray, rule: Rule, seeds: np.ndarray, bins: int, width: int) -> Callable:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, slots, tried, _ = shared.value
-        return _partial(batches, gradients, trees, slots, models, tried, bins, width)
+        trees, opened = shared.value
+        return _partial(batches, gradients, trees, Open(*opened), models, rule, seeds, bins, width)
 
     return add
 
 
-def _picker(shared, rule: Rule, bins: int) -> Callable:
+def _picker(shared, rule: Rule, seeds: np.ndarray, bins: int, width: int) -> Callable:
     def pick(group: pa.Table) -> pa.Table:
-        _, _, tried, rank = shared.value
-        return _best(group, rule, tried, rank, bins)
+        return _best(group, rule, Open(*shared.value[1]), width, seeds, bins)
 
     return pick
 
 
 def _grow_group(rows: DataFrame, gradients: Callable, trees: Trees, models: np.ndarray, width: int, rule: Rule, seeds: np.ndarray, bins: int) -> None:
     spark = rows.sparkSession
-    open_nodes = [(int(m), 0, 0, 0) for m in models]  # model, node, depth, attempt
-    while open_nodes:
-        model, node, depth, attempt = (np.array(c) for c in zip(*open_nodes))
-        slots = np.full(trees.feature.shape, -1, dtype=np.int64)
-        slots[model, node] = np.arange(len(model))
-        tried, rank = _tried(model, node, attempt, rule, width, seeds), _ranks(model, width, seeds)
-        shared = spark.sparkContext.broadcast((trees.arrays(), slots, tried, rank))  # the trees themselves, which the driver holds anyway
-
-        found = rows.mapInArrow(_adder(shared, gradients, models, bins, width), _CELLS).groupBy("block").applyInArrow(_picker(shared, rule, bins), _SPLITS).collect()  # one row for each open node
+    none = np.zeros(len(models), dtype=np.int64)
+    opened = Open(models.astype(np.int64), none, none, none)
+    while len(opened.model):
+        # the trees themselves, which the driver holds anyway; of the open nodes, what tells their features apart
+        shared = spark.sparkContext.broadcast((trees.arrays(), (opened.model, opened.node, opened.depth, opened.attempt)))
+        cells = rows.mapInArrow(_adder(shared, gradients, models, rule, seeds, bins, width), _CELLS)
+        found = cells.groupBy("block").applyInArrow(_picker(shared, rule, seeds, bins, width), _SPLITS).toArrow()  # one row for each open node
         shared.unpersist()
-        open_nodes = []
-        for r in sorted(found, key=lambda r: r["slot"]):
-            m, n, d, a = int(model[r["slot"]]), int(node[r["slot"]]), int(depth[r["slot"]]), int(attempt[r["slot"]])
-            if n == 0:
-                trees.value[m, 0] = r["g"] / (r["w"] + rule.penalty)
-            if r["feature"] < 0:
-                if rule.tried is not None and (a + 1) * rule.tried < width and _mixed_node(r):
-                    open_nodes.append((m, n, d, a + 1))
-                continue
-            wl, gl, wr, gr = r["wl"], r["gl"], r["w"] - r["wl"], r["g"] - r["gl"]
-            left = trees.split(m, n, r["feature"], r["cut"], gl / (wl + rule.penalty), gr / (wr + rule.penalty))
-            if d + 1 < rule.depth:
-                for k, (w, g) in enumerate(((wl, gl), (wr, gr))):
-                    if w >= 2 * rule.least_weight and (rule.tried is None or 0 < g < w):
-                        open_nodes.append((m, left + k, d + 1, 0))
-
-
-def _mixed_node(r) -> bool:
-    return 0 < r["g"] < r["w"]
+        opened = _advance(trees, opened, {n: found.column(n).to_numpy() for n in found.column_names}, width, rule)
+
+
+def _advance(trees: Trees, opened: Open, found: dict[str, np.ndarray], width: int, rule: Rule) -> Open:
+    """Enter the splits found into the trees; the nodes that are open then."""
+    order = np.argsort(found["slot"])
+    slot, w, g, feature, cut, wl, gl = (found[n][order] for n in ("slot", "w", "g", "feature", "cut", "wl", "gl"))
+    model, node, depth, attempt = (a[slot] for a in (opened.model, opened.node, opened.depth, opened.attempt))
+    root = node == 0
+    trees.value[model[root], 0] = g[root] / (w[root] + rule.penalty)
+    again = np.zeros(len(slot), dtype=bool)
+    if rule.tried is not None:
+        again = (feature < 0) & ((attempt + 1) * rule.tried < width) & (0 < g) & (g < w)
+    split = np.flatnonzero(feature >= 0)
+    wl, gl = wl[split], gl[split]
+    wr, gr = w[split] - wl, g[split] - gl
+    left = trees.split(model[split], node[split], feature[split], cut[split], gl / (wl + rule.penalty), gr / (wr + rule.penalty))
+    parts = [(slot[again] * 2, model[again], node[again], depth[again], attempt[again] + 1)]
+    for k, (cw, cg) in enumerate(((wl, gl), (wr, gr))):
+        grows = (depth[split] + 1 < rule.depth) & (cw >= 2 * rule.least_weight)
+        if rule.tried is not None:
+            grows &= (0 < cg) & (cg < cw)
+        at = split[grows]
+        parts.append((slot[at] * 2 + k, model[at], left[grows] + k, depth[at] + 1, np.zeros(len(at), dtype=np.int64)))
+    place, *columns = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(place, kind="stable")
+    return Open(*(c[order] for c in columns))
 
 
 def _targets(piece: pa.RecordBatch, species: int) -> np.ndarray:
@@ -345,7 +408,7 @@ def boost(rows: DataFrame, vector_size: int, features: str, vector: str, key: st
     models = vector_size * len(seeds)
     train = rows.filter(F.col(split) == "train")
     cuts = cut_points(train, features, width)
-    table = materialize(binned(rows, features, vector, key, cuts), "bins")
+    table = materialize(binned(dealt(rows, models, width), features, vector, key, cuts), "bins")
     means = train.select(F.posexplode(vector).alias("s", "v")).groupBy("s").agg(F.avg("v").alias("m")).collect()  # one row a species
     base = np.zeros(vector_size)
     for r in means:
@@ -409,8 +472,8 @@ def forest(rows: DataFrame, vector_size: int, features: str, vector: str, key: s
     """
     models = vector_size * trees
     train = rows.filter(F.col(split) == "train")
-    table = materialize(binned(rows, features, vector, key, cut_points(train, features, width)), "bins")
     rule = Rule(depth, tried=max(1, int(np.sqrt(width))))
+    table = materialize(binned(dealt(rows, models, rule.tried), features, vector, key, cut_points(train, features, width)), "bins")
 
     def draws(piece: pa.RecordBatch, codes: np.ndarray, chosen: np.ndarray):
         present = (_targets(piece, vector_size) > 0).astype(np.float64)[:, chosen // trees]

@@ -145,3 +145,22 @@ def test_poisson_draws_have_mean_one():
     w = trees.poisson_weights(np.arange(20_000, dtype=np.int64) * 7919, np.arange(5), 3)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
     assert (w[:, 0] != w[:, 1]).mean() > 0.3
+
+
+def test_one_file_of_rows_is_dealt_over_the_tasks_its_work_is_worth(spark):
+    x, y, split = _data(60)
+    df = _frame(spark, x, y, split).coalesce(1)
+    assert trees.dealt(df, 4, 5).rdd.getNumPartitions() == 1  # little work
+    cores = spark.sparkContext.defaultParallelism
+    assert trees.dealt(df, 40 * trees.LEAST_WORK, 1).rdd.getNumPartitions() == max(cores, -(-2400 * trees.LEAST_WORK // trees.MOST_WORK))
+
+
+def test_pairs_walk_alone_as_they_do_together(monkeypatch):
+    monkeypatch.setattr(trees, "STRIDE", 7)
+    grown = trees.Trees(2)
+    at = grown.split(np.array([0, 1]), np.array([0, 0]), np.array([1, 0]), np.array([3, 5]), np.zeros(2), np.zeros(2))
+    assert at.tolist() == [1, 1]
+    assert grown.split(np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([0, 0, 1]), np.array([2, 6, 1]), np.zeros(3), np.zeros(3)).tolist() == [3, 5, 3]
+    bins = np.random.default_rng(1).integers(0, 8, (30, 2)).astype(np.uint8)
+    want = [[(5 + (a > 6) if b > 3 else 3 + (a > 2)), (1 if a <= 5 else 3 + (b > 1))] for a, b in bins]
+    assert trees.leaves(grown.arrays(), bins, np.arange(2)).tolist() == want
