@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import arrays
 from fieldmark.operators import cells, distribution
+from fieldmark.session import materialize
 
 
 class Axis(NamedTuple):
@@ -100,6 +102,34 @@ def overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis]) -> Dat
     return joined.filter(keep).select("l", "r")
 
 
+def _ends(axes: Sequence[Axis]) -> list[str]:
+    return [c for a in axes for c in (a.low, a.high)]
+
+
+def shared_overlap_join(left: DataFrame, right: DataFrame, axes: Sequence[Axis]) -> DataFrame:
+    """The pairs of :func:`overlap_join` where rows of ``left`` share their boxes, as the scenes of a tile do.
+
+    Equal boxes are compared once with the right side; the pairs of boxes and right rows then meet the rows of the box in an
+    equi-join, so the work is that of the boxes and of the pairs that there are.
+    """
+    ends = {c: f"_e{i}" for i, c in enumerate(_ends(axes))}
+    own = {c: end for a in axes for c, end in ((a.low, _low(a)), (a.high, _high(a)))}
+    rows = materialize(_placed(left, axes).select(*[own[c].alias(e) for c, e in ends.items()], F.struct(*left.columns).alias("l")), "boxed")
+    places = rows.select(*[F.col(e).alias(c) for c, e in ends.items()]).distinct()
+    met = overlap_join(right, places, axes).select(*[F.col(f"r.{c}").alias(e) for c, e in ends.items()], F.col("l").alias("r"))
+    return cells.join(materialize(met, "met"), rows, list(ends.values()), F.xxhash64("r")).select("l", "r")
+
+
+def merged_spans(df: DataFrame, keys: Sequence[str], axis: Axis) -> DataFrame:
+    """(keys, low, high): the closed intervals of each key joined where they overlap; a missing end is open, low > high is empty."""
+    each = df.select(*keys, _low(axis).alias(axis.low), _high(axis).alias(axis.high)).distinct().filter(F.col(axis.low) <= F.col(axis.high))
+    order = Window.partitionBy(*keys).orderBy(axis.low, axis.high)
+    reach = F.max(axis.high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = each.withColumn("_new", F.when(F.col(axis.low) <= reach, 0).otherwise(1))
+    numbered = begun.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_span").agg(F.min(axis.low).alias(axis.low), F.max(axis.high).alias(axis.high)).drop("_span")
+
+
 def as_point_boxes(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Points as boxes without extent."""
     return points.withColumns({"minx": F.col(lon), "maxx": F.col(lon), "miny": F.col(lat), "maxy": F.col(lat)})

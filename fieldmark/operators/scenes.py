@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from fieldmark.operators import boxes, distribution
 
 
-def search(areas: DataFrame, scenes: DataFrame, start: str, end: str, max_cloud: float) -> DataFrame:
+def search(areas: DataFrame, scenes: DataFrame, start: str, end: str, max_cloud: float, clearest: bool = False) -> DataFrame:
     """Scenes whose footprint meets an area, acquired in [start, end], cloud cover below the limit:
-    structs ``l`` (area) and ``r`` (scene).
+    structs ``l`` (area) and ``r`` (scene). With ``clearest`` only the least cloudy scene of each footprint, ties by scene id.
 
-    Date and cloud limits are applied to the catalogue before the spatial join, where the scan can use them.
+    Date and cloud limits are applied to the catalogue before the spatial join, where the scan can use them. Scenes
+    with the same footprint are compared with the areas once.
     """
     fit = scenes.filter(F.col("acquired").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (F.col("cloud") < max_cloud))
-    pairs = boxes.overlap_join(fit, areas, [boxes.LON, boxes.LAT])
+    axes = [boxes.LON, boxes.LAT]
+    if clearest:
+        best = F.min_by(F.struct(*fit.columns), F.struct("cloud", "scene_id")).alias("s")
+        return boxes.overlap_join(areas, fit.groupBy(*[c for a in axes for c in (a.low, a.high)]).agg(best).select("s.*"), axes)
+    pairs = boxes.shared_overlap_join(fit, areas, axes)
     return pairs.select(F.col("r").alias("l"), F.col("l").alias("r"))
 
 
@@ -55,6 +60,11 @@ def tile_query(queries: DataFrame, tiles: DataFrame, axes, key: str, strict: boo
     return checked.withColumn("tile_id", F.when(F.col("tile_id").isNull(), F.raise_error(message).cast("bigint")).otherwise(F.col("tile_id")))
 
 
+def tile_spans(scenes: DataFrame, axes: Sequence[boxes.Axis], time: boxes.Axis) -> DataFrame:
+    """Tiles with their footprint on ``axes`` and the spans of time that their scenes cover, instead of one box for each scene."""
+    return boxes.merged_spans(scenes, ["tile_id", *[c for a in axes for c in (a.low, a.high)]], time)
+
+
 def sibling_name(name: Column, band: str, resolution: str) -> Column:
     """Name of the same tile's file for another band and resolution."""
     return F.regexp_replace(F.regexp_replace(name, r"_B\w\w_", f"_{band}_"), r"_\d+m\.", f"_{resolution}.")

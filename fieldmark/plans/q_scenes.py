@@ -14,8 +14,9 @@ WITH f AS (SELECT q.site_key, b.scene_id, b.cloud FROM {SITE_BOX} q JOIN {SCENE_
   WHERE acquired BETWEEN DATE '1998-06-01' AND DATE '1998-07-31' AND cloud < 10)"""
 
 
-def found(d):
-    return scenes.search(site_boxes(d).drop("mint", "maxt"), scene_boxes(d), "1998-06-01", "1998-07-31", 10)
+def found(d, clearest=False):
+    areas = site_boxes(d).drop("hotspot_id", "mint", "maxt")
+    return scenes.search(areas, scene_boxes(d).drop("tile_id", "mint", "maxt"), "1998-06-01", "1998-07-31", 10, clearest)
 
 
 @query("scene_search", FOUND + " SELECT site_key, scene_id FROM f")
@@ -26,7 +27,7 @@ def scene_search(d):
 @query("least_cloudy", FOUND + """
 SELECT site_key, scene_id, cloud FROM (SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY cloud, scene_id) AS rk FROM f) t WHERE rk = 1""", "cloud")
 def least_cloudy(d):
-    return scenes.least_cloudy(found(d), "site_key")
+    return scenes.least_cloudy(found(d, clearest=True), "site_key")
 
 
 PIXELS = "(SELECT patch_key % 25 AS tile, band, y, x, CASE WHEN (patch_key + band + y + x) % 3 = 0 OR (patch_key % 25 < 2 AND x = 1) THEN NULL ELSE value END AS value FROM fx_image) i"
@@ -91,7 +92,9 @@ def tile_query(d):
 
 @query("tile_query_in_time", f"SELECT DISTINCT q.site_key, b.tile_id FROM {SITE_BOX} q JOIN {SCENE_BOX} b ON {OVERLAP}")
 def tile_query_in_time(d):
-    return scenes.tile_query(site_boxes(d), scene_boxes(d), [boxes.LON, boxes.LAT, DAYS], "site_key").distinct()
+    """The scenes of a tile count as the spans of time that they cover together."""
+    place = [boxes.LON, boxes.LAT]
+    return scenes.tile_query(site_boxes(d).drop("hotspot_id"), scenes.tile_spans(scene_boxes(d), place, DAYS), [*place, DAYS], "site_key").distinct()
 
 
 @query("mosaic_first", """

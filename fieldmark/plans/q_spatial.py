@@ -136,7 +136,8 @@ def scene_boxes(d):
 @query("bbox_intersect_join", f"""
 SELECT q.site_key, b.scene_id FROM {SITE_BOX} q JOIN {SCENE_BOX} b ON {OVERLAP}""")
 def bbox_intersect_join(d):
-    pairs = boxes.overlap_join(scene_boxes(d), site_boxes(d), [boxes.LON, boxes.LAT, DAYS])
+    scene_side = scene_boxes(d).drop("tile_id", "cloud", "acquired")
+    pairs = boxes.shared_overlap_join(scene_side, site_boxes(d).drop("hotspot_id"), [boxes.LON, boxes.LAT, DAYS])
     return pairs.select("r.site_key", "l.scene_id")
 
 

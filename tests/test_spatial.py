@@ -297,3 +297,42 @@ def test_points_without_coordinates_stay_and_meet_nothing(spark):
     wide = spark.createDataFrame([(i, -91.0, -89.0, 39.0, 42.0) for i in range(50)], "b bigint, minx double, maxx double, miny double, maxy double")
     pairs = boxes.overlap_join(boxes.as_point_boxes(df), wide.union(spark.createDataFrame([(99, None, -89.0, 39.0, 42.0)], wide.schema)), [boxes.LON, boxes.LAT])
     assert {(r["l"]["k"], r["r"]["b"]) for r in pairs.collect()} == {(k, b) for k in (1, 3) for b in range(50)}
+
+
+def _odd_boxes(rows):
+    """Boxes that share places: twins, missing ends, empty spans."""
+    return [(k, float(k % 3), float(k % 3) + 0.7, None if k % 11 == 0 else float(k % 5), None if k % 13 == 0 else float(k % 5) + (-1.0 if k % 7 == 0 else 2.0))
+            for k in range(rows)]
+
+
+def test_shared_boxes_give_the_pairs_of_the_plain_join_and_are_compared_once(spark, monkeypatch):
+    from fieldmark.operators import cells
+    schema = "k int, minx double, maxx double, mint double, maxt double"
+    axes = [boxes.Axis("minx", "maxx", open_ends=False), boxes.Axis("mint", "maxt", 1.0)]
+    left = spark.createDataFrame(_odd_boxes(200) + _odd_boxes(3) + [(None, None, 1.0, 0.0, 1.0)], schema)
+    right = spark.createDataFrame(_odd_boxes(40), schema)
+    compared, plain = [], cells.join
+    monkeypatch.setattr(cells, "join", lambda a, b, keys, spread: (compared.append((a.count(), b.count())), plain(a, b, keys, spread))[1])
+    want = sorted(boxes.overlap_join(left, right, axes).select("l.k", "r.k").collect())
+    got = sorted(boxes.shared_overlap_join(left, right, axes).select("l.k", "r.k").collect())
+    assert got == want and want
+    placed = {r[1:] for r in left.collect() if r.minx is not None}
+    assert compared[1][1] < compared[0][0] / 2 and len(placed) < 100
+
+
+def test_spans_of_a_key_cover_the_same_time(spark):
+    rows = [("a", 1.0, 3.0), ("a", 3.0, 4.0), ("a", 2.0, 2.5), ("a", 6.0, 5.0), ("a", 7.0, 8.0), ("a", 7.0, 8.0), ("b", None, 1.0), ("b", 0.0, 2.0), (None, 5.0, None)]
+    got = boxes.merged_spans(spark.createDataFrame(rows, "k string, mint double, maxt double"), ["k"], boxes.Axis("mint", "maxt", 1.0)).collect()
+    assert {tuple(r) for r in got} == {("a", 1.0, 4.0), ("a", 7.0, 8.0), ("b", -1e15, 2.0), (None, 5.0, 1e15)} and len(got) == 4
+
+
+def test_the_clearest_scene_of_a_footprint_stands_for_it(spark):
+    from fieldmark.operators import scenes
+    areas = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0), (2, 5.0, 6.0, 0.0, 1.0)], "site_key int, minx double, maxx double, miny double, maxy double")
+    rows = [(k, 0.5 + 5 * (k % 2), 0.9 + 5 * (k % 2), 0.0, 1.0, "2020-06-01", float(k // 4)) for k in range(12)]
+    catalogue = spark.createDataFrame(rows, "scene_id int, minx double, maxx double, miny double, maxy double, acquired string, cloud double").withColumn(
+        "acquired", F.col("acquired").cast("date"))
+    asked = ("2020-01-01", "2020-12-31", 2.0)
+    all_pairs, best = (scenes.search(areas, catalogue, *asked, clearest=c) for c in (False, True))
+    assert all_pairs.count() == 8 and best.count() == 2
+    assert sorted(scenes.least_cloudy(best, "site_key").collect()) == sorted(scenes.least_cloudy(all_pairs, "site_key").collect()) == [(1, 0, 0.0), (2, 1, 0.0)]
