@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import arrays
 from fieldmark.operators import encounter
-from fieldmark.session import materialize
+from fieldmark.session import materialize, widen
 
 EXCLUDED_STATES = ["NATION_3", "NATION_7"]
 SUMMER, WINTER = [6, 7], [12, 1]
+#: Log rows of one task of a join or an aggregate, in the mean.
+ROWS_PER_TASK = 200_000
 
 
 def _coordinates(key: Column) -> tuple[Column, Column, Column]:
@@ -57,9 +59,21 @@ class Inputs:
                         F.col("n_name").alias("state"), F.col("r_name").alias("country"),
                         lat.alias("lat"), lon.alias("lon")))
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks for a shuffle of the log: the session's number, more where the log is too long for that."""
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(usual, -(-self.table("lineitem").count() // ROWS_PER_TASK))
+
+    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows by ``key`` over as many tasks as the log needs; left to the planner where the session's number will do."""
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(self.tasks, key) if self.tasks > usual else rows
+
     @cached_property
     def obs(self) -> DataFrame:
         line, orders, part = self.table("lineitem"), self.table("orders"), self.table("part")
+        widen(self.spark, self.tasks)
         return (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                 .join(part, F.col("l_partkey") == F.col("p_partkey"))
                 .join(self.loc, F.col("l_suppkey") == F.col("loc_key"))

@@ -67,12 +67,15 @@ def running_metrics(d):
 
 
 def _arrivals(d, rows, path):
-    """``rows`` as four files that arrive one after the other, two years each; one row in twenty comes a file late."""
+    """The stream of ``rows`` in four deliveries, two years each, one row in twenty a delivery late: yields it after every delivery.
+
+    The rows are written once; each delivery is as many files as its rows fill.
+    """
     chunk = F.floor((F.year("obs_date") - 1992) / 2) + F.when(F.crc32("checklist_id") % 20 == 0, 1).otherwise(0)
-    chunks = rows.withColumn("chunk", F.greatest(F.lit(0), F.least(F.lit(3), chunk)))
+    chunks = session.materialize(rows.withColumn("chunk", F.greatest(F.lit(0), F.least(F.lit(3), chunk))), "arrivals")
     for k in range(4):
-        chunks.filter(F.col("chunk") == k).drop("chunk").coalesce(1).write.mode("append").parquet(path)
-    return ingest.files(d.spark, path, rows.schema, per_trigger=1)
+        chunks.filter(F.col("chunk") == k).drop("chunk").write.mode("append").parquet(path)
+        yield ingest.files(d.spark, path, rows.schema)
 
 
 @query("streaming_encounter", """
@@ -86,9 +89,9 @@ def streaming_encounter(d):
     """Windows of 30 days over the log as a stream, late rows included: exact rates, and whether the sketches come within 5 %."""
     rows = d.obs.filter(F.col("complete") == 1).select("hotspot_id", "checklist_id", "species", "obs_date", F.col("obs_date").cast("timestamp").alias("at"))
     path = session.scratch_path(d.spark, "encounters")
-    log = _arrivals(d, rows, f"{path}/log")
-    encounters.stream_sketches(log, "at", "30 days", "800 days", f"{path}/sketches", f"{path}/sketches-checkpoint")
-    encounters.stream_distinct(log, "at", "30 days", "800 days", f"{path}/distinct", f"{path}/distinct-checkpoint")
+    for log in _arrivals(d, rows, f"{path}/log"):
+        encounters.stream_sketches(log, "at", "30 days", "800 days", f"{path}/sketches", f"{path}/sketches-checkpoint")
+        encounters.stream_distinct(log, "at", "30 days", "800 days", f"{path}/distinct", f"{path}/distinct-checkpoint")
     exact = encounters.exact_rates(d.spark.read.parquet(f"{path}/distinct"))
     near = encounters.approximate_rates(encounters.latest_windows(d.spark, f"{path}/sketches")).select(
         "window", "hotspot_id", "species", F.col("reports").alias("about"), F.col("checklists").alias("about_all"))

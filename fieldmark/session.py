@@ -41,6 +41,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def widen(spark: SparkSession, tasks: int) -> None:
+    """Let shuffles begin with ``tasks`` partitions at least; adaptive execution joins small ones and splits hot ones as before."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(usual, tasks)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one in local tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
