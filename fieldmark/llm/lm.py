@@ -11,6 +11,7 @@ is broadcast; the others are in one filter for each shard of the pair hash, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ WORD_SHARE = 2.5e-7
 BITS, PROBES = 12, 6
 #: Taken off each pair's count; it goes to the single words.
 DISCOUNT = 0.75
+#: Texts are scored in so many parts, one after the other; only the pairs of one are on the way to the shards.
+PARTS = 3
+#: Filters up to so many bits are set in an array of flags.
+FLAGS = 1 << 26
 _END = tokens.mix(np.array([1], dtype=np.uint64))[0]
 
 
@@ -64,6 +69,14 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+def _summed(keys: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sum of their counts and the first word that each has wherever it stands."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[new], np.add.reduceat(n[order], new) if len(new) else n, v[order[new]]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, summed over some megabytes of text at a time."""
     for batch in batches:
@@ -88,9 +101,8 @@ def _count_pairs(shards: int):
     """Counts of pairs and the first word of each, packed by shard."""
 
     def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        keys, n = _tally([p[:2] for p in parts])
-        _, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        rows = _dealt(_shard(keys, shards), {"h": keys, "n": n, "v": np.concatenate([p[2] for p in parts])[first]})
+        keys, n, v = _summed(*map(np.concatenate, zip(*parts)))
+        rows = _dealt(_shard(keys, shards), {"h": keys, "n": n, "v": v})
         return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in "hnv"]], ["shard", *"hnv"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +111,7 @@ def _count_pairs(shards: int):
             for found in tokens.words(batch.column("_text")):
                 text, token = _with_ends(found)
                 at, key = _pairs(text, token)
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                parts.append((key, n, token[at[first] - 1]))
+                parts.append(_summed(key, np.ones(len(key), dtype=np.int64), token[at - 1]))
                 if sum(len(p[0]) for p in parts) >= GATHERED:
                     yield packed(parts)
                     parts = []
@@ -121,10 +132,7 @@ def _build(least: int):
     """The filter of a shard, its pairs of at least ``least``, which are left out of it, and what pairs take from their first words."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys, back = np.unique(_bytes(rows.column("h"), np.uint64), return_inverse=True)
-        n = np.bincount(back, _bytes(rows.column("n"), np.int64), len(keys)).astype(np.int64)
-        v = np.zeros(len(keys), dtype=np.uint64)
-        v[back] = _bytes(rows.column("v"), np.uint64)
+        keys, n, v = _summed(_bytes(rows.column("h"), np.uint64), _bytes(rows.column("n"), np.int64), _bytes(rows.column("v"), np.uint64))
         words, spot = np.unique(v, return_inverse=True)
         taken = np.bincount(spot, np.maximum(count_of(level_of(n)) - DISCOUNT, 0), len(words))
         often = n >= least
@@ -147,6 +155,12 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 2.0 ** ((levels - 1) / 2), 0.0)
 
 
+def _steps(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of a level begin, and the way from one to the next."""
+    one = tokens.mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
+    return one, tokens.mix(one) | np.uint64(1)
+
+
 class LogFrequencyFilter:
     """Bloom filter of (key, level); a key's level is 1 + floor(2 log2 count)."""
 
@@ -160,16 +174,31 @@ class LogFrequencyFilter:
         while size < BITS * max(1, int(levels.sum())):
             size *= 2
         made = cls(np.zeros(size // 8, dtype=np.uint8))
+        flags = np.zeros(size if size <= FLAGS else 0, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for spot in made._spots(keys[levels >= level], level):
-                np.bitwise_or.at(made.bits, spot >> np.uint64(3), (np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8)))
+            one, two = _steps(keys[levels >= level], level)
+            for k in range(PROBES):
+                spot = made._spot(one, two, k)
+                if len(flags):
+                    flags[spot] = True
+                else:
+                    np.bitwise_or.at(made.bits, spot >> np.uint64(3), (np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8)))
+        if len(flags):
+            made.bits = np.packbits(flags, bitorder="little")
         return made
 
-    def _spots(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        one = tokens.mix(keys + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
-        two = tokens.mix(one) | np.uint64(1)
+    def _spot(self, one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+        return (one + np.uint64(k) * two) & np.uint64(len(self.bits) * 8 - 1)
+
+    def at_level(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """Which keys have every probe of a level say yes; only those that did so far are probed further."""
+        found = np.arange(len(keys))
+        one, two = _steps(keys, level)
         for k in range(PROBES):
-            yield (one + np.uint64(k) * two) & np.uint64(len(self.bits) * 8 - 1)
+            spot = self._spot(one, two, k)
+            yes = (self.bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            found, one, two = found[yes], one[yes], two[yes]
+        return found
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Highest level up to which every probe says yes, 0 for keys that aren't there."""
@@ -177,10 +206,7 @@ class LogFrequencyFilter:
         left, level = np.arange(len(keys)), 0
         while len(left):
             level += 1
-            yes = np.ones(len(left), dtype=bool)
-            for spot in self._spots(keys[left], level):
-                yes &= (self.bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-            left = left[yes]
+            left = left[self.at_level(keys[left], level)]
             out[left] = level
         return out
 
@@ -208,8 +234,14 @@ class Model:
 
     def frequent(self, keys: np.ndarray) -> np.ndarray:
         """Counts of the frequent pairs among the keys, 0 for the others."""
-        levels = self.pairs.levels(keys)
-        return np.where(levels >= level_of(np.array([self.least]))[0], count_of(levels), 0.0)
+        least = int(level_of(np.array([self.least]))[0])
+        out = np.zeros(len(keys))
+        # most pairs that aren't frequent fail at the least level, before the levels below it are probed
+        some = self.pairs.at_level(keys, least)
+        each, back = np.unique(keys[some], return_inverse=True)
+        levels = self.pairs.levels(each)
+        out[some] = np.where(levels >= least, count_of(levels), 0.0)[back]
+        return out
 
 
 def _bounded(counts: DataFrame) -> list[np.ndarray]:
@@ -299,40 +331,43 @@ def _packed(k: np.ndarray, h: np.ndarray, first: np.ndarray, base: np.ndarray, s
     return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in QUERIED]], ["shard", *QUERIED])
 
 
-def _pairs_left(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text key, pair, first, second, whether each is known, count of the first, chance as a single word of the second times
-    what pairs leave after the first) of the pairs that aren't frequent; unknown words leave their part out."""
+def _known_pairs(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of known words that aren't frequent, packed: with the count of the first, and the chance as a single word of the
+    second times what pairs leave after the first."""
+    parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         keys = batch.column("_key").to_numpy()
         for found in tokens.words(batch.column("_text")):
             text, token = _with_ends(found)
             often, count, single, leaves = model.known(token)
             at, key = _pairs(text, token)
+            both = often[at - 1] & often[at]
+            at, key = at[both], key[both]
             rest = model.frequent(key) == 0
             at, key = at[rest], key[rest]
-            base = np.where(often[at], single[at], 1.0) * leaves[at - 1]
-            yield keys[found.begin + text[at]], key, token[at - 1], token[at], often[at - 1], often[at], count[at - 1], base
-
-
-def _known_pairs(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Iterator[pa.RecordBatch]:
-    parts: list[tuple[np.ndarray, ...]] = []
-    for k, h, _, _, a, b, first, base in _pairs_left(batches, model):
-        use = a & b
-        parts.append((k[use], h[use], first[use], base[use]))
-        if sum(len(p[0]) for p in parts) >= GATHERED:
-            yield _packed(*map(np.concatenate, zip(*parts)), shards)
-            parts = []
+            parts.append((keys[found.begin + text[at]], key, count[at - 1], single[at] * leaves[at - 1]))
+            if sum(len(p[0]) for p in parts) >= GATHERED:
+                yield _packed(*map(np.concatenate, zip(*parts)), shards)
+                parts = []
     if parts:
         yield _packed(*map(np.concatenate, zip(*parts)), shards)
 
 
 def _other_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Pairs with a word whose count is yet to be joined; a known word has the pair's hash in its place, which no word has."""
-    for k, h, v, w, a, b, first, base in _pairs_left(batches, model):
-        use = ~(a & b)
-        v, w = np.where(a, h, v)[use], np.where(b, h, w)[use]
-        yield pa.RecordBatch.from_arrays([pa.array(k[use]), tokens.signed(h[use]), tokens.signed(v), tokens.signed(w), pa.array(a[use]), pa.array(b[use]),
-                                          pa.array(first[use].astype(np.float64)), pa.array(base[use])], ["k", "h", "v", "w", "a", "b", "first", "base"])
+    """Pairs with a word whose count is yet to be joined, none of which is frequent; a known word has the pair's hash in its
+    place, which no word has, and an unknown one leaves its part out."""
+    for batch in batches:
+        keys = batch.column("_key").to_numpy()
+        for found in tokens.words(batch.column("_text")):
+            text, token = _with_ends(found)
+            often, count, single, leaves = model.known(token)
+            at, h = _pairs(text, token)
+            use = ~(often[at - 1] & often[at])
+            at, h = at[use], h[use]
+            a, b = often[at - 1], often[at]
+            base = np.where(b, single[at], 1.0) * leaves[at - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[found.begin + text[at]]), tokens.signed(h), tokens.signed(np.where(a, h, token[at - 1])), tokens.signed(np.where(b, h, token[at])),
+                                              pa.array(count[at - 1].astype(np.float32)), pa.array(base)], ["k", "h", "v", "w", "first", "base"])
 
 
 def _probe(held: pa.Table, asked: pa.Table) -> pa.Table:
@@ -349,25 +384,37 @@ def _probe(held: pa.Table, asked: pa.Table) -> pa.Table:
 
 
 def _gains(keyed: DataFrame, shared, words: DataFrame, filters: DataFrame, shards: int, least_known: int, size: float) -> DataFrame:
-    """(k, gain): what pairs that aren't frequent add to the score of the texts with a key, summed over rows that repeat."""
-    texts = keyed.select("_key", "_text")
+    """(k, gain): what pairs that aren't frequent add to the score of the texts with a key, summed over rows that repeat.
+
+    Each part of the texts is written before the next begins, so the pairs of all are never on disk at once.
+    """
+    parts = []
+    for part in range(PARTS):
+        texts = keyed.select("_key", "_text").filter(F.pmod(F.col("_key"), F.lit(PARTS)) == part)
+        parts.append(materialize(_gains_of(texts, shared, words, filters, shards, least_known, size), "gains"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _gains_of(texts: DataFrame, shared, words: DataFrame, filters: DataFrame, shards: int, least_known: int, size: float) -> DataFrame:
     asked = texts.mapInArrow(lambda batches: _known_pairs(batches, Model(*shared.value), shards), QUERIES_KIND)
     if least_known > 1:  # else every word of the training texts is known, and pairs with others have not been seen
         rows = texts.mapInArrow(lambda batches: _other_pairs(batches, Model(*shared.value)),
-                                "k bigint, h bigint, v bigint, w bigint, a boolean, b boolean, first double, base double")
+                                "k bigint, h bigint, v bigint, w bigint, first float, base double")
+        a, b = F.col("v") == F.col("h"), F.col("w") == F.col("h")
         rare = words.filter(F.col("n") < least_known)
         one = rare.select(F.col("h").alias("v"), F.col("n").alias("n1"), F.greatest(1 - F.col("explained"), F.lit(1e-6)).alias("left"))
         two = rare.select(F.col("h").alias("w"), F.col("n").alias("n2"))
-        rows = rows.join(one, "v", "left").filter("a OR n1 IS NOT NULL").join(two, "w", "left").filter("b OR n2 IS NOT NULL")
-        rows = rows.select("k", "h", F.when(F.col("a"), F.col("first")).otherwise(F.col("n1")).alias("first"),
-                           (F.col("base") * F.when(F.col("a"), 1.0).otherwise(F.col("left")) * F.when(F.col("b"), 1.0).otherwise((F.col("n2") + 1) / F.lit(size))).alias("base"))
+        rows = rows.join(one, "v", "left").filter(a | F.col("n1").isNotNull())
+        rows = rows.select("k", "h", "w", F.when(a, F.col("first")).otherwise(F.col("n1")).cast("float").alias("first"), (F.col("base") * F.when(a, 1.0).otherwise(F.col("left"))).alias("base"))
+        rows = rows.join(two, "w", "left").filter(b | F.col("n2").isNotNull())
+        rows = rows.select("k", "h", "first", (F.col("base") * F.when(b, 1.0).otherwise((F.col("n2") + 1) / F.lit(size))).alias("base"))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 k, h, first, base = (batch.column(c).to_numpy() for c in ("k", "h", "first", "base"))
                 yield _packed(k, h.view(np.uint64), first, base, shards)
 
-        asked = asked.unionByName(rows.mapInArrow(pack, QUERIES_KIND))
+        asked = asked.unionByName(materialize(rows.mapInArrow(pack, QUERIES_KIND), "rare-pairs"))
     found = filters.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_probe, "k bigint, gain double")
     return found.groupBy("k").agg(F.sum("gain").alias("gain"))
 
@@ -396,7 +443,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     left = F.log10(F.greatest(1 - F.col("explained"), F.lit(1e-6)))
     rest = seen.groupBy("_id", "_key").agg(F.sum(F.col("times") * logs).alias("more"), F.sum(F.col("times") * left).alias("after"),
                                            F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more_known"))
-    rest = rest.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "more", "after", "more_known")
+    rest = materialize(rest.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "more", "after", "more_known"), "rare-words")
     gains = _gains(keyed, shared, words, filters, shards, _least_known(model.total), size)
     found = one.drop("rare", "times").join(rest, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
     found = found.join(gains, F.col("_key") == F.col("k"), "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,9 @@ ADAPTIVE = {
 # on one machine, small but compute-heavy stages (edge tests, patch arithmetic) should still use all cores
 LOCAL = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
 
+#: Shuffle files go when the statement that wrote them ends, not when the driver's garbage happens to be collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build(app: str = "fieldmark", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -41,6 +46,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for what is run meanwhile; those before come back."""
+    usual = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in usual.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def widen(spark: SparkSession, tasks: int) -> None:
     """Let shuffles begin with ``tasks`` partitions at least; adaptive execution joins small ones and splits hot ones as before."""
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -67,10 +88,11 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage: write ``df`` to shared storage and read it back.
 
     Unlike cached blocks the files outlive lost executors, and their size is known, so later joins are
-    planned on measured bytes.
+    planned on measured bytes. What was shuffled for them isn't read again, so it goes with the write.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    with settings(spark, {CLEANUP: "true"}):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
