@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from fieldmark.llm import tokens
 from fieldmark.llm.common import BROADCAST_BYTES, if_small, look_up, materialize, table, text_hash, without
 from fieldmark.operators.spatial import connected_components
+from fieldmark.session import settings
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -37,6 +38,8 @@ PIVOTS = 4
 BLOCK, BLOCK_CLASSES = 500_000, 2_000
 #: Shingles that a task holds before it hands them on.
 HELD = 1 << 20
+#: Bytes of texts that a Python task is handed at once.
+ARROW_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _LAST = np.uint64(1 << 62)
 
 
@@ -322,6 +325,11 @@ def similarity_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _components(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _raw, n, first): each row with the hash of its text and the first row (_id, _raw) of its component, smallest id first."""
+    with settings(df.sparkSession, {ARROW_BATCH: str(BATCH_BYTES)}):
+        return _found(df, id_col, text_col)
+
+
+def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_raw"), F.col(text_col).alias("_text"))
     kind = df.schema[id_col].dataType.simpleString()
