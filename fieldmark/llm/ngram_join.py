@@ -29,8 +29,10 @@ FRAGMENTS = 4
 #: at most 1 / COMMON_SHARE shingles do, whatever the corpus.
 COMMON_SHARE = 2.5e-7
 COMMON_LEAST = 8
-#: One text in so many, by its hash, has all its shingles counted, not only the prefix. Counts only shape the order; any order is exact.
-COUNTED = 8
+#: The same of all shingles of all texts, in the prefix or not: this share of them, and so many texts at least.
+COMMON_TEXTS = 64
+#: Bytes of shingles that a task counts at once.
+COUNT_BYTES = 32 << 20
 #: Members of a shingle, of its largest component and of the others, that are compared with all outside their component in
 #: the first round after the hubs; each further round takes four times as many.
 PIVOTS = 4
@@ -91,20 +93,48 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_raw"), pa.array(n), tokens.signed(sig), tokens.lists(flat, lengths)], ["_id", "_raw", "n", "sig", "prefix"])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of all texts by their first ``bits`` bits, packed: those met once so far, those met more often and how often."""
+
+    def packed(kept: list[np.ndarray]) -> pa.RecordBatch:
+        h, k = np.unique(np.concatenate(kept), return_counts=True)
+        cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(62 - bits))
+        rows = [(b, x[n == 1].tobytes(), x[n > 1].tobytes(), n[n > 1].tobytes()) for b, (x, n) in enumerate(zip(np.split(h, cuts), np.split(k, cuts))) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "once", "more", "k"])
+
+    kept, held = [], 0
     for batch in batches:
-        kept = [own for _, own in _sets(batch.column("_text"))]
-        h, k = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([tokens.signed(h), pa.array(k, pa.int64())], ["h", "k"])
+        for _, own in _sets(batch.column("_text")):
+            kept.append(own)
+            held += len(own)
+            if held > HELD:
+                yield packed(kept)
+                kept, held = [], 0
+    if kept:
+        yield packed(kept)
+
 
+def _frequent(group: pa.Table, limit: int) -> pa.Table:
+    """Shingles of a bucket that ``limit`` texts have."""
+    once, more, k = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("once", np.uint64), ("more", np.uint64), ("k", np.int64)))
+    h, place = np.unique(np.concatenate([once, more]), return_inverse=True)
+    texts = np.bincount(place, np.concatenate([np.ones(len(once), dtype=np.int64), k]), len(h))
+    return pa.table({"h": tokens.signed(h[texts >= limit])})
 
-def _common_shingles(texts: DataFrame, classes: DataFrame) -> np.ndarray:
-    """Shingles that go last, sorted: 2 / COMMON_SHARE at most, whatever the corpus."""
+
+def _common_shingles(texts: DataFrame, classes: DataFrame, total: int) -> np.ndarray:
+    """Shingles that go last, sorted: 2 / COMMON_SHARE at most, whatever the corpus. All texts together have ``total`` shingles.
+
+    Counts are complete, those of prefixes and those of all shingles; the latter travel packed, in buckets of bounded size.
+    """
     prefixes = classes.select(F.explode("prefix").alias("h"), F.lit(1).cast("bigint").alias("k"))
-    found = []
-    for counts in (prefixes, materialize(texts.filter(F.pmod(F.col("_raw"), F.lit(COUNTED)) == 0).select("_text").mapInArrow(_sampled, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1"), "sampled")):
-        limit = max(COMMON_LEAST, int(COMMON_SHARE * (counts.agg(F.sum("k")).first()[0] or 0)))
-        found.append(_unsigned(counts.groupBy("h").agg(F.sum("k").alias("k")).filter(F.col("k") >= limit).select("h")))
+    limit = max(COMMON_LEAST, int(COMMON_SHARE * (prefixes.agg(F.sum("k")).first()[0] or 0)))
+    found = [_unsigned(prefixes.groupBy("h").agg(F.sum("k").alias("k")).filter(F.col("k") >= limit).select("h"))]
+    wide = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * total // COUNT_BYTES)
+    bits, least = wide.bit_length(), max(COMMON_TEXTS, int(COMMON_SHARE * total))
+    counted = texts.select("_text").mapInArrow(lambda batches: _counted(batches, bits), "bucket int, once binary, more binary, k binary")
+    frequent = counted.groupBy("bucket").applyInArrow(lambda group: _frequent(group, least), "h bigint")
+    found.append(_unsigned(materialize(frequent, "frequent")))
     return np.unique(np.concatenate(found))
 
 
@@ -338,7 +368,7 @@ def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = full.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_raw")).alias("least"), F.min("_raw").alias("raw"), F.count("*").alias("members"))
     classes = materialize(classes, "classes")
     # common shingles go last
-    held = _common_shingles(texts, classes)
+    held = _common_shingles(texts, classes, rows.agg(F.sum("n")).first()[0] or 0)
     if len(held):
         new = _reordered(texts, spark.sparkContext.broadcast(held)).groupBy("sig").agg(F.first("common").alias("common"), F.first("prefix").alias("new"))
         classes = classes.join(new, "sig", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new")
