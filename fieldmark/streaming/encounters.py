@@ -3,14 +3,22 @@
 Every log row marks its checklist twice, for the species and for the hotspot as a whole (species NULL). The state keeps one
 sketch for each window, hotspot and species: its size is bounded, whatever the number of checklists. Sketches of
 windows merge, so months roll up to seasons without the log. The watermark decides how long a window takes late rows and when its
-state is dropped. Where exact counts are wanted, distinct marks are the state instead, which grows with the checklists of open windows.
+state is left alone. Where exact counts are wanted, distinct marks are the state instead, which grows with the checklists of open windows.
+
+State is what earlier batches have written, never held in an executor's memory: a batch adds its own sketches, which are merged when they
+are read, and its own marks but those that an earlier batch wrote for a window still open. Watermarks lie beside the checkpoint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.streaming import ingest
+
 #: Base-two logarithm of the slots of a sketch: 4,096 slots, a standard error of about 1.6 %; small counts are exact.
 SKETCH_BITS = 12
 
@@ -20,42 +28,72 @@ def marks(log: DataFrame, time: str, window: str, delay: str, hotspot: str = "ho
 
     Rows without a time, hotspot or checklist mark nothing; rows without a species still mark their checklist.
     """
+    return _marked(_placed(log, time, window, delay, hotspot, checklist, species))
+
+
+def _placed(log: DataFrame, time: str, window: str, delay: str, hotspot: str = "hotspot_id", checklist: str = "checklist_id", species: str = "species") -> DataFrame:
+    """(window, hotspot_id, species, checklist_id) of the rows that mark something, one for each row."""
     known = log.filter(F.col(time).isNotNull() & F.col(hotspot).isNotNull() & F.col(checklist).isNotNull()).withWatermark(time, delay)
-    named = F.when(F.col(species).isNotNull(), F.array(F.lit(None).cast("string"), F.col(species).cast("string"))).otherwise(
-        F.array(F.lit(None).cast("string")))
-    return known.select(F.window(time, window).alias("window"), F.col(hotspot).alias("hotspot_id"), F.explode(named).alias("species"),
+    return known.select(F.window(time, window).alias("window"), F.col(hotspot).alias("hotspot_id"), F.col(species).cast("string").alias("species"),
                         F.col(checklist).alias("checklist_id"))
 
 
+def _marked(placed: DataFrame) -> DataFrame:
+    whole = F.lit(None).cast("string")
+    named = F.when(F.col("species").isNotNull(), F.array(whole, "species")).otherwise(F.array(whole))
+    return placed.select("window", "hotspot_id", F.explode(named).alias("species"), "checklist_id")
+
+
 def sketch_windows(marked: DataFrame) -> DataFrame:
     """(window, hotspot_id, species, sketch, seen_rows): one distinct-count sketch of checklists each."""
     return marked.groupBy("window", "hotspot_id", "species").agg(
         F.hll_sketch_agg("checklist_id", F.lit(SKETCH_BITS)).alias("sketch"), F.count("*").alias("seen_rows"))
 
 
-def _run(stream: DataFrame, mode: str, path: str, checkpoint: str) -> None:
+def _run(log: DataFrame, time: str, window: str, delay: str, path: str, checkpoint: str, made: Callable) -> None:
+    """Write ``made(rows, latest, earlier)`` for each batch: its rows in time dealt by window and hotspot, the latest time of earlier batches, and
+    what those wrote for windows still open; both None if no row came earlier.
+    """
+    lateness = F.expr(f"INTERVAL '{delay}'")
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        # a repeated batch overwrites its own folder, so a retry after a failure adds nothing twice
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # a repeated batch overwrites its own folders, so a retry after a failure adds nothing twice
+        spark, times = batch.sparkSession, f"{checkpoint}/fieldmark-times"
+        batch.agg(F.max(time).alias("latest")).write.mode("overwrite").parquet(f"{times}/batch={batch_id}")
+        past = spark.read.parquet(times).filter(F.col("batch") < batch_id).agg(F.max("latest").alias("latest"))
+        passed, latest = past.select(F.col("latest") - lateness, "latest").first()
+        rows, earlier = _placed(batch, time, window, delay), None
+        if passed is not None:
+            rows = rows.filter(F.col("window.end") > F.lit(passed))
+            earlier = spark.read.parquet(path).filter((F.col("batch") < batch_id) & (F.col("window.end") > F.lit(passed)))
+        made(rows.repartition("window", "hotspot_id"), latest, earlier).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    ingest._finish(log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_sketches(log: DataFrame, time: str, window: str, delay: str, path: str, checkpoint: str) -> None:
-    """Run what has arrived: windows that changed are written with every batch, windows behind the watermark leave the state."""
-    _run(sketch_windows(marks(log, time, window, delay)), "update", path, checkpoint)
+    """Run what has arrived: every batch writes sketches of its rows, without rows of windows behind the watermark."""
+    _run(log, time, window, delay, path, checkpoint, lambda rows, latest, earlier: sketch_windows(_marked(rows)))
 
 
 def latest_windows(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of each window, hotspot and species that :func:`stream_sketches` has written."""
-    versions = spark.read.parquet(path)
-    return versions.groupBy("window", "hotspot_id", "species").agg(F.max_by(F.struct("sketch", "seen_rows"), "batch").alias("s")).select(
-        "window", "hotspot_id", "species", "s.sketch", "s.seen_rows")
+    """Each window, hotspot and species that :func:`stream_sketches` has written, the sketches of all batches merged."""
+    return merged(spark.read.parquet(path).drop("batch").repartition("window", "hotspot_id"), F.col("window"))
 
 
 def stream_distinct(log: DataFrame, time: str, window: str, delay: str, path: str, checkpoint: str) -> None:
-    """Exact form: each mark is written once, when it first arrives; marks of windows behind the watermark leave the state."""
-    _run(marks(log, time, window, delay).dropDuplicates(["window", "hotspot_id", "species", "checklist_id"]), "append", path, checkpoint)
+    """Exact form: each mark is written once, when it first arrives, unless its window is behind the watermark."""
+
+    def fresh(rows: DataFrame, latest, earlier: DataFrame | None) -> DataFrame:
+        found = _marked(rows).distinct()
+        if earlier is None:
+            return found
+        # windows that begin after all that came before hold no earlier mark
+        new = F.col("window.start") > F.lit(latest)
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in found.columns]
+        return found.filter(new).unionByName(found.filter(~new).alias("a").join(earlier.select(*found.columns).alias("b"), reduce(Column.__and__, same), "left_anti"))
+
+    _run(log, time, window, delay, path, checkpoint, fresh)
 
 
 def merged(windows: DataFrame, period: Column) -> DataFrame:
@@ -80,4 +118,5 @@ def approximate_rates(windows: DataFrame, least: int = 0) -> DataFrame:
 
 def exact_rates(distinct: DataFrame, least: int = 0) -> DataFrame:
     """The same from distinct marks."""
-    return _rates(distinct.groupBy("window", "hotspot_id", "species").agg(F.count("*").alias("reports")), least)
+    dealt = distinct.select("window", "hotspot_id", "species").repartition("window", "hotspot_id")
+    return _rates(dealt.groupBy("window", "hotspot_id", "species").agg(F.count("*").alias("reports")), least)
