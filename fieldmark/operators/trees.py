@@ -4,6 +4,10 @@ Features are cut into bins once. For each level, one job adds up the weights and
 feature and bin: tasks ship the cells that they meet, one set for each block of models, and a second stage adds up the blocks and
 picks the split of each open node. Only splits reach the driver, which holds the trees; rows never leave their partition.
 Boosting and forests differ in their row weights, gradients and the features that a node may use.
+
+The trees of a forest don't need each other and grow as large as the rows allow, so no process holds them all. Where the rows fit a task
+as bytes, tasks grow whole trees of one species, add up their votes and forget them. Where they don't, a few trees at a time grow level by
+level and vote.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark.session import materialize
+from fieldmark.session import materialize, scratch_path
 
 # tasks get the code of their functions with the job, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,6 +41,12 @@ STRIDE = 1 << 16
 LEAST_WORK, MOST_WORK = 2_000_000, 64_000_000
 #: Boosting rounds between two writes of the predictions so far.
 REFRESH = 4
+#: Bytes of rows, as bins and bits, with which a task grows whole trees; rows times trees that grow side by side there.
+HELD_BYTES, TOGETHER = 64 << 20, 1 << 18
+#: Nodes of the trees that grow level by level at a time where the rows are more.
+NODES = 4 << 20
+#: Base-two logarithm of the rows whose votes travel together.
+PART = 11
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,18 +217,19 @@ _SPLITS = "slot bigint, w double, g double, feature int, cut int, wl double, gl
 
 @dataclass(frozen=True)
 class Open:
-    """Open nodes, ascending by model; a slot is the place of a node in these arrays."""
+    """Open nodes, ascending by model; a slot is the place of a node in these arrays. Draws go by the model's number plus ``first``."""
 
     model: np.ndarray
     node: np.ndarray
     depth: np.ndarray
     attempt: np.ndarray
+    first: int = 0
 
     def block(self, block: int) -> slice:
         return slice(*np.searchsorted(self.model, (block * BLOCK, (block + 1) * BLOCK)))
 
     def tried(self, where: slice, rule: Rule, width: int, seeds: np.ndarray) -> np.ndarray:
-        return _tried(self.model[where], self.node[where], self.attempt[where], rule, width, seeds)
+        return _tried(self.model[where] + self.first, self.node[where], self.attempt[where], rule, width, seeds)
 
 
 def _partial(batches: Iterator[pa.RecordBatch], gradients: Callable, trees: tuple[np.ndarray, ...], opened: Open, models: np.ndarray,
@@ -279,6 +290,12 @@ def _best(group: pa.Table, rule: Rule, opened: Open, width: int, seeds: np.ndarr
     where = opened.block(group.column("block")[0].as_py())
     tried = opened.tried(where, rule, width, seeds)
     cell, w, g = _summed(*(np.concatenate([np.frombuffer(v, t) for v in group.column(n).to_pylist()]) for n, t in (("cell", np.int64), ("w", np.float64), ("g", np.float64))))
+    found = _choice(cell, w, g, rule, opened.model[where] + opened.first, tried, width, seeds, bins)
+    return pa.table(found | {"slot": found["slot"] + where.start, "feature": pa.array(found["feature"], pa.int32()), "cut": pa.array(found["cut"], pa.int32())})
+
+
+def _choice(cell: np.ndarray, w: np.ndarray, g: np.ndarray, rule: Rule, model: np.ndarray, tried: np.ndarray, width: int, seeds: np.ndarray, bins: int) -> dict[str, np.ndarray]:
+    """The split of each slot from its cells, ascending, their weights and gradients; ``model`` has the model of each slot."""
     line, code = cell // bins, cell % bins  # a line is one slot and feature
     slot = line // tried.shape[1]
     head = np.r_[True, line[1:] != line[:-1]]
@@ -295,20 +312,20 @@ def _best(group: pa.Table, rule: Rule, opened: Open, width: int, seeds: np.ndarr
     # sums differ in their last digits with the order of the tasks, gains that close are equal
     scale = np.maximum(np.abs(g_all * g_all / (w_all + rule.penalty)), 1e-12)
     gain = np.where(gain > 1e-9 * scale, gain, -1.0)
-    size = np.where(gain > 0, np.round(np.log(np.maximum(gain, 1e-300)) * 1e8), -np.inf)
+    gains = np.flatnonzero(gain > 0)
+    size = np.full(len(gain), -np.inf)
+    size[gains] = np.round(np.log(np.maximum(gain[gains], 1e-300)) * 1e8)
     edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
     largest = np.repeat(np.maximum.reduceat(size, edge), np.diff(np.r_[edge, len(slot)]))
     equal = np.flatnonzero((size == largest) & ((size > -np.inf) | np.r_[True, slot[1:] != slot[:-1]]))
     feature = tried.reshape(-1)[line[equal]]
-    models, at = np.unique(opened.model[where], return_inverse=True)
+    models, at = np.unique(model, return_inverse=True)
     rank = _ranks(models, width, seeds)[at[slot[equal]], feature]
     order = np.lexsort((code[equal], rank, slot[equal]))
     order = order[np.r_[True, slot[equal][order][1:] != slot[equal][order][:-1]]]
     first, feature = equal[order], feature[order]
     split = gain[first] > 0
-    return pa.table({
-        "slot": slot[first] + where.start, "w": w_all[first], "g": g_all[first], "feature": pa.array(np.where(split, feature, -1), pa.int32()),
-        "cut": pa.array(code[first], pa.int32()), "wl": wl[first], "gl": gl[first]})
+    return {"slot": slot[first], "w": w_all[first], "g": g_all[first], "feature": np.where(split, feature, -1), "cut": code[first], "wl": wl[first], "gl": gl[first]}
 
 
 def grow(rows: DataFrame, gradients: Callable, models: int, width: int, rule: Rule, seeds: np.ndarray, bins: int = BINS) -> Trees:
@@ -355,13 +372,13 @@ def _picker(shared, rule: Rule, seeds: np.ndarray, bins: int, width: int) -> Cal
     return pick
 
 
-def _grow_group(rows: DataFrame, gradients: Callable, trees: Trees, models: np.ndarray, width: int, rule: Rule, seeds: np.ndarray, bins: int) -> None:
+def _grow_group(rows: DataFrame, gradients: Callable, trees: Trees, models: np.ndarray, width: int, rule: Rule, seeds: np.ndarray, bins: int, first: int = 0) -> None:
     spark = rows.sparkSession
     none = np.zeros(len(models), dtype=np.int64)
-    opened = Open(models.astype(np.int64), none, none, none)
+    opened = Open(models.astype(np.int64), none, none, none, first)
     while len(opened.model):
         # the trees themselves, which the driver holds anyway; of the open nodes, what tells their features apart
-        shared = spark.sparkContext.broadcast((trees.arrays(), (opened.model, opened.node, opened.depth, opened.attempt)))
+        shared = spark.sparkContext.broadcast((trees.arrays(), (opened.model, opened.node, opened.depth, opened.attempt, first)))
         cells = rows.mapInArrow(_adder(shared, gradients, models, rule, seeds, bins, width), _CELLS)
         found = cells.groupBy("block").applyInArrow(_picker(shared, rule, seeds, bins, width), _SPLITS).toArrow()  # one row for each open node
         shared.unpersist()
@@ -391,7 +408,7 @@ def _advance(trees: Trees, opened: Open, found: dict[str, np.ndarray], width: in
         parts.append((slot[at] * 2 + k, model[at], left[grows] + k, depth[at] + 1, np.zeros(len(at), dtype=np.int64)))
     place, *columns = (np.concatenate(c) for c in zip(*parts))
     order = np.argsort(place, kind="stable")
-    return Open(*(c[order] for c in columns))
+    return Open(*(c[order] for c in columns), opened.first)
 
 
 def _targets(piece: pa.RecordBatch, species: int) -> np.ndarray:
@@ -473,27 +490,156 @@ def forest(rows: DataFrame, vector_size: int, features: str, vector: str, key: s
     models = vector_size * trees
     train = rows.filter(F.col(split) == "train")
     rule = Rule(depth, tried=max(1, int(np.sqrt(width))))
-    table = materialize(binned(dealt(rows, models, rule.tried), features, vector, key, cut_points(train, features, width)), "bins")
+    table = binned(dealt(rows, models, rule.tried), features, vector, key, cut_points(train, features, width))
+    table = materialize(table.withColumn("_place", F.monotonically_increasing_id()), "bins")
+    votes = _voted_whole if table.count() * (width + vector_size // 8 + 18) <= HELD_BYTES else _voted_by_level
+    return _with_votes(table, votes(table, vector_size, trees, seed, rule, split, width), vector_size, trees)
+
+
+_VOTES = "part bigint, species int, block int, at int, total binary"
+
+
+def _vote_rows(place: np.ndarray, sums: np.ndarray, species: Sequence[int], block: int) -> pa.RecordBatch:
+    """Sums of the votes of ascending places by species, one row for each species and run of places in one part."""
+    part = place >> PART
+    begin = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(part) != 0)]) if len(place) else np.zeros(0, dtype=np.int64)
+    runs = list(zip(begin, np.r_[begin[1:], len(place)]))
+    columns = [np.repeat(part[begin], len(species)), np.tile(np.asarray(species, dtype=np.int32), len(runs)), np.full(len(runs) * len(species), block, dtype=np.int32),
+               np.repeat((place[begin] & ((1 << PART) - 1)).astype(np.int32), len(species))]
+    total = [np.ascontiguousarray(sums[a:b, k]).tobytes() for a, b in runs for k in range(len(species))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(total, pa.binary())], ["part", "species", "block", "at", "total"])
+
+
+def _with_votes(table: DataFrame, votes: DataFrame, species: int, trees: int) -> DataFrame:
+    """``table`` with ``p``, the votes of each row over the number of trees."""
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        sums = np.zeros((species, 1 << PART))
+        for v in sorted(right.to_pylist(), key=lambda v: (v["species"], v["block"])):  # always added up in this order
+            total = np.frombuffer(v["total"], np.float64)
+            sums[v["species"], v["at"]:v["at"] + len(total)] += total
+        p = sums[:, left.column("_place").to_numpy() & ((1 << PART) - 1)].T / trees
+        offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * species)
+        return left.drop_columns(["_part"]).append_column("_p", pa.ListArray.from_arrays(offsets, pa.array(p.ravel())))
+
+    schema = T.StructType([*table.schema.fields, T.StructField("_p", T.ArrayType(T.DoubleType()))])
+    by_part = table.withColumn("_part", F.shiftright("_place", PART)).groupBy("_part")
+    voted = by_part.cogroup(votes.groupBy("part")).applyInArrow(joined, schema)
+    return voted.withColumn("p", F.col("_p")).drop("_p", "_place", "_row", "_bins", "_y")
 
-    def draws(piece: pa.RecordBatch, codes: np.ndarray, chosen: np.ndarray):
-        present = (_targets(piece, vector_size) > 0).astype(np.float64)[:, chosen // trees]
-        w = poisson_weights(piece.column("_row").to_numpy(), chosen, seed)
-        return w, w * present
 
+def _voted_by_level(table: DataFrame, species: int, trees: int, seed: int, rule: Rule, split: str, width: int) -> DataFrame:
+    """Votes of a few trees at a time, as many as have :data:`NODES` nodes if each row drawn ends in a leaf of its own."""
+    spark, path = table.sparkSession, scratch_path(table.sparkSession, "votes")
     learn = table.filter(F.col(split) == "train").select("_row", "_bins", "_y")
-    grown = grow(learn, draws, models, width, rule, np.full(models, seed, dtype=np.int64))
-    held = rows.sparkSession.sparkContext.broadcast(grown.arrays())
+    models, some = species * trees, max(1, NODES // max(1, 2 * learn.count()))
+    for begin in range(0, models, some):
+        chosen = np.arange(begin, min(begin + some, models))
+
+        def draws(piece: pa.RecordBatch, codes: np.ndarray, own: np.ndarray, begin=begin):
+            present = (_targets(piece, species) > 0).astype(np.float64)[:, (begin + own) // trees]
+            w = poisson_weights(piece.column("_row").to_numpy(), begin + own, seed)
+            return w, w * present
+
+        grown = Trees(len(chosen))
+        _grow_group(learn, draws, grown, np.arange(len(chosen)), width, rule, np.full(models, seed, dtype=np.int64), BINS, begin)
+        held = spark.sparkContext.broadcast(grown.arrays())
+        own, first = np.unique(chosen // trees, return_index=True)
+
+        def vote(batches: Iterator[pa.RecordBatch], held=held, own=own, first=first, begin=begin, step=max(1, CHUNK // len(chosen))) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
+                    sums = np.add.reduceat(predict(held.value, _codes(piece.column("_bins"), width)), first, axis=1)
+                    yield _vote_rows(piece.column("_place").to_numpy(), sums, own, begin)
+
+        table.select("_place", "_bins").mapInArrow(vote, _VOTES).write.mode("append").parquet(path)
+        held.unpersist()
+    kind = T.StructType([T.StructField(n, t) for n, t in (("part", T.LongType()), *((n, T.IntegerType()) for n in ("species", "block", "at")), ("total", T.BinaryType()))])
+    return spark.read.schema(kind).parquet(path) if models else spark.createDataFrame([], kind)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _voted_whole(table: DataFrame, species: int, trees: int, seed: int, rule: Rule, split: str, width: int) -> DataFrame:
+    """Votes of trees that a task grows by itself: all rows reach the tasks as bins, presence as bits; trees stay where they grew."""
+    spark = table.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, CHUNK // max(1, models))
-            for begin in range(0, batch.num_rows, step):
-                piece = batch.slice(begin, step)
-                p = predict(held.value, _codes(piece.column("_bins"), width)).reshape(piece.num_rows, vector_size, trees).mean(axis=2)
-                offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * vector_size)
-                columns = [piece.column(n) for n in piece.schema.names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], [*piece.schema.names, "_p"])
+            bits = np.packbits(_targets(batch, species) > 0, axis=1)
+            column = pa.array([r.tobytes() for r in bits], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_place", "_row", "_learn", "_bins")), column], ["_place", "_row", "_learn", "_bins", "_present"])
+
+    learn = F.coalesce(F.col(split) == "train", F.lit(False)).alias("_learn")
+    rows = table.select("_place", "_row", learn, "_bins", "_y").mapInArrow(pack, "_place bigint, _row bigint, _learn boolean, _bins binary, _present binary").toArrow()
+    place = rows.column("_place").to_numpy()
+    order = np.argsort(place)
+    codes, present = (_codes(rows.column(n).combine_chunks(), k)[order] for n, k in (("_bins", width), ("_present", -(-species // 8))))
+    chosen = rows.column("_learn").to_numpy()[order].astype(bool)
+    held = spark.sparkContext.broadcast((place[order], rows.column("_row").to_numpy()[order], chosen, codes, present))
+    # each species is cut into blocks of trees by its work, and by the cores if there are few species
+    each, cores = int(chosen.sum()) * trees * rule.tried, spark.sparkContext.defaultParallelism
+    blocks = min(trees, max(1, -(-each // MOST_WORK), -(-cores // max(1, species)) if each >= LEAST_WORK else 1))
+    tasks = max(1, min(species * blocks, max(min(cores, each * species // LEAST_WORK), -(-each * species // MOST_WORK))))
+    bounds, seeds = [k * trees // blocks for k in range(blocks + 1)], np.full(species * trees, seed, dtype=np.int64)
 
-    schema = T.StructType([*table.schema.fields, T.StructField("_p", T.ArrayType(T.DoubleType()))])
-    voted = table.mapInArrow(vote, schema)
-    return voted.withColumn("p", F.col("_p")).drop("_p", "_row", "_bins", "_y")
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, keys, chosen, codes, present = held.value
+        keys, learned = keys[chosen], codes[chosen]
+        side = max(1, TOGETHER // max(1, len(keys)))
+        for number in (n for batch in batches for n in batch.column("id").to_pylist()):
+            own, block = divmod(number, blocks)
+            here = (present[chosen, own // 8] >> (7 - own % 8) & 1).astype(np.int64)
+            total = np.zeros(len(place))
+            for begin in range(bounds[block], bounds[block + 1], side):
+                models = own * trees + np.arange(begin, min(begin + side, bounds[block + 1]))
+                grown = _grown(learned, poisson_weights(keys, models, seed), here, models, rule, seeds, width)
+                for at in range(0, len(place), TOGETHER):
+                    total[at:at + TOGETHER] += predict(grown.arrays(), codes[at:at + TOGETHER]).sum(axis=1)
+            step = 256 << PART
+            for at in range(0, len(place), step):
+                yield _vote_rows(place[at:at + step], total[at:at + step, None], [own], block)
+
+    return materialize(spark.range(0, species * blocks, 1, tasks).mapInArrow(vote, _VOTES), "votes")
+
+
+def _grown(codes: np.ndarray, weights: np.ndarray, present: np.ndarray, models: np.ndarray, rule: Rule, seeds: np.ndarray, width: int) -> Trees:
+    """Trees of some models over rows held here: the same as :func:`grow` makes of them. ``weights`` are small whole numbers, rows x models."""
+    trees, none = Trees(len(models)), np.zeros(len(models), dtype=np.int64)
+    opened = Open(np.arange(len(models)), none, none, none, int(models[0]))
+    slot, row = np.nonzero(weights.T > 0)
+    w = weights[row, slot].astype(np.int64)
+    marks = w * 2 + present[row]  # weight and presence in five bits
+    while len(slot):
+        every = slice(0, len(opened.model))
+        tried = opened.tried(every, rule, width, seeds)
+        found = _choice(*_held_cells(slot, row, marks, codes, tried), rule, opened.model + opened.first, tried, width, seeds, BINS)
+        before, opened = opened, _advance(trees, opened, found, width, rule)
+        model, node = before.model[slot], before.node[slot]
+        feature = trees.feature[model, node]
+        node = np.where(feature >= 0, trees.child[model, node] + (codes[row, feature] > trees.cut[model, node]), node)
+        slots = np.full(trees.feature.shape, -1, dtype=np.int64)
+        slots[opened.model, opened.node] = np.arange(len(opened.model))
+        slot = slots[model, node]
+        still = slot >= 0
+        slot, row, marks = slot[still], row[still], marks[still]
+    return trees
+
+
+def _held_cells(slot: np.ndarray, row: np.ndarray, marks: np.ndarray, codes: np.ndarray, tried: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(cells met, ascending, weights, weights of presence) of all slots; a cell is one slot, feature tried and bin."""
+    used = tried[slot]
+    cell = (slot[:, None] * tried.shape[1] + np.arange(tried.shape[1])) * BINS + codes[row[:, None], used]
+    if (used < 0).any():
+        left = used >= 0
+        cell, marks = cell[left], np.broadcast_to(marks[:, None], used.shape)[left]
+    else:
+        cell, marks = cell.ravel(), np.repeat(marks, used.shape[1])
+    some = len(tried) * tried.shape[1] * BINS
+    if some <= 4 * len(cell):
+        w = marks >> 1
+        weight, gradient = np.bincount(cell, w, some), np.bincount(cell, w * (marks & 1), some)
+        met = np.flatnonzero(weight)
+        return met, weight[met], gradient[met]
+    packed = np.sort(cell << 5 | marks)
+    cell, w = packed >> 5, packed >> 1 & 15
+    head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    return cell[head], *(np.add.reduceat(v, head).astype(np.float64) for v in (w, w * (packed & 1)))
