@@ -578,7 +578,7 @@ def _voted_whole(table: DataFrame, species: int, trees: int, seed: int, rule: Ru
     # each species is cut into blocks of trees by its work, and by the cores if there are few species
     each, cores = int(chosen.sum()) * trees * rule.tried, spark.sparkContext.defaultParallelism
     blocks = min(trees, max(1, -(-each // MOST_WORK), -(-cores // max(1, species)) if each >= LEAST_WORK else 1))
-    tasks = max(1, min(species * blocks, max(min(cores, each * species // LEAST_WORK), -(-each * species // MOST_WORK))))
+    tasks = max(1, min(species * blocks, each * species // LEAST_WORK))
     bounds, seeds = [k * trees // blocks for k in range(blocks + 1)], np.full(species * trees, seed, dtype=np.int64)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
